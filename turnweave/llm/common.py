@@ -138,8 +138,8 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     at = np.arange(starts[-1]) + np.repeat(words.starts[:-1] - starts[:-1], count)
     out = rolled[at]
     for i in np.flatnonzero((lengths > 0) & (lengths < size)):
-        own, seed = hashes[words.starts[i] : words.starts[i + 1]], np.uint64(lengths[i])
-        for k, h in enumerate(own):
-            seed = mix(np.array([seed * np.uint64(0x9E3779B97F4A7C15) + h + np.uint64(k + 1)], np.uint64))[0]
-        out[starts[i]] = seed
+        own, seed = hashes[words.starts[i] : words.starts[i + 1]], lengths[i : i + 1].astype(np.uint64)
+        for k in range(len(own)):
+            seed = mix(seed * np.uint64(0x9E3779B97F4A7C15) + own[k : k + 1] + np.uint64(k + 1))
+        out[starts[i]] = seed[0]
     return out, starts
