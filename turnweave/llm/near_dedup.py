@@ -8,9 +8,9 @@ likelihood of how many registers are larger, smaller and equal, with the exact s
 then confirmed on the full sets.
 
 Documents with equal sets are one class, and only classes are compared.  In a bucket of equal
-bands every class is compared with a few pivots drawn for that bucket, not with every other;
-after components are formed, classes outside a bucket's largest component are compared with the
-rest of the bucket, so no link between components is lost.
+bands every class is compared with one pivot, the class that shares most buckets with others,
+not with every other; after components are formed, classes outside a bucket's largest component
+are compared with the rest of the bucket, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -29,8 +29,6 @@ from .components import connected_components
 REGISTERS, BASE, RATE = 256, 1.1, 20.0
 #: Registers in a band, and bands.
 ROWS, BANDS = 6, 42
-#: Members of a bucket that all its other members are compared with, drawn for each bucket anew.
-PIVOTS = 3
 LOG_BASE = np.log(BASE)
 
 
@@ -175,10 +173,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     name = F.xxhash64("set1", "set2", "n_shingles")
     classes = materialize(grouped.select(name.alias("class"), "set1", "set2", "n_shingles", "first.doc_id", "first.text_hash", "registers"), "classes")
     banded = materialize(bands(classes), "bands")
-    drawn = [F.min(F.struct(F.xxhash64("band", "class", F.lit(k)).alias("draw"), "class"))["class"] for k in range(PIVOTS)]
-    pivots = banded.groupBy("band").agg(F.array_distinct(F.array(*drawn)).alias("pivots"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    buckets = materialize(banded.join(materialize(pivots, "pivots"), "band").select("band", "pivots", "class"), "buckets")
-    star = buckets.select(F.explode("pivots").alias("p"), "class").where("p <> class")
+    counted = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = materialize(banded.join(materialize(counted, "counted"), "band"), "buckets")
+    # the class that shares most buckets with others is the likeliest to be linked to them
+    central = materialize(buckets.groupBy("class").agg(F.sum("n").alias("shared")), "central")
+    pivots = buckets.join(central, "class").groupBy("band").agg(F.max(F.struct("shared", "class"))["class"].alias("p"))
+    star = buckets.join(materialize(pivots, "pivots"), "band").where("p <> class")
     links = link(star.select(F.least("p", "class").alias("a"), F.greatest("p", "class").alias("b")).distinct(), classes, docs, size, percent, "first")
     parts = materialize(connected_components(links), "parts")
     # buckets that still hold several components
