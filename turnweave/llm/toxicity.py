@@ -188,7 +188,7 @@ def build_index(docs: DataFrame, labels: DataFrame, folds: int, held: int, per_c
 
 
 def toxicity_scores(
-    docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, threshold: float = 0.3, per_class: int = 2000, vocabulary: int = 4096, least: int = 3, block: int = 32, nearest: int = 16
+    docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, threshold: float = 0.3, per_class: int = 1500, vocabulary: int = 4096, least: int = 3, block: int = 256, nearest: int = 16
 ) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (nearest examples' doc_ids) and similarity for every row of documents.
 
@@ -226,7 +226,7 @@ def score_batch(index: Index | None, texts: pa.Array) -> tuple[np.ndarray, list[
 
 
 def drop_toxic(
-    docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, threshold: float = 0.3, per_class: int = 2000, vocabulary: int = 4096, least: int = 3, block: int = 32, nearest: int = 16
+    docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, threshold: float = 0.3, per_class: int = 1500, vocabulary: int = 4096, least: int = 3, block: int = 256, nearest: int = 16
 ) -> DataFrame:
     """The rows of documents, all columns, that score under ``threshold``; decided row by row, without a shuffle."""
     shipped = docs.sparkSession.sparkContext.broadcast(build_index(docs, labels, folds, held, per_class, vocabulary, least, block, nearest))
