@@ -21,6 +21,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,7 +35,7 @@ from .common import documents_of, over_texts, shared_dir
 #: Fixed value: added to a turned checksum.
 MASK = 0xA282EAD8
 NULL_ID = -(1 << 63)
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 
 def masked(data: bytes) -> int:
@@ -80,7 +81,7 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.wide = self.tokenizer.get_vocab_size(True) > 1 << 16
-        self.kind = "<u4" if self.wide else "<u2"
+        self.kind, self.letter = ("<u4", "I") if self.wide else ("<u2", "H")
         self.memory: dict[str, bytes] = {"": b""}
         probe = self.tokenizer.encode("a b\nc", add_special_tokens=False).ids
         apart = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in "abc"]
@@ -93,8 +94,14 @@ class WordEncoder:
         if len(self.memory) > REMEMBERED:
             self.memory = {"": b""}
         new = list(set().union(*split) - self.memory.keys())
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.memory[word] = np.array(found.ids, self.kind).tobytes()
+        # letters alone, then a stop or comma: two stretches for the tokenizer
+        cut = [(w[:-1], w[-1]) if w[-1] in ".," and w[:-1].isalpha() else (w, "") for w in new]
+        bases = list({b for pair in cut for b in pair} - self.memory.keys())
+        for base, found in zip(bases, self.tokenizer.encode_batch_fast(bases, add_special_tokens=False), strict=True):
+            self.memory[base] = array(self.letter, found.ids).tobytes()
+        for word, (base, end) in zip(new, cut, strict=True):
+            if end:
+                self.memory[word] = self.memory[base] + self.memory[end]
         return [b"".join(map(self.memory.__getitem__, words)) for words in split]
 
 
