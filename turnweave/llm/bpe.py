@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -27,9 +28,9 @@ from .common import documents_of, over_texts
 #: The pattern that cuts a text before byte-level merges.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The most chunks of text whose tokens are remembered, and the longest such chunk.
-REMEMBERED, LONGEST = 400_000, 64
-#: Tokens that are hashed and decoded at a time.
-PART = 1 << 16
+REMEMBERED, LONGEST = 600_000, 64
+#: Tokens, or chunks of text, that are hashed and decoded at a time.
+PART = 1 << 14
 
 
 def byte_letters() -> dict[str, int]:
@@ -64,6 +65,10 @@ class Transducer:
         merges = [tuple(m if isinstance(m, list) else m.split(" ")) for m in spec["model"]["merges"]]
         triples = [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
         self.rank = {(a, b): (k, c) for k, (a, b, c) in reversed(list(enumerate(triples)))}
+        self.span, self.none = max(vocab.values()) + 1, len(triples)
+        by_key = sorted(((a * self.span + b, k) for (a, b), (k, _) in self.rank.items()))
+        self.pair_keys, self.pair_rank = np.array([x for x, _ in by_key]), np.array([k for _, k in by_key])
+        self.pair_result, self.byte_tokens = np.array([c for _, _, c in triples]), np.array(self.base)
         self.lookahead = sufficient_lookahead(triples, {i: len(b) for i, b in self.bytes_of.items()})
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
@@ -91,6 +96,33 @@ class Transducer:
             tokens = out
         return tokens
 
+    def merge_many(self, parts: list[bytes]) -> list[list[int]]:
+        """``merge`` of many short byte strings at once: in each round, every string's first rule, wherever it applies."""
+        sizes = np.array([len(p) for p in parts])
+        tokens, owner = self.byte_tokens[np.frombuffer(b"".join(parts), np.uint8)], np.repeat(np.arange(len(parts)), sizes)
+        done_tokens, done_owner = [], []
+        while len(tokens):
+            keys = tokens[:-1] * self.span + tokens[1:]
+            at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+            rank = np.append(np.where((self.pair_keys[at] == keys) & (owner[:-1] == owner[1:]), self.pair_rank[at], self.none), self.none)
+            heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            first = np.repeat(np.minimum.reduceat(rank, heads), np.diff(np.append(heads, len(tokens))))
+            active = first < self.none
+            done_tokens.append(tokens[~active])
+            done_owner.append(owner[~active])
+            hit = np.flatnonzero(active & (rank == first))
+            # of overlapping pairs of one token, every second from the left
+            runs = np.flatnonzero(np.append(True, np.diff(hit) != 1)) if len(hit) else hit
+            hit = hit[(np.arange(len(hit)) - np.repeat(runs, np.diff(np.append(runs, len(hit))))) % 2 == 0]
+            tokens[hit] = self.pair_result[rank[hit]]
+            active[hit + 1] = False
+            tokens, owner = tokens[active], owner[active]
+        owner, tokens = np.concatenate(done_owner), np.concatenate(done_tokens)
+        order = np.argsort(owner, kind="stable")
+        ends = np.cumsum(np.bincount(owner, minlength=len(parts)))
+        flat = tokens[order].tolist()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
     def stream(self, data: Iterable[bytes]) -> Iterator[int]:
         """Tokens of one piece that comes in parts; holds about twice the lookahead at a time."""
         window, held = 2 * self.lookahead + 64, b""
@@ -146,11 +178,36 @@ class Transducer:
             for word in rest:
                 yield get(key := " " + word) or chunk(key)
 
+    def learn(self, texts: list[str]) -> None:
+        """Fill the memory with the chunks of these texts: all their new pieces are merged together."""
+        if max(len(self.memory), len(self.merged)) > REMEMBERED:
+            self.memory, self.merged = {}, {}
+        seen: set[str] = set()
+        for text in texts:
+            first, *rest = text.split(" ")
+            seen.add(first)
+            seen.update([" " + w for w in rest])
+        new = [c for c in seen - self.memory.keys() if c and len(c) <= LONGEST]
+        cut = list(map(self.cut.findall, new))
+        pieces = list(set().union(*cut) - self.merged.keys())
+        self.merged |= zip(pieces, map(tuple, self.merge_many([p.encode() for p in pieces])), strict=True) if pieces else ()
+        for chunk, parts in zip(new, cut, strict=True):
+            self.memory[chunk] = tuple(chain.from_iterable(map(self.merged.__getitem__, parts)))
+
     def encode(self, text: str) -> Iterator[int]:
         """Token ids as they become stable.  A special token's own text is that token."""
+        return chain.from_iterable(self.parts(text))
+
+    def parts(self, text: str) -> Iterator[tuple[int, ...]]:
+        """``encode`` by chunks."""
         if self.cut_special is None or not any(t in text for t in self.special):
-            return chain.from_iterable(self.plain(text))
-        return chain.from_iterable([self.special[p]] if p in self.special else chain.from_iterable(self.plain(p)) for p in self.cut_special.split(text) if p)
+            yield from self.plain(text)
+            return
+        for part in filter(None, self.cut_special.split(text)):
+            if part in self.special:
+                yield (self.special[part],)
+            else:
+                yield from self.plain(part)
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
         """Text in parts: the tokens' bytes through an incremental UTF-8 state machine; broken sequences become U+FFFD."""
@@ -176,11 +233,15 @@ def bpe_round_trip(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFr
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         t, names = transducer(path), ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
         rows: list[tuple] = []
-        for text in batch.column("text").to_pylist():
-            stream, n, sha, back, kept, shown = t.encode(text or ""), 0, hashlib.sha256(), hashlib.sha256(), [], []
+        texts = batch.column("text").to_pylist()
+        t.learn(texts)
+        for text in texts:
+            stream, n, sha, back, kept, shown = t.parts(text), 0, hashlib.sha256(), hashlib.sha256(), [], []
             machine = codecs.getincrementaldecoder("utf-8")("replace")
-            while part := list(islice(stream, PART)):
-                sha.update(("," * (n > 0) + ",".join(map(str, part))).encode())
+            while chunks := list(islice(stream, PART)):
+                part = list(chain.from_iterable(chunks))
+                # ids as text: the form of a list without its spaces
+                sha.update(("," * (n > 0) + str(part)[1:-1].replace(" ", "")).encode())
                 n += len(part)
                 piece = machine.decode(b"".join(map(t.bytes_of.__getitem__, part)))
                 back.update(piece.encode())
