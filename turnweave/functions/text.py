@@ -53,7 +53,7 @@ def drop_short_directions(text: Column) -> Column:
 
 def short_style(style: Column) -> Column:
     """T4: at most three comma-separated parts; null if empty."""
-    parts = F.filter(F.transform(F.split(style, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(style, ","), lambda p: F.trim(p)), lambda p: p != "")
     return F.when(style != "", F.when(F.size(parts) <= 3, style).otherwise(F.array_join(F.slice(parts, 1, 3), ", ")))
 
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from turnweave.functions.text import content_words, drop_short_directions
 from turnweave.operators.timing import bin_overlap
@@ -82,24 +85,36 @@ def with_behaviour(samples: DataFrame, tags: DataFrame, wanted: str) -> DataFram
     return samples.join(tags.where(F.array_contains("behaviour", wanted)), "sample_id", "left_semi")
 
 
+@F.pandas_udf(IntegerType())
+def edits(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
+    """Word edit distance of two arrays; one row of the edit table at a time, insertions by a running minimum."""
+    out = []
+    for ref, hyp in zip(reference, hypothesis, strict=True):
+        if ref is None or hyp is None:
+            out.append(None)
+            continue
+        names = {w: k for k, w in enumerate({*ref, *hyp})}
+        a, b = np.array([names[w] for w in ref], int), [names[w] for w in hyp]
+        steps = np.arange(len(a) + 1)
+        row = steps.copy()
+        for k, w in enumerate(b, 1):
+            best = np.empty_like(row)
+            best[0] = k
+            best[1:] = np.minimum(row[1:] + 1, row[:-1] + (a != w))
+            row = np.minimum.accumulate(best - steps) + steps
+        out.append(int(row[-1]))
+    return pd.Series(out, dtype="Int32")
+
+
 def word_errors(reference: Column, hypothesis: Column) -> Column:
     """Q1: word error rate: edits over reference words; 0 for an empty reference.
 
-    A fold over the hypothesis carries one row of the edit table, so the state is as long as
-    the reference.
+    The words are cut in generated code; the edit distance comes in Arrow batches, since a fold
+    over two arrays builds a new array for each word.
     """
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
     ref, hyp = words(drop_short_directions(reference)), words(F.lower(F.trim(hypothesis)))
-    n = F.size(ref)
-
-    def row(before: Column, h: Column) -> Column:
-        # cost[j + 1] = least(cost[j] + 1, before[j + 1] + 1, before[j] + (ref[j] <> h))
-        return F.aggregate(
-            F.sequence(F.lit(0), n - 1), F.array(before[0] + 1),
-            lambda acc, j: F.concat(acc, F.array(F.least(F.get(acc, j) + 1, F.get(before, j + 1) + 1, F.get(before, j) + (F.get(ref, j) != h).cast("int")))),
-        )
-
-    return F.when(n == 0, 0.0).otherwise(F.element_at(F.aggregate(hyp, F.sequence(F.lit(0), n), row), -1) / n)
+    return F.when(F.size(ref) == 0, 0.0).otherwise(edits(ref, hyp) / F.size(ref))
 
 
 TURNS = "turns array<struct<role string, text string>>"

@@ -93,8 +93,8 @@ def t_level(df: pd.Series, alpha: pd.Series) -> pd.Series:
 
 
 def paired_differences(metrics: DataFrame, trim: str | None = "mad", k: float | None = None) -> DataFrame:
-    """Pairs (sample_id, metric, pair, before, after, value = difference) for pre_post and clean_post, trimmed on the difference; null pairs go."""
-    wide = metrics.groupBy("sample_id", "metric").pivot("phase", ["pre", "post", "clean"]).agg(F.first("value"))
+    """Pairs (sample_id, metric, pair, before, after, value = difference) for pre_post and clean_post, trimmed on the difference; null pairs go.  Of several values for one phase the largest counts."""
+    wide = metrics.groupBy("sample_id", "metric").pivot("phase", ["pre", "post", "clean"]).agg(F.max("value"))
     listed = wide.select("sample_id", "metric", F.explode(F.array(*(F.struct(F.lit(f"{x}_post").alias("pair"), F.col(x).alias("before"), F.col("post").alias("after")) for x in ("pre", "clean")))).alias("p")).select("sample_id", "metric", "p.*")
     pairs = listed.withColumn("value", F.col("after") - F.col("before"))
     return pairs if trim is None else robust_values(pairs, ["metric", "pair"], trim, k)

@@ -138,7 +138,7 @@ def timing_divergence(segments: DataFrame, curve: DataFrame, totals: DataFrame,
     """
     bins = totals.select("sample_id", F.greatest(F.ceil(F.col("duration") / width).cast("int"), F.lit(1)).alias("n"))
     frame = bins.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    hit = segments.select("sample_id", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).cast("int").alias("bin")).groupBy("sample_id", "bin").agg(F.count(F.lit(1)).alias("c"))
+    hit = segments.select("sample_id", F.explode(F.sequence(F.floor(F.col("start") / width).cast("int"), F.floor(F.col("end") / width).cast("int"))).alias("bin")).groupBy("sample_id", "bin").agg(F.count(F.lit(1)).alias("c"))
     size = curve.groupBy("sample_id").agg(F.max("pos").alias("last"))
     at = F.when(F.col("n") > 1, F.col("bin") * F.col("last") / (F.col("n") - 1)).otherwise(F.lit(0.0))
     placed = frame.join(hit, ["sample_id", "bin"], "left").join(size, "sample_id").withColumn("at", at).withColumn("lo", F.floor("at").cast("int")).withColumn("hi", F.least(F.col("lo") + 1, F.col("last")))

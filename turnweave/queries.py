@@ -305,7 +305,7 @@ def _(words):
 
 @query("a9_timing_divergence", f"""WITH {SEGS}, tot AS (SELECT DISTINCT sample_id FROM words), curve AS (SELECT sample_id, unnest([0, 1, 2, 3]) AS pos, unnest([0.1::double, 0.4, 0.3, 0.2]) AS p FROM tot), fr AS (SELECT sample_id, unnest(generate_series(0, 49)) AS bin FROM tot),
 h AS (SELECT sample_id, bin, count(*) AS c FROM (SELECT sample_id, unnest(generate_series(cast(floor(ss / 0.2) AS bigint), cast(floor(se / 0.2) AS bigint))) AS bin FROM s) GROUP BY sample_id, bin),
-a AS (SELECT fr.sample_id, fr.bin, c, bin * 3 / 49.0::double AS at FROM fr LEFT JOIN h USING (sample_id, bin)), b AS (SELECT a.sample_id, c, coalesce(c, 0) + 1e-10::double AS p, lo.p + (hi.p - lo.p) * (at - floor(at)) AS q FROM a JOIN curve lo ON a.sample_id = lo.sample_id AND lo.pos = floor(at) JOIN curve hi ON a.sample_id = hi.sample_id AND hi.pos = least(floor(at) + 1, 3)),
+a AS (SELECT fr.sample_id, fr.bin, c, bin * 3 / 49.0::double AS xx FROM fr LEFT JOIN h USING (sample_id, bin)), b AS (SELECT a.sample_id, c, coalesce(c, 0) + 1e-10::double AS p, lo.p + (hi.p - lo.p) * (xx - floor(xx)) AS q FROM a JOIN curve lo ON a.sample_id = lo.sample_id AND lo.pos = floor(xx) JOIN curve hi ON a.sample_id = hi.sample_id AND hi.pos = least(floor(xx) + 1, 3)),
 n AS (SELECT sample_id, c, p / sum(p) OVER (PARTITION BY sample_id) AS p, q / sum(q) OVER (PARTITION BY sample_id) AS q FROM b) SELECT sample_id, CASE WHEN max(c) IS NULL THEN 1 ELSE sqrt(greatest(sum(p * ln(p * 2 / (p + q)) + q * ln(q * 2 / (p + q))) / 2, 0)) END AS distance FROM n GROUP BY sample_id""", "words")
 def _(words):
     samples = words.select("sample_id").distinct()
@@ -323,7 +323,7 @@ def _(words):
 @query("a26_benchmark_table", f"WITH {TAKE} SELECT 'model' AS model, sum(take_turn) FILTER (sample_id % 2 = 0) / count(*) FILTER (sample_id % 2 = 0) AS pause_turn_rate, sum(take_turn) FILTER (sample_id % 2 = 1) / count(*) FILTER (sample_id % 2 = 1) AS smooth_turn_rate, avg(CASE WHEN take_turn = 1 AND sample_id % 2 = 1 THEN greatest(first_start - 0.5, 0) END) AS smooth_latency FROM v", "words")
 def _(words):
     v = timing.take_turn(words).withColumn("task", F.when(c("sample_id") % 2 == 0, "pause").otherwise("smooth"))
-    rates = v.groupBy(F.lit("model").alias("model")).pivot("task", ["pause", "smooth"]).agg(F.avg("take_turn").alias("turn_rate"))
+    rates = v.groupBy(F.lit("model").alias("model")).pivot("task", ["pause", "smooth"]).agg(F.avg("take_turn")).withColumnsRenamed({"pause": "pause_turn_rate", "smooth": "smooth_turn_rate"})
     ends = words.where(c("sample_id") % 2 == 1).select("sample_id", F.lit(0.5).alias("user_end")).distinct()
     return rates.join(timing.latency(words, ends).agg(F.lit("model").alias("model"), F.avg("latency").alias("smooth_latency")), "model")
 

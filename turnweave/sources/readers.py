@@ -101,7 +101,7 @@ def parse_trans(lines: DataFrame) -> DataFrame:
 
 def parse_speakers(lines: DataFrame) -> DataFrame:
     """S6: "id | sex | ..." lines; ";" begins a comment."""
-    parts = F.transform(F.split("value", r"\|"), F.trim)
+    parts = F.transform(F.split("value", r"\|"), lambda p: F.trim(p))
     return lines.where(~F.ltrim("value").startswith(";") & F.contains("value", F.lit("|"))).select(parts[0].alias("speaker"), parts[1].alias("sex"))
 
 
