@@ -15,6 +15,7 @@ from .quality_rules import quality_rules
 from .near_dedup import near_duplicates
 from .quality_fm import quality_scores
 from .records import token_records
+from .repeats import drop_repeats
 from .suffix_tree_lm import suffix_tree_scores
 from .toxicity import toxicity_scores
 
@@ -53,6 +54,10 @@ def op6_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=3, held=1, threshold=0.5)
 
 
+def op7_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeats(table(spark, sf_dir, "documents"), length=200).drop("kept")
+
+
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1)
 
@@ -72,6 +77,7 @@ QUERIES = {
     "op4_suffix_tree_lm": op4_suffix_tree_lm,
     "op5_decontamination": op5_decontamination,
     "op6_quality_fm": op6_quality_fm,
+    "op7_repeated_bytes": op7_repeated_bytes,
     "op8_token_records": op8_token_records,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_quality_rules": op10_quality_rules,
