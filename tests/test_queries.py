@@ -36,7 +36,7 @@ def near(a, b):
 
 
 def by_rounded(row):
-    return repr(tuple(f"{v:.5g}" if isinstance(v, float) else v for v in row))
+    return repr(tuple(f"{v:.8g}" if isinstance(v, float) else v for v in row))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
