@@ -107,19 +107,25 @@ def activity_seconds(spans: Column) -> Column:
     return F.coalesce(F.aggregate(F.zip_with(starts, ends, lambda s, e: e - s), F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
 
 
+def padded(number: Column, digits: int) -> Column:
+    """A number with leading zeros; longer ones stay whole."""
+    s = number.cast("string")
+    return F.lpad(s, F.greatest(F.length(s), F.lit(digits)), F.lit("0"))
+
+
 def split_key(split: Column, id_: Column, index: Column) -> Column:
     """{split}__{id or index}."""
     return F.concat_ws("__", split, F.coalesce(id_.cast("string"), index.cast("string")))
 
 
 def slot_key(category: Column, slot: Column) -> Column:
-    """{category}_{five digits}."""
-    return F.concat_ws("_", category, F.lpad(slot.cast("string"), 5, "0"))
+    """{category}_{five digits or more}."""
+    return F.concat_ws("_", category, padded(slot, 5))
 
 
 def chunk_key(id_: Column, chunk: Column, of: Column) -> Column:
     """{id}_chunk{two digits}; the only chunk keeps the id."""
-    return F.when(of == 1, id_).otherwise(F.concat(id_, F.lit("_chunk"), F.lpad(chunk.cast("string"), 2, "0")))
+    return F.when(of == 1, id_).otherwise(F.concat(id_, F.lit("_chunk"), padded(chunk, 2)))
 
 
 def rebase_path(path: Column, prefix: str) -> Column:

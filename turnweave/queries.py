@@ -149,9 +149,9 @@ def _(table):
     return table("customer").select("c_custkey", X.normal_gender(raw).alias("gender"), X.age_decade(c("c_custkey") % 100).alias("age"), X.normal_accent(accent).alias("accent"))
 
 
-@query("t9_keys", "SELECT doc_id, source || '__' || doc_id AS split_key, source || '_' || lpad(cast(doc_id AS varchar), 5, '0') AS slot_key, source || '_chunk' || lpad(cast(doc_id % 100 AS varchar), 2, '0') AS chunk_key FROM documents WHERE doc_id < 100000 OR doc_id >= 100000")
+@query("t9_keys", "SELECT doc_id, source || '__' || doc_id AS split_key, source || '_' || lpad(cast(doc_id AS varchar), greatest(5, length(cast(doc_id AS varchar)))::int, '0') AS slot_key, source || '_chunk' || lpad(cast(doc_id % 100 AS varchar), 2, '0') AS chunk_key FROM documents")
 def _(table):
-    return table("documents").select("doc_id", X.split_key(c("source"), F.lit(None), c("doc_id")).alias("split_key"), F.when(F.length(c("doc_id").cast("string")) <= 5, X.slot_key(c("source"), c("doc_id"))).otherwise(X.slot_key(c("source"), c("doc_id"))).alias("slot_key"), X.chunk_key(c("source"), c("doc_id") % 100, F.lit(2)).alias("chunk_key"))
+    return table("documents").select("doc_id", X.split_key(c("source"), F.lit(None), c("doc_id")).alias("split_key"), X.slot_key(c("source"), c("doc_id")).alias("slot_key"), X.chunk_key(c("source"), c("doc_id") % 100, F.lit(2)).alias("chunk_key"))
 
 
 @query("t11_source_label", "SELECT doc_id, CASE WHEN contains(p, 'src11') THEN 'src11' WHEN contains(p, 'src10') THEN 'src10' WHEN contains(p, 'src1') THEN 'src1' WHEN contains(p, 'src2') THEN 'src2' ELSE 'unknown' END AS label FROM (SELECT doc_id, '/data/' || source || '/' || doc_id AS p FROM documents)")
