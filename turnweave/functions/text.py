@@ -19,6 +19,8 @@ STOPWORDS = (
 ).split()
 #: ASCII punctuation.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Subsets of the judged sessions.
+SUBSETS = ["daily", "correction", "entity_tracking", "safety"]
 DECADES = ["teens", "twenties", "thirties", "forties", "fifties", "sixties", "seventies", "eighties", "nineties"]
 
 
@@ -184,10 +186,13 @@ def join_tokens(tokens: Column) -> Column:
     return F.array_join(F.filter(tokens, lambda t: ~t.startswith("[")), "")
 
 
-def subset_name(raw: Column, known: list[str]) -> Column:
-    """One of the known names, whatever its case and separators; anything else is an error."""
-    r = F.regexp_replace(F.lower(F.trim(raw)), r"[\s\-]+", "_")
-    return F.when(r.isin(known), r).otherwise(F.raise_error(F.concat(F.lit("unknown subset: "), F.coalesce(raw, F.lit("null")))))
+def subset_name(raw: Column) -> Column:
+    """One of four names, whatever its case, spaces and underscores; anything else is an error."""
+    bare = F.regexp_replace(F.lower(F.trim(raw)), "[ _]", "")
+    out = F.when(bare.isin(SUBSETS[0]), SUBSETS[0])
+    for name in SUBSETS[1:]:
+        out = out.when(bare.isin(name.replace("_", ""), *(["corrections"] if name == "correction" else [])), name)
+    return out.otherwise(F.raise_error(F.concat(F.lit("unknown subset: "), F.coalesce(raw, F.lit("null")))).cast("string"))
 
 
 def snippet(words: Column, n: int = 50) -> Column:

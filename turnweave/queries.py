@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turnweave.functions import text as X
 from turnweave.functions.seeding import triangular, uniform
-from turnweave.operators import corpus, frames, sampling, scoring, speakers, stats, timing
+from turnweave.operators import corpus, frames, prompts, sampling, scoring, speakers, stats, timing
 from turnweave.plans.training_set import training_set
 from turnweave.sources import readers
 from turnweave.views import t, u_sql, view, with_views
@@ -709,3 +709,61 @@ def _(table):
 def _(table):
     j = table("documents").join(table("labels").select("doc_id", F.lit(1).alias("done")), "doc_id", "left")
     return j.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count("done").alias("resumed"), F.count_if(c("done").isNull()).alias("pending"))
+
+
+RUBRICS = {"system": "Judge the call.", "fluency": "Rate turn taking.", "following": "Rate following.", "format": "A JSON object."}
+TASKS = {"correction": "Was the correction heard?", "entity_tracking": "", "safety": "Was it safe?"}
+
+
+@query(
+    "t22_judge_prompts",
+    """WITH s AS (SELECT conv_id, coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (role = 'user'), '') AS a, coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (role = 'assistant'), '') AS b,
+coalesce(string_agg(printf('[%.2f, %.2f]: %s', turn * 1.5::double, turn * 1.5::double + 1.25::double, text), chr(10) ORDER BY turn) FILTER (role = 'assistant'), '') AS lines FROM turns GROUP BY conv_id)
+SELECT conv_id, concat_ws(chr(10) || chr(10), 'SYSTEM INSTRUCTION:' || chr(10) || 'Judge the call.', 'TURN-TAKING FLUENCY RUBRIC:' || chr(10) || 'Rate turn taking.', 'MULTI-TURN INSTRUCTION-FOLLOWING RUBRIC:' || chr(10) || 'Rate following.',
+CASE conv_id % 4 WHEN 1 THEN 'TASK-SPECIFIC RUBRIC:' || chr(10) || 'Was the correction heard?' WHEN 3 THEN 'TASK-SPECIFIC RUBRIC:' || chr(10) || 'Was it safe?' END, 'OUTPUT FORMAT:' || chr(10) || 'A JSON object.',
+concat_ws(chr(10), 'Dataset staged goals (T1–T4):', 'T1: ask ' || conv_id, 'T2: more', 'T3: change', 'T4: end'),
+'Transcript summary:' || chr(10) || 'Channel A (Examiner) summary:' || chr(10) || a || chr(10) || chr(10) || 'Channel B (Examinee) summary:' || chr(10) || b || chr(10) || chr(10) || 'Channel B (Examinee) segments with timestamps:' || chr(10) || lines,
+concat_ws(chr(10), 'Constraints:', '- Keep each evaluation output about ~100 words.', '- Follow the JSON shape exactly as in OUTPUT FORMAT.', '- Use time ranges from the provided Channel B timestamps.', '')) AS judge_prompt FROM s""",
+    "turns",
+)
+def _(turns):
+    said = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("ts"))
+    of = lambda role: F.filter("ts", lambda x: x["role"] == role)
+    joined = lambda role: F.array_join(F.transform(of(role), lambda x: x["text"]), " ")
+    chunks = F.transform(of("assistant"), lambda x: F.struct((x["turn"] * F.lit(1.5)).alias("start"), (x["turn"] * F.lit(1.5) + F.lit(1.25)).alias("end"), x["text"].alias("text")))
+    goals = F.create_map(F.lit("T1"), F.concat(F.lit("ask "), c("conv_id")), F.lit("T2"), F.lit("more"), F.lit("T3"), F.lit("change"), F.lit("T4"), F.lit("end"))
+    subset = F.element_at(F.array(*map(F.lit, X.SUBSETS)), (c("conv_id") % 4 + 1).cast("int"))
+    rows = said.select("conv_id", subset.alias("subset"), goals.alias("goals"), joined("user").alias("a_text"), joined("assistant").alias("b_text"), chunks.alias("chunks"))
+    return prompts.judge_prompts(rows, RUBRICS, TASKS).select("conv_id", "judge_prompt")
+
+
+@query("t23_carry_fields", "SELECT doc_id, text FROM documents")
+def _(table):
+    return prompts.carry_fields(table("documents").withColumn("index", c("doc_id")), ["doc_id", "text", "audio", "index", "not_there"])
+
+
+@query("t24_compact_lists", """WITH w AS (SELECT conv_id * 100 + turn AS sample_id, list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda x: x <> '') AS ws FROM turns)
+SELECT sample_id, to_json({'input_clean': ws, 'output_clean': ws[1:3]})::varchar AS lists FROM w""", "turns")
+def _(turns):
+    ws = F.filter(F.split("text", r"[ \n]+"), lambda w: w != "")
+    return turns.select((c("conv_id") * 100 + c("turn")).alias("sample_id"), prompts.compact_lists(input_clean=ws, output_clean=F.slice(ws, 1, 3)).alias("lists"))
+
+
+@query("o7_expand_splits", "WITH w AS (SELECT DISTINCT source, source IN ('src0', 'src1') AS by_region FROM documents) SELECT CASE WHEN by_region THEN source || '/' || part ELSE source END AS name, source AS subset, part, 'open' AS evaluator FROM (SELECT *, unnest(CASE WHEN by_region THEN ['usa', 'gbr'] ELSE ['test'] END) AS part FROM w)")
+def _(table):
+    wanted = table("documents").select(c("source").alias("subset")).distinct()
+    registry = wanted.select("subset", c("subset").isin("src0", "src1").alias("by_region"), F.lit("open").alias("evaluator"))
+    return prompts.expand_splits(wanted, registry, ["usa", "gbr"], ["usa", "gbr", "ind"])
+
+
+@query("t8_activity_seconds", "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0.0::double ELSE (event_id % 7) + 0.5::double END AS seconds FROM events")
+def _(table):
+    k = c("event_id")
+    spans = F.when(k % 5 == 0, F.lit("none")).otherwise(F.concat(F.lit("[(1.0, "), k % 7 + 1, F.lit("), (20, 20.5)]")))
+    return table("events").select("event_id", X.activity_seconds(spans).alias("seconds"))
+
+
+@query("t19_subset_names", "SELECT event_id, (['daily', 'correction', 'entity_tracking', 'safety'])[event_id % 4 + 1] AS subset FROM events")
+def _(table):
+    spelled = F.element_at(F.array(*map(F.lit, [" Daily", "Corrections", "Entity Tracking", "SAFETY "])), (c("event_id") % 4 + 1).cast("int"))
+    return table("events").select("event_id", X.subset_name(spelled).alias("subset"))
