@@ -94,40 +94,61 @@ def describe(docs: DataFrame, length: int) -> DataFrame:
 
 
 def transform(strings: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(transform, suffix order) of the strings, each with an end mark, as one ring; order by ``depth`` symbols or more, then by position."""
-    text = np.frombuffer(b"".join(s + b"\0" for s in strings), np.uint8).astype(np.int64) + 1
-    text[np.cumsum([len(s) + 1 for s in strings]) - 1] = 0
-    rank, width, n = text, 1, len(text)
+    """(transform, suffix order) of the strings, each with an end mark, as one ring; order by ``depth`` symbols or more.
+
+    Symbols are bytes plus one, and 0 for an end mark: UTF-8 has no byte 255.
+    """
+    text = np.frombuffer(b"".join(s + b"\xff" for s in strings), np.uint8) + np.uint8(1)
+    rank, width, n = np.zeros(len(text), np.int64), 7, len(text)
+    for k in range(width):
+        rank = rank << 8 | np.roll(text, -k)
+    order = np.argsort(rank)
     while True:
-        key = rank * (n + 258) + np.roll(rank, -width)
-        order = np.argsort(key, kind="stable")
+        sorted_rank = rank[order]
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.append(0, key[order][1:] != key[order][:-1]))
-        width *= 2
+        rank[order] = np.cumsum(np.append(0, sorted_rank[1:] != sorted_rank[:-1]))
         if width >= depth or rank.max() == n - 1:
-            return text[order - 1].astype(np.int16), order
+            return text[order - 1], order
+        rank = rank * n + np.roll(rank, -width)
+        order = np.argsort(rank)
+        width *= 2
 
 
 def merged_repeats(shards: list[list[bytes]], length: int) -> list[np.ndarray]:
-    """For each string of all shards in turn: whether each start's ``length`` bytes occur at another start of any string."""
-    built = [transform(s, length) for s in shards]
-    symbols, sizes = np.concatenate([b for b, _ in built]), np.array([len(b) for b, _ in built])
-    ends = np.cumsum(sizes)
-    shard = np.repeat(np.arange(len(shards)), sizes)  # the interleave
-    block = np.zeros(len(symbols), np.int64)
-    place = np.arange(len(symbols))
+    """For each string of all shards in turn: whether each start's ``length`` bytes occur at another start of any string.
+
+    Only suffixes that begin where a string of ``length`` bytes ends are interleaved, and of
+    these only such as still share all symbols read with another: after ``length`` passes they
+    have come to the starts of the repeated strings.
+    """
+    symbols, before, place, start_of, base = [], [], [], [], 0
+    for strings in shards:
+        read, order = transform(strings, length)
+        n, ends = len(order), np.cumsum([len(s) + 1 for s in strings])
+        row = np.empty(n, np.int64)
+        row[order] = np.arange(n)
+        open_ends = np.zeros(n, bool)
+        for end, s in zip(ends, strings, strict=True):
+            open_ends[end - 1 - max(0, len(s) - length) : end] = len(s) >= length
+        symbols.append(read)
+        before.append(row[order - 1] + base)
+        place.append(np.flatnonzero(open_ends[order]) + base)
+        start_of.append(order + base)
+        base += n
+    symbol, back, at, start = (np.concatenate(x) for x in (symbols, before, place, start_of))
+    block = np.zeros(len(at), np.int32)
     for _ in range(length):
-        read = symbols[place]
+        if not len(at):
+            break
+        read = symbol[at]
         dealt = np.argsort(read, kind="stable")
-        shard, old, read = shard[dealt], block[dealt], read[dealt]
-        block = np.cumsum(np.append(0, (read[1:] != read[:-1]) | (old[1:] != old[:-1])))
-        for k in range(len(shards)):
-            place[shard == k] = np.arange(ends[k] - sizes[k], ends[k])
-    many = np.bincount(block)[block] > 1
-    found = np.zeros(len(symbols), bool)
-    starts = ends - sizes
-    suffix = np.concatenate([o + s for (_, o), s in zip(built, starts, strict=True)])
-    found[suffix[place]] = many
+        at, read, block = back[at[dealt]], read[dealt], block[dealt]
+        parts = np.concatenate([[True], (read[1:] != read[:-1]) | (block[1:] != block[:-1]), [True]])
+        block = np.cumsum(parts[:-1], dtype=np.int32)
+        shared = ~(parts[:-1] & parts[1:])
+        at, block = at[shared], block[shared]
+    found = np.zeros(base, bool)
+    found[start[at]] = True
     out, at = [], 0
     for strings in shards:
         for s in strings:
