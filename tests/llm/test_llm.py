@@ -96,10 +96,11 @@ def test_contamination(spark, docs, texts):
 
 
 @pytest.mark.parametrize("length", [20, 200])
-def test_repeats(spark, docs, texts, length):
+@pytest.mark.parametrize("wide", [repeats.WIDE, 1])
+def test_repeats(spark, docs, texts, length, wide):
     data = {i: (t or "").encode() for i, t in texts.items()}
     seen = Counter(b[k : k + length] for b in data.values() for k in range(len(b) - length + 1))
-    got = {r.doc_id: r for r in repeats.drop_repeats(docs, length).collect()}
+    got = {r.doc_id: r for r in repeats.drop_repeats(docs, length, wide).collect()}
     for i, b in data.items():
         gone = np.zeros(len(b) + 1, bool)
         for k in range(len(b) - length + 1):

@@ -3,7 +3,9 @@
 The transforms are those of the parts of texts that can hold a repeat.  Every 200-byte string is
 filed under its smallest 128-byte hash; strings that are equal have equal hashes, so a stretch
 of starts whose hash occurs nowhere else holds no repeat, and stretches with one hash can be
-compared apart from all others.  Equal stretches are counted and one of each goes on.
+compared apart from all others.  Equal stretches are counted and one of each goes on.  A hash
+with more than ``WIDE`` kinds of stretches is dealt out over many tasks instead, and each of its
+strings is filed once more by a 128-bit hash of all its bytes, which are then counted.
 
 In each partition of hashes, each shard of stretches has its Burrows-Wheeler transform.  The
 shards' transforms are merged by refining their interleave: a pass reads the symbols in the
@@ -30,11 +32,13 @@ from .common import documents_of, materialize, mix, over_texts, same
 SHARD_BYTES, MERGE_BYTES = 1 << 20, 8 << 20
 #: Longest stretch, in starts.
 STRETCH = 4096
+#: A hash with more kinds of stretches than this is refiled by whole strings, so no task gathers it.
+WIDE = 4096
 
 
-def grams(data: np.ndarray, size: int) -> np.ndarray:
+def grams(data: np.ndarray, size: int, seed: int = 1) -> np.ndarray:
     """A hash of the ``size`` bytes from each position on: halves are joined, then two that overlap."""
-    out, width = mix(data.astype(np.uint64) + np.uint64(1)), 1
+    out, width = mix(data.astype(np.uint64) + np.uint64(seed)), 1
     while width * 2 <= size:
         out = mix(out[:-width] * np.uint64(0x9E3779B97F4A7C15) + out[width:])
         width *= 2
@@ -163,22 +167,38 @@ def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def compare(contents: DataFrame, length: int) -> DataFrame:
-    """c1, c2, lo, hi: runs of starts, relative to the stretch, that repeat within the partition's stretches.  contents: anchor, c1, c2, body."""
+    """c1, c2, lo, hi, g1, g2: runs of starts, relative to the stretch, that repeat within the partition's stretches; of wide hashes every start, with a hash of its string.
+
+    contents: anchor, wide, c1, c2, body, sorted by the first four; repeated rows count once.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size, last = 0, None
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "c1", "c2", "body")), strict=True):
-                if size >= MERGE_BYTES and row[0] != last:
-                    yield finish(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[3])
-                last = row[0]
+            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "wide", "c1", "c2", "body")), strict=True):
+                if row[:4] == last:
+                    continue
+                if row[1]:
+                    yield strings_of(row)
+                else:
+                    if size >= MERGE_BYTES and row[0] != last[0]:
+                        yield finish(held)
+                        held, size = [], 0
+                    held.append(row)
+                    size += len(row[4])
+                last = row[:4]
         if held:
             yield finish(held)
 
+    def batch_of(columns: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["c1", "c2", "lo", "hi", "g1", "g2"])
+
+    def strings_of(row: tuple) -> pa.RecordBatch:
+        data = np.frombuffer(row[4], np.uint8)
+        lo = np.arange(len(data) - length + 1)
+        return batch_of([np.full(len(lo), row[2]), np.full(len(lo), row[3]), lo, lo + 1, grams(data, length, 3).view(np.int64), grams(data, length, 5).view(np.int64)])
+
     def finish(rows: list[tuple]) -> pa.RecordBatch:
         shards: list[list[bytes]] = [[]]
         filled = 0
@@ -186,17 +206,17 @@ def compare(contents: DataFrame, length: int) -> DataFrame:
             if filled > SHARD_BYTES:
                 shards.append([])
                 filled = 0
-            shards[-1].append(r[3])
-            filled += len(r[3]) + 1
+            shards[-1].append(r[4])
+            filled += len(r[4]) + 1
         out: list[tuple] = []
-        for (_, c1, c2, _), flags in zip(rows, merged_repeats(shards, length), strict=True):
-            out += [(c1, c2, int(a), int(b)) for a, b in zip(*runs_of(flags), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], names=["c1", "c2", "lo", "hi"])
+        for (_, _, c1, c2, _), flags in zip(rows, merged_repeats(shards, length), strict=True):
+            out += [(c1, c2, int(a), int(b), None, None) for a, b in zip(*runs_of(flags), strict=True)]
+        return batch_of([[r[k] for r in out] for k in range(6)])
 
-    return contents.mapInArrow(work, "c1 long, c2 long, lo long, hi long")
+    return contents.mapInArrow(work, "c1 long, c2 long, lo long, hi long, g1 long, g2 long")
 
 
-def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 200, wide: int = WIDE) -> DataFrame:
     """doc_id, text_hash, spans array<struct<lo, hi>>: bytes covered by strings of ``length`` bytes that start anywhere else too, for documents that have any.
 
     Spans are sorted by start and may touch or overlap.
@@ -208,27 +228,31 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     # rows that repeat a document in full occur as often
     contents = materialize(hits.groupBy("anchor", "c1", "c2").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "text_hash", "at", "n")).alias("rep")), "contents")
     whole = contents.where("times > 1").select("c1", "c2", F.lit(0).cast("long").alias("lo"), F.col("rep.n").alias("hi"))
-    kinds = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max("times").alias("most")).where("kinds > 1 or most = 1").select("anchor")
-    wanted = contents.join(materialize(kinds, "kinds"), "anchor").select("anchor", "c1", "c2", "rep.*")
-    by_doc = wanted.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.collect_list(F.struct("anchor", "c1", "c2", "at", "n")).alias("parts"))
+    kinds = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max("times").alias("most")).where("kinds > 1 or most = 1").select("anchor", (F.col("kinds") > wide).alias("wide"))
+    wanted = contents.join(materialize(kinds, "kinds"), "anchor").select("anchor", "wide", "c1", "c2", "rep.*")
+    by_doc = wanted.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).agg(F.collect_list(F.struct("anchor", "wide", "c1", "c2", "at", "n")).alias("parts"))
     texts = documents_of(docs).withColumn("text_hash", F.xxhash64("text"))
-    # of rows repeated in full each gives the same bodies; one stays
+    # of rows repeated in full each gives the same bodies; one counts
     cut = texts.join(by_doc, same(F.col("doc_id"), F.col("d")) & (F.col("text_hash") == F.col("h")))
-    part = cut.select(F.encode("text", "UTF-8").alias("raw"), F.explode("parts").alias("p")).select("p.anchor", "p.c1", "p.c2", F.substr("raw", F.col("p.at") + 1, F.col("p.n") + length - 1).alias("body"))
-    dealt = part.dropDuplicates(["anchor", "c1", "c2"]).repartition(n, "anchor").sortWithinPartitions("anchor")
-    found = materialize(whole.unionByName(compare(dealt, length)), "repeats")
+    part = cut.select(F.encode("text", "UTF-8").alias("raw"), F.explode("parts").alias("p")).select("p.anchor", "p.wide", "p.c1", "p.c2", F.substr("raw", F.col("p.at") + 1, F.col("p.n") + length - 1).alias("body"))
+    dealt = part.repartition(n, "anchor", F.when(F.col("wide"), F.col("c1"))).sortWithinPartitions("anchor", "wide", "c1", "c2")
+    compared = materialize(compare(dealt, length), "compared")
+    strings = compared.where("g1 is not null")
+    twice = strings.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("g1", "g2")
+    runs_found = compared.where("g1 is null").unionByName(strings.join(twice, ["g1", "g2"])).select("c1", "c2", "lo", "hi")
+    found = materialize(whole.unionByName(runs_found), "repeats")
     spans = hits.join(found, ["c1", "c2"]).select("doc_id", "text_hash", (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi") + length - 1).alias("hi"))
     return spans.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
 
 
-def drop_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
+def drop_repeats(docs: DataFrame, length: int = 200, wide: int = WIDE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left) of every row of documents.
 
     Each byte covered by a string of ``length`` bytes that also starts anywhere else, in any
     document, goes; strings are judged on the input.  Null or empty texts have no bytes.
     Repeated rows repeat each other's strings, so they lose all of them.
     """
-    spans = repeated_spans(docs, length).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "spans")
+    spans = repeated_spans(docs, length, wide).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "spans")
     rows = documents_of(docs).withColumn("text_hash", F.xxhash64("text"))
     joined = rows.join(spans, same(F.col("doc_id"), F.col("d")) & (F.col("text_hash") == F.col("h")), "left").select("doc_id", "text", "spans.lo", "spans.hi")
 
