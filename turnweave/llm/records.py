@@ -35,7 +35,8 @@ from .common import documents_of, over_texts, shared_dir
 #: Fixed value: added to a turned checksum.
 MASK = 0xA282EAD8
 NULL_ID = -(1 << 63)
-REMEMBERED = 800_000
+#: Words whose ids a task remembers: about 200 bytes each.
+REMEMBERED = 500_000
 
 
 def masked(data: bytes) -> int:
@@ -127,7 +128,7 @@ def write_token_records(docs: DataFrame, tokenizer_path: str, out: str, end_id:
         return pa.RecordBatch.from_arrays([pa.array(framed, pa.binary())], names=["record"])
 
     ordered = ranged(documents_of(docs), n)
-    over_texts(ordered, work, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{out}/data")
+    over_texts(ordered, work, "record binary", 2 << 20).select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{out}/data")
     index = read_records(spark, out).select("file", "offset", "doc_id", "n_tokens", "n_before")
     index.write.parquet(f"{out}/index")
     return read_index(spark, out)
