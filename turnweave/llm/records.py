@@ -83,7 +83,9 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.wide = self.tokenizer.get_vocab_size(True) > 1 << 16
         self.kind, self.letter = ("<u4", "I") if self.wide else ("<u2", "H")
+        #: words seen of late, and those seen before them: what is not seen again for long is forgotten
         self.memory: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
         probe = self.tokenizer.encode("a b\nc", add_special_tokens=False).ids
         apart = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in "abc"]
         self.by_word = probe == sum(apart, [])
@@ -92,12 +94,12 @@ class WordEncoder:
         if not self.by_word:
             return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.memory) > REMEMBERED:
-            self.memory = {"": b""}
-        new = list(set().union(*split) - self.memory.keys())
+        if len(self.memory) > REMEMBERED // 2:
+            self.older, self.memory = self.memory, {"": b""}
+        new = self.unknown(set().union(*split))
         # letters alone, then a stop or comma: two stretches for the tokenizer
         cut = [(w[:-1], w[-1]) if w[-1] in ".," and w[:-1].isalpha() else (w, "") for w in new]
-        bases = list({b for pair in cut for b in pair} - self.memory.keys())
+        bases = self.unknown({b for pair in cut for b in pair})
         for base, found in zip(bases, self.tokenizer.encode_batch_fast(bases, add_special_tokens=False), strict=True):
             self.memory[base] = array(self.letter, found.ids).tobytes()
         for word, (base, end) in zip(new, cut, strict=True):
@@ -105,6 +107,12 @@ class WordEncoder:
                 self.memory[word] = self.memory[base] + self.memory[end]
         return [b"".join(map(self.memory.__getitem__, words)) for words in split]
 
+    def unknown(self, words: set[str]) -> list[str]:
+        """The words that are not remembered; older ones are recalled."""
+        missing = [w for w in words if w not in self.memory]
+        self.memory.update((w, self.older[w]) for w in missing if w in self.older)
+        return [w for w in missing if w not in self.older]
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
