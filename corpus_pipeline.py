@@ -25,8 +25,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more go from all texts; every document stays."""
-    found = line_dedup(docs, min_docs=10, min_chars=1)
+    """Lines found in ten documents or more stay at their first place alone; every document stays."""
+    found = line_dedup(docs, min_docs=10, min_chars=1, keep_first=True)
     named = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
     return found.select(*(named.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
