@@ -164,3 +164,17 @@ def test_held_out(spark, name):
     folder = "/root/testdata/sf0.01"
     rows = QUERIES[name](spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").collect()
     assert sum(r.predicted == r[column] for r in rows) / len(rows) >= least
+
+
+def test_contamination_of_short_documents(spark):
+    """A document with fewer words than an item is compared with it as a whole."""
+    item = [f"w{k}" for k in range(59)]
+    cut = {n: item[:n] for n in (59, 58, 57, 48, 47, 4)} | {100: item[2:], 101: [*item[:30], "other", *item[31:58]], 102: item[:20]}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in cut.items()], "doc_id long, text string")
+    items = spark.createDataFrame([(0, " ".join(item)), (1, "a b c")], "item_id long, text string")
+    grams = lambda t: Counter(zip(*(t[k:] for k in range(5)), strict=False))
+    like = {i: sum((grams(t) & grams(item)).values()) / sum((grams(t) | grams(item)).values()) for i, t in cut.items()}
+    got = {r.doc_id: (r.similarity, r.first_word, r.n_words) for r in contamination.find_contamination(docs, items).collect()}
+    assert got == {i: (pytest.approx(j), 0, len(cut[i])) for i, j in like.items() if j >= 0.8}
+    assert got.keys() == {59, 58, 57, 48, 100, 101}
+    assert {r.doc_id for r in contamination.drop_contaminated(docs, items).collect()} == cut.keys() - got.keys()

@@ -1,7 +1,8 @@
 """Benchmark decontamination by SimHash windows.
 
 For each item length, the windows of so many words of a document get a 64-bit SimHash over their
-five-word shingles, weighted by how often each occurs.  Item fingerprints of that length lie in
+five-word shingles, weighted by how often each occurs; a document with fewer words is one window
+as a whole.  Item fingerprints of that length lie in
 a multi-index: eight blocks of eight bits, each listing under every block value the items
 within ``radius`` // 8 bits of it; two fingerprints within ``radius`` must agree so far in one
 block, so none within the radius is missed.  What the index gives is compared by Hamming
@@ -91,17 +92,21 @@ class Items:
     def block(print_: np.uint64, b: int) -> int:
         return int(print_) >> 8 * b & 255
 
-    def matches(self, hashes: np.ndarray) -> list[tuple[int, float, int]]:
-        """(item, best similarity, first word of that window) for one text's words, with hits checked already."""
-        best: dict[int, tuple[float, int]] = {}
+    def matches(self, hashes: np.ndarray) -> list[tuple[int, float, int, int]]:
+        """(item, best similarity, first word of that window, its words) for one text's words, with hits checked already."""
+        best: dict[int, tuple[float, int, int]] = {}
         for size, known in self.known.items():
             s = rolled(hashes, size)
             hits = np.concatenate([[0], np.cumsum(find(known, s) >= 0)])
             if not hits[-1]:
                 continue
-            for n in (n for n in self.of_length if min(self.size, n) == size and n <= len(hashes)):
-                width = n - size + 1
-                starts = np.flatnonzero(hits[width:] - hits[: len(hits) - width] >= 2 * width * self.least / (1 + self.least) - 1e-9)
+            for n in (n for n in self.of_length if min(self.size, n) == size):
+                wanted = n - size + 1
+                width = min(wanted, len(s))  # all of a document that is shorter than the item
+                if width < wanted * self.least - 1e-9:
+                    continue
+                # Jaccard of ``least`` needs so many common shingles, whatever the two sizes
+                starts = np.flatnonzero(hits[width:] - hits[: len(hits) - width] >= (width + wanted) * self.least / (1 + self.least) - 1e-9)
                 if not len(starts):
                     continue
                 for start, print_ in zip(starts.tolist(), fingerprints(s, starts, width), strict=True):
@@ -110,10 +115,10 @@ class Items:
                     own = weights_of(s[start : start + width]) if len(near) else {}
                     for i in near.tolist():
                         if (j := similarity(own, self.weights[i])) >= self.least - 1e-12 and j > best.get(i, (0, 0))[0]:
-                            best[i] = j, start
-        return [(i, j, start) for i, (j, start) in sorted(best.items())]
+                            best[i] = j, start, min(n, len(hashes))
+        return [(i, *found) for i, found in sorted(best.items())]
 
-    def search(self, texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, float, int]]]]:
+    def search(self, texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, float, int, int]]]]:
         """(position of the text, matches) for texts with any."""
         words = Words(texts)
         hashes, owners, some = words.hashes(), words.owners(), np.zeros(len(texts), bool)
@@ -142,8 +147,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 5, lea
     """doc_id, item_id, similarity, first_word, n_words: the best window of each document for each item it holds.
 
     A window holds an item if the weighted Jaccard similarity of their ``size``-word shingles
-    is ``least`` or more (an item with fewer words is one shingle).  Only such pairs are
-    returned.  Null or empty texts and items match nothing; items with equal words each get
+    is ``least`` or more (an item with fewer words is one shingle).  A document with fewer words
+    than the item is its only window.  Only such pairs are returned.  Null or empty texts and items match nothing; items with equal words each get
     their row; repeated documents each get theirs.  An empty table on either side: no rows.
     """
     spark, parts = docs.sparkSession, []
@@ -155,9 +160,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 5, lea
 def searcher(shipped) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         items, ids, rows = shipped.value, batch.column("doc_id").to_pylist(), []
-        lengths = {i: n for n, at in items.of_length.items() for i in at}
         for at, found in items.search(batch.column("text")):
-            rows += [(ids[at], item_id, j, start, lengths[i]) for i, j, start in found for item_id in items.ids[i]]
+            rows += [(ids[at], item_id, j, start, n) for i, j, start, n in found for item_id in items.ids[i]]
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["doc_id", "item_id", "similarity", "first_word", "n_words"])
 
