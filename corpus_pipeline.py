@@ -48,7 +48,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("line_dedup", lines), ("near_dedup", near_duplicates), ("decontamination", decontamination), ("bpe", tokens)]
 
-#: SQL can't express the stages; the tests hold them against brute force.
+#: SQL can't express the stages.  Tests hold the operators against brute force, and the line and
+#: near-dedup stages to a small case; ``run`` as a whole has no brute-force test.
 ORACLE_SQL = None
 
 
