@@ -17,26 +17,38 @@ that Spark writes to, and a lost task leaves nothing behind.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents_of, over_texts, shared_dir
+from .common import Words, documents_of, over_texts, shared_dir
 
 #: Fixed value: added to a turned checksum.
 MASK = 0xA282EAD8
 NULL_ID = -(1 << 63)
-#: Words whose ids a task remembers: about 200 bytes each.
-REMEMBERED = 500_000
+#: Words whose ids a task remembers, about 150 bytes each; bytes of text that it encodes at a time, and most bytes of text in a file.
+REMEMBERED, PIECE, FILE_BYTES = 400_000, 4 << 20, 128 << 20
+#: The rules under which texts are encoded by words, as vocabulary files state them.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+SPACE = " \t\n\x0b\x0c\r"
+STOPPED = r"[A-Za-zÀ-ÖØ-öø-ÿ][.,]$"
 
 
 def masked(data: bytes) -> int:
@@ -51,9 +63,8 @@ def frame(doc_id: int | None, ids: bytes, wide: bool) -> bytes:
     return b"".join((length, struct.pack("<I", masked(length)), body, struct.pack("<I", masked(body))))
 
 
-def unframe(content: memoryview) -> Iterator[tuple[int, int | None, np.ndarray]]:
-    """(offset, doc_id, ids) of each record; a wrong checksum or length is an error."""
-    at = 0
+def unframe(content: memoryview, at: int = 0) -> Iterator[tuple[int, int | None, np.ndarray]]:
+    """(offset, doc_id, ids) of each record from byte ``at`` on; a wrong checksum or length is an error."""
     while at < len(content):
         length, check = struct.unpack_from("<QI", content, at)
         if masked(bytes(content[at : at + 8])) != check:
@@ -70,8 +81,13 @@ def unframe(content: memoryview) -> Iterator[tuple[int, int | None, np.ndarray]]
 class WordEncoder:
     """The library's tokenizer with a memory of words.
 
-    For vocabularies whose tokenizer drops white space: no token, merge or normalisation then
-    crosses a space or line end, so the ids of a text are those of its stretches between them.
+    With the normaliser ``NORMALIZER`` and the cut ``PRE_TOKENIZER``, no piece holds white space,
+    and nothing is composed or lower-cased across it: so the ids of a text are those of its
+    words.  In the same way a stop or comma behind a letter always begins a piece, and doesn't
+    change the letter.  Only letters of ``STOPPED`` (ASCII and Latin-1), which stay single
+    letters when lower-cased, are parted from it, so that most words are known without it too.
+    Files with other rules, or with added tokens that hold white space or reach into it, are
+    encoded text by text.
     """
 
     def __init__(self, path: str) -> None:
@@ -81,29 +97,70 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.wide = self.tokenizer.get_vocab_size(True) > 1 << 16
-        self.kind, self.letter = ("<u4", "I") if self.wide else ("<u2", "H")
-        self.memory: dict[str, bytes] = {"": b""}
-        probe = self.tokenizer.encode("a b\nc", add_special_tokens=False).ids
-        apart = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in "abc"]
-        self.by_word = probe == sum(apart, [])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self.kind = "<u4" if self.tokenizer.get_vocab_size(True) > 1 << 16 else "<u2"
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        added = spec["added_tokens"]
+        plain = all(t["special"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or set(t["content"]) & set(SPACE)) for t in added)
+        self.by_word = plain and bool(added) and (spec["normalizer"], spec["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER)
+        self.marks = [t["content"] for t in added]
+        if self.by_word:
+            self.between, self.between_id = added[0]["content"], added[0]["id"]
+        self.forget()
+
+    def forget(self) -> None:
+        self.slot: dict[str, int] = {}
+        self.starts, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def learn(self, words: list[str]) -> None:
+        """Encode new words: all in one text, with an added token between them."""
+        if not words:
+            return
+        odd: list[str] = []
+        if any(map("\n".join(words).__contains__, self.marks)):
+            odd = [w for w in words if any(m in w for m in self.marks)]
+        plain = [w for w in words if w not in set(odd)] if odd else words
+        flat, sizes = [], []
+        for at in range(0, len(plain), 10_000):
+            some = plain[at : at + 10_000]
+            (found,) = self.tokenizer.encode_batch_fast([self.between.join(some)], add_special_tokens=False)
+            ids = np.array(found.ids, np.uint32)
+            cuts = np.flatnonzero(ids == self.between_id)
+            sizes.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
+            flat.append(ids[ids != self.between_id])
+        for found in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False):
+            flat.append(np.array(found.ids, np.uint32))
+            sizes.append(np.array([len(found.ids)]))
+        self.slot |= zip(plain + odd, range(len(self.slot), len(self.slot) + len(words)), strict=True)
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes))])
+        self.flat = np.concatenate([self.flat, *flat])
+
+    def slots(self, words: pa.Array) -> np.ndarray:
+        """Where the ids of each of these different words are."""
+        names = words.to_pylist()
+        known = self.slot.get
+        found = np.array([known(w, -1) for w in names], np.int64)
+        new = np.flatnonzero(found < 0)
+        self.learn(unknown := [names[i] for i in new.tolist()])
+        found[new] = [self.slot[w] for w in unknown]
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin)."""
         if not self.by_word:
-            return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.memory) > REMEMBERED:
-            self.memory = {"": b""}
-        new = list(set().union(*split) - self.memory.keys())
-        # letters alone, then a stop or comma: two stretches for the tokenizer
-        cut = [(w[:-1], w[-1]) if w[-1] in ".," and w[:-1].isalpha() else (w, "") for w in new]
-        bases = list({b for pair in cut for b in pair} - self.memory.keys())
-        for base, found in zip(bases, self.tokenizer.encode_batch_fast(bases, add_special_tokens=False), strict=True):
-            self.memory[base] = array(self.letter, found.ids).tobytes()
-        for word, (base, end) in zip(new, cut, strict=True):
-            if end:
-                self.memory[word] = self.memory[base] + self.memory[end]
-        return [b"".join(map(self.memory.__getitem__, words)) for words in split]
+            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate(found), np.concatenate([[0], np.cumsum([len(x) for x in found])])
+        if len(self.slot) > REMEMBERED:
+            self.forget()
+        words = Words(texts, lower=False)
+        stopped = pc.match_substring_regex(words.uniques, STOPPED)
+        base = pc.if_else(stopped, pc.utf8_slice_codeunits(words.uniques, 0, -1), words.uniques).dictionary_encode()
+        last = pc.if_else(stopped, pc.utf8_slice_codeunits(words.uniques, -1), pa.scalar("")).dictionary_encode()
+        pair = np.stack([self.slots(x.dictionary)[x.indices.to_numpy()] for x in (base, last)], 1)[words.codes].ravel()
+        starts, sizes = self.starts[pair], np.diff(self.starts)[pair]
+        ends = np.cumsum(sizes)
+        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)]
+        return ids, np.concatenate([[0], ends])[2 * words.starts]
 
 
 @lru_cache(maxsize=2)
@@ -111,43 +168,39 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def write_token_records(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 1) -> DataFrame:
+def write_token_records(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 1, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Encode, append ``end_id``, write to ``out``/data in ascending doc_id order; returns ``read_index``.
 
     Documents are range-partitioned by (doc_id, text hash), one file each in that order, nulls
-    first.  Null or empty text: a record with ``end_id`` alone.  Repeated rows are written
-    each.  No rows: no records.
+    first.  There are as many files as shuffle partitions (fewer if they would hold less than
+    a sixteenth of ``file_bytes`` of text), and more where a file would hold more than
+    ``file_bytes``.  Null or empty text: a record with ``end_id`` alone.  Repeated rows are
+    written each.  No rows: no records.
     """
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = documents_of(docs)
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    n = max(1, -(-size // file_bytes), min(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * size // file_bytes))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        e, ids, texts = encoder(tokenizer_path), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-        end = np.array([end_id], e.kind).tobytes()
-        framed = [frame(i, found + end, e.wide) for i, found in zip(ids, e.encode(texts), strict=True)]
+        e = encoder(tokenizer_path)
+        ids, starts = e.encode(batch.column("text"))
+        # the end id goes behind each text
+        raw = np.insert(ids, starts[1:], end_id).astype(e.kind).tobytes()
+        width = np.dtype(e.kind).itemsize
+        bounds = ((starts + np.arange(len(starts))) * width).tolist()
+        framed = [frame(i, raw[a:b], width == 4) for i, a, b in zip(batch.column("doc_id").to_pylist(), bounds, bounds[1:], strict=False)]
         return pa.RecordBatch.from_arrays([pa.array(framed, pa.binary())], names=["record"])
 
-    ordered = ranged(documents_of(docs), n)
-    over_texts(ordered, work, "record binary", 2 << 20).select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{out}/data")
-    index = read_records(spark, out).select("file", "offset", "doc_id", "n_tokens", "n_before")
-    index.write.parquet(f"{out}/index")
+    key = ["doc_id", F.xxhash64("text")]
+    ordered = rows.repartitionByRange(n, *key).sortWithinPartitions(*key)
+    over_texts(ordered, work, "record binary", PIECE).select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{out}/data")
+    read_records(spark, out).write.parquet(f"{out}/index")
     return read_index(spark, out)
 
 
-def ranged(docs: DataFrame, n: int) -> DataFrame:
-    """Documents in ``n`` ranges of doc_id, sorted inside each.
-
-    The bounds come from the ids alone, so the texts are read once.
-    """
-    cuts = docs.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10_000).alias("cuts")).first().cuts if n > 1 else None
-    cuts = sorted(set(cuts or []))
-    # the part is its own key: one task for each, in order
-    part = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("doc_id")))) if cuts else F.lit(0)
-    return docs.withColumn("part", part.cast("int")).repartitionById(len(cuts) + 1, "part").sortWithinPartitions("doc_id", F.xxhash64("text")).drop("part")
-
-
 def read_records(spark: SparkSession, out: str) -> DataFrame:
-    """file, offset, doc_id, n_tokens, n_before (ids before it in its file), ids_crc32 (as 32-bit), for each record of the files."""
+    """file, offset, doc_id, n_tokens, n_before (ids before it in its file), ids_crc32 (as 32-bit), for each record of the files, all of it checked."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,22 +223,44 @@ def read_records(spark: SparkSession, out: str) -> DataFrame:
 
 
 def read_index(spark: SparkSession, out: str) -> DataFrame:
-    """The offset index: where each record is, for reads in any order."""
+    """The offset index, made by reading the data back: a row of ``read_records`` for each record."""
     return spark.read.parquet(f"{out}/index")
 
 
-def with_starts(records: DataFrame, index: DataFrame) -> DataFrame:
-    """Adds start: the ids of all records before it.  Sums for whole files come from the index, one row a file."""
+def read_at(spark: SparkSession, out: str, wanted: DataFrame) -> DataFrame:
+    """file, offset, doc_id, ids of the records at ``wanted`` (file, offset; rows of the index, in any order).
+
+    Only files that hold a wanted record are opened, and in them only those records are read;
+    a file has at most ``file_bytes`` of text.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content, offsets in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                data = memoryview(content.as_buffer())
+                rows = [(path, *next(unframe(data, at))) for at in offsets]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["file", "offset", "doc_id", "ids"])
+
+    of_file = wanted.groupBy("file").agg(F.sort_array(F.collect_set("offset")).alias("offsets"))
+    files = spark.read.format("binaryFile").load(f"{out}/data").select(F.col("path").alias("file"), "content")
+    return files.join(of_file, "file").select("file", "content", "offsets").mapInArrow(work, "file string, offset long, doc_id long, ids array<long>")
+
+
+def with_starts(index: DataFrame) -> DataFrame:
+    """Adds start: the ids of all records before it.  Sums for whole files are one row a file."""
     files = index.groupBy("file").agg(F.sum("n_tokens").alias("in_file"))
     part = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
     order = Window.orderBy(part, "file").rowsBetween(Window.unboundedPreceding, -1)
     before = files.select("file", F.coalesce(F.sum("in_file").over(order), F.lit(0)).alias("files_before"))
-    return records.join(before, "file").withColumn("start", F.col("files_before") + F.col("n_before")).drop("files_before")
+    return index.join(before, "file").withColumn("start", F.col("files_before") + F.col("n_before")).drop("files_before")
 
 
 def token_records(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
-    """Write all documents to a new folder under the shared one and read them back: doc_id, start, n_tokens, ids_crc32."""
+    """Write all documents to a new folder under the shared one and read them back: doc_id, start, n_tokens, ids_crc32.
+
+    Rows are as in :func:`write_token_records`; repeated rows have a record each, one behind
+    the other.
+    """
     spark = docs.sparkSession
     out = f"{shared_dir(spark)}/turnweave/records-{uuid.uuid4().hex}"
-    index = write_token_records(docs, tokenizer_path, out, end_id)
-    return with_starts(read_records(spark, out), index).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return with_starts(write_token_records(docs, tokenizer_path, out, end_id)).select("doc_id", "start", "n_tokens", "ids_crc32")
