@@ -1,12 +1,14 @@
 """Toxicity by nearest labelled examples.
 
-Texts are TF-IDF vectors of length 1 over a vocabulary of words and word beginnings that tell
-the labels apart; document frequencies are counted over all documents.  The examples' inverted
-index keeps, for each term, its postings in blocks of examples and the largest weight in each
-block.  A query's bound for a block is the sum of its weights times those maxima; blocks are
-opened from the highest bound down until the next bound cannot beat the k-th best cosine, so
-the nearest examples are exact.  Votes, weighted by cosine and class share, are calibrated on
-the examples themselves, each left out in turn.
+Texts are TF-IDF vectors of length 1 over all their words.  A word weighs
+(1 + log tf) * idf * relevance: idf is counted over all documents; relevance is the
+log-likelihood ratio of the word's presence and the label among the examples, 0 for words that
+no example has.  No word is left out, and the norm of a text is exact without a join.  The
+examples' inverted index keeps, for each word, its postings in blocks of examples and the
+largest weight in each block.  A query's bound for a block is the sum of its weights times
+those maxima; blocks are opened from the highest bound down until the next bound cannot beat
+the k-th best cosine, so the nearest examples are exact.  Votes, weighted by squared cosine and
+class share, are calibrated on the examples themselves, each left out in turn.
 """
 
 from __future__ import annotations
@@ -20,33 +22,27 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, documents_of, fold_of, mix, over_texts
+from .common import Words, documents_of, fold_of, over_texts
 from .labelled import labelled_sample
 from .suffix_tree_lm import find
 
-#: A word's beginning is a term of its own if the word is longer (code points); its hash is mixed with this.
-BEGINNING, BEGINNING_SEED = 5, np.uint64(0xB5)
+#: Taken off both ends of a word.
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def terms_of(texts: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(owners, terms, counts), sorted by owner and term: hashes of words and beginnings, or positions in sorted ``wanted``."""
+    """(owners, terms, counts), sorted by owner and term: hashes of words, or positions in sorted ``wanted`` of those that are there."""
     words = Words(texts)
-    hashes, owners, codes = words.unique_hashes(), words.owners(), words.codes
-    longer = pc.greater(pc.utf8_length(words.uniques), BEGINNING).to_numpy(zero_copy_only=False).astype(bool)
-    begins = pc.utf8_slice_codeunits(words.uniques, 0, BEGINNING).dictionary_encode()
-    begin_hash = np.fromiter(map(xxhash.xxh64_intdigest, begins.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(begins.dictionary))
-    begin_hash = mix(begin_hash ^ BEGINNING_SEED)[begins.indices.to_numpy()] if len(hashes) else hashes
-    if wanted is not None:
-        first, second = find(wanted, hashes), np.where(longer, find(wanted, begin_hash), -1)
-        kept = [(owners[k], x[codes[k]]) for x in (first, second) if (k := np.flatnonzero(x[codes] >= 0)) is not None]
-        owner, term = np.concatenate([o for o, _ in kept]), np.concatenate([t for _, t in kept])
-        keys, counts = np.unique((owner.astype(np.int64) << 32) | term, return_counts=True)
-        return keys >> 32, keys & 0xFFFFFFFF, counts
-    every = np.unique(np.concatenate([hashes, begin_hash[longer]]))
-    owner = np.concatenate([owners, owners[longer[codes]]])
-    term = np.searchsorted(every, np.concatenate([hashes[codes], begin_hash[codes][longer[codes]]]))
-    keys, counts = np.unique((owner.astype(np.int64) << 32) | term, return_counts=True)
-    return keys >> 32, every[keys & 0xFFFFFFFF], counts
+    bare = pc.ascii_trim(words.uniques, PUNCTUATION).dictionary_encode()
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, bare.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(bare.dictionary))
+    every = np.unique(hashes) if wanted is None else wanted
+    at = find(every, hashes)
+    at[pc.equal(pc.binary_length(bare.dictionary), 0).to_numpy(zero_copy_only=False).astype(bool)] = -1
+    term = at[bare.indices.to_numpy()][words.codes] if len(words.codes) else np.zeros(0, np.int64)
+    kept = term >= 0
+    keys, counts = np.unique((words.owners()[kept].astype(np.int64) << 32) | term[kept], return_counts=True)
+    terms = keys & 0xFFFFFFFF
+    return keys >> 32, every[terms] if wanted is None else terms, counts
 
 
 @dataclass
@@ -54,7 +50,7 @@ class Index:
     """Examples by blocks.  Postings are ordered by (term, block)."""
 
     terms: np.ndarray
-    idf: np.ndarray
+    scale: np.ndarray  # idf times relevance
     ids: np.ndarray
     labels: np.ndarray
     weights: np.ndarray  # of votes
@@ -70,7 +66,7 @@ class Index:
 
     def vectors(self, owners: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts of each row's terms and their weights, of length 1."""
-        raw = (1 + np.log(counts)) * self.idf[terms]
+        raw = (1 + np.log(counts)) * self.scale[terms]
         norm = np.sqrt(np.bincount(owners, raw**2, n))
         return np.searchsorted(owners, np.arange(n + 1)), raw / np.maximum(norm, 1e-12)[owners]
 
@@ -116,25 +112,33 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return p[:, 2] / p[:, 1], p[:, 0] / p[:, 1]
 
 
-def choose_terms(sample: DataFrame, sizes: dict[int, int], vocabulary: int, least: int) -> np.ndarray:
-    """The terms whose presence tells the labels apart most (signed root of the likelihood ratio), at most ``vocabulary``."""
+def relevance(toxic: np.ndarray, docs: np.ndarray, n_toxic: int, n: int) -> np.ndarray:
+    """Log-likelihood ratio of a word's presence (in ``docs`` of n examples, ``toxic`` of n_toxic toxic ones) and the label."""
+
+    def part(k: np.ndarray, m: int) -> np.ndarray:
+        rate = docs / n
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(k > 0, k * np.log(k / (m * rate)), 0) + np.where(k < m, (m - k) * np.log((m - k) / (m * (1 - rate))), 0)
+
+    return np.maximum(part(toxic, n_toxic) + part(docs - toxic, n - n_toxic), 0)
+
+
+def example_terms(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """All words of the examples (sorted hashes) and their relevance.  Bounded, as the examples are."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         owners, terms, _ = terms_of(batch.column("text"))
         return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(np.asarray(batch.column("label"))[owners])], names=["term", "label"])
 
-    seen = over_texts(sample.select("label", "text"), work, "term long, label int").groupBy("term").agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("docs"))
-    totals = sample.groupBy("label").count().collect()
-    n = {r.label: r["count"] for r in totals}
-    a, b = F.col("toxic"), F.col("docs") - F.col("toxic")
-    rate = (a + b) / F.lit(n[0] + n[1])
-    part = lambda k, m: k * F.log((k + 0.01) / (m * rate)) + (m - k) * F.log((m - k + 0.01) / (m * (1 - rate) + 0.01))
-    top = seen.where(F.col("docs") >= least).withColumn("tells", part(a, F.lit(n[1])) + part(b, F.lit(n[0]))).where("tells > 4").orderBy(F.desc("tells"), "term").limit(vocabulary)
-    return np.sort(np.asarray(top.select("term").toArrow()["term"]).astype(np.int64).view(np.uint64))
+    seen = over_texts(sample.select("label", "text"), work, "term long, label int").groupBy("term").agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("docs")).toArrow()
+    n = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
+    terms = np.asarray(seen["term"]).astype(np.int64).view(np.uint64)
+    order = np.argsort(terms)
+    return terms[order], relevance(np.asarray(seen["toxic"]).astype(float), np.asarray(seen["docs"]).astype(float), n.get(1, 0), sum(n.values()))[order]
 
 
 def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
-    """In how many of all documents each chosen term occurs, and how many documents there are."""
+    """In how many of all documents each of these words occurs, and how many documents there are."""
     shipped = docs.sparkSession.sparkContext.broadcast(terms)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -149,14 +153,14 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray
     return out[:-1], int(out[-1])
 
 
-def build_index(docs: DataFrame, labels: DataFrame, folds: int, held: int, per_class: int, vocabulary: int, least: int, block: int, nearest: int) -> Index | None:
-    """The example index, on at most 2 * per_class rows and ``vocabulary`` terms; None where a class has no rows."""
+def build_index(docs: DataFrame, labels: DataFrame, folds: int, held: int, per_class: int, block: int, nearest: int) -> Index | None:
+    """The example index, on at most 2 * per_class rows; None where a class has no rows."""
     sample, sizes = labelled_sample(docs, labels, "toxic", fold_of(F.col("doc_id"), folds) != held, per_class)
     if min(sizes.get(0, 0), sizes.get(1, 0)) == 0 or len({r.label for r in sample.select("label").distinct().collect()}) < 2:
         return None
-    terms = choose_terms(sample, sizes, vocabulary, least)
+    terms, tells = example_terms(sample)
     df, n_docs = document_frequencies(docs, terms)
-    idf = np.log((n_docs + 1) / (df + 1)) + 1
+    scale = (np.log((n_docs + 1) / (df + 1)) + 1) * tells
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         owners, found, counts = terms_of(batch.column("text"), terms)
@@ -165,8 +169,8 @@ def build_index(docs: DataFrame, labels: DataFrame, folds: int, held: int, per_c
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *lists], names=["doc_id", "label", "term", "n"])
 
     rows = over_texts(sample.select("doc_id", "label", "text"), work, "doc_id long, label int, term array<int>, n array<int>").toArrow().to_pylist()
-    # neighbours of a block should be alike: by label, then by their rarest term
-    rows.sort(key=lambda r: (r["label"], max(((idf[t], t) for t in r["term"]), default=(0, 0)), r["doc_id"]))
+    # neighbours of a block should be alike: by label, then by their heaviest term
+    rows.sort(key=lambda r: (r["label"], max(((scale[t], t) for t in r["term"]), default=(0, 0)), r["doc_id"]))
     n, size = len(rows), [len(r["term"]) for r in rows]
     owners = np.repeat(np.arange(n), size)
     term, count = (np.array([x for r in rows for x in r[k]], np.int64) for k in ("term", "n"))
@@ -174,7 +178,7 @@ def build_index(docs: DataFrame, labels: DataFrame, folds: int, held: int, per_c
     blocks = -(-n // block)
     share = {k: sizes[k] / (y == k).sum() for k in (0, 1)}
     weights = np.array([share[v] for v in y]) / share[0]
-    index = Index(terms, idf, np.array([r["doc_id"] for r in rows]), y, weights, block, np.zeros(0), np.zeros(0), np.zeros(0), np.zeros((len(terms), blocks)), nearest)
+    index = Index(terms, scale, np.array([r["doc_id"] for r in rows]), y, weights, block, np.zeros(0), np.zeros(0), np.zeros(0), np.zeros((len(terms), blocks)), nearest)
     starts, value = index.vectors(owners, term, count, n)
     slot = term * blocks + owners // block
     order = np.lexsort((owners, slot))
@@ -188,16 +192,17 @@ def build_index(docs: DataFrame, labels: DataFrame, folds: int, held: int, per_c
 
 
 def toxicity_scores(
-    docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, threshold: float = 0.3, per_class: int = 1500, vocabulary: int = 4096, least: int = 3, block: int = 256, nearest: int = 16
+    docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, threshold: float = 0.3, per_class: int = 2000, block: int = 256, nearest: int = 16
 ) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (nearest examples' doc_ids) and similarity for every row of documents.
 
-    ``per_class`` bounds the labelled examples and ``vocabulary`` the terms.  Texts without any
-    chosen term, also null and empty ones, have no neighbours and score as the calibrated
-    share of toxic labels.  Repeated rows score alike.  Without labels of both classes every
-    score is 0.
+    ``per_class`` bounds the labelled examples.  Texts without a word of any example, also null
+    and empty ones, have no neighbours and score as the calibrated share of toxic labels.  Of
+    equal cosines the example that comes first in the index is nearer.  Repeated rows score
+    alike.  Without labels of both classes every score is 0.  An empty table gives one with no
+    rows.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(build_index(docs, labels, folds, held, per_class, vocabulary, least, block, nearest))
+    shipped = docs.sparkSession.sparkContext.broadcast(build_index(docs, labels, folds, held, per_class, block, nearest))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         scores, near, cosine = score_batch(shipped.value, batch.column("text"))
@@ -226,8 +231,13 @@ def score_batch(index: Index | None, texts: pa.Array) -> tuple[np.ndarray, list[
 
 
 def drop_toxic(
-    docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, threshold: float = 0.3, per_class: int = 1500, vocabulary: int = 4096, least: int = 3, block: int = 256, nearest: int = 16
+    docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, threshold: float = 0.3, per_class: int = 2000, block: int = 256, nearest: int = 16
 ) -> DataFrame:
-    """The rows of documents, all columns, that score under ``threshold``; decided row by row, without a shuffle."""
-    shipped = docs.sparkSession.sparkContext.broadcast(build_index(docs, labels, folds, held, per_class, vocabulary, least, block, nearest))
+    """The rows of documents, all columns, that score under ``threshold``; decided row by row, without a shuffle.
+
+    Null and empty texts and repeated rows are judged by their scores (see
+    :func:`toxicity_scores`), null doc_ids as any other; without labels of both classes all rows
+    stay.
+    """
+    shipped = docs.sparkSession.sparkContext.broadcast(build_index(docs, labels, folds, held, per_class, block, nearest))
     return over_texts(docs, lambda batch: batch.filter(pa.array(score_batch(shipped.value, batch.column("text"))[0] < threshold)), docs.schema)
