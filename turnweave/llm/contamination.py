@@ -2,12 +2,16 @@
 
 For each item length, the windows of so many words of a document get a 64-bit SimHash over their
 five-word shingles, weighted by how often each occurs; a document with fewer words is one window
-as a whole.  Item fingerprints of that length lie in
-a multi-index: eight blocks of eight bits, each listing under every block value the items
-within ``radius`` // 8 bits of it; two fingerprints within ``radius`` must agree so far in one
-block, so none within the radius is missed.  What the index gives is compared by Hamming
+as a whole.  Item fingerprints lie in a multi-index: five blocks of bits, each listing under
+every block value the items whose own value differs in ``reach`` bits of the block at most.  The
+reaches add up to the radius less four, so two fingerprints within the radius are within reach
+in one block at least, and none is missed.  What the index gives is compared by Hamming
 distance, then by exact weighted Jaccard similarity of the shingles.
 
+A window of similarity 0.8 differs from its item in about 10 bits, with a deviation below 3; the
+radius of 20 is a chance bound, met but for one in ten thousand.  Unrelated items differ in
+about 32 bits: a third of them are in reach of some block, and hardly any within the radius.
+
 Windows that hold too few shingles of any item to reach the similarity get no fingerprint;
 that bound is exact.
 """
@@ -26,9 +30,10 @@ from pyspark.sql import functions as F
 from .common import Words, documents_of, mix, over_texts
 from .suffix_tree_lm import find
 
-BLOCKS = 8
+#: Bits of each block of a fingerprint, from the lowest on.
+WIDTHS = (13, 13, 13, 13, 12)
 #: Bytes of items that are broadcast at once; a larger benchmark is handled in several passes.
-ITEM_BYTES = 16 << 20
+ITEM_BYTES = 2 << 20
 
 
 def rolled(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -58,11 +63,40 @@ def weights_of(shingles: np.ndarray) -> dict[int, int]:
     return dict(zip(keys.tolist(), n.tolist(), strict=True))
 
 
+class MultiIndex:
+    """Fingerprints by the values of their blocks, each under all values within reach of its own."""
+
+    def __init__(self, prints: np.ndarray, radius: int) -> None:
+        self.prints, self.radius, self.lists = prints, radius, []
+        spread, more = divmod(radius - len(WIDTHS) + 1, len(WIDTHS))
+        for b, (values, width) in enumerate(zip(self.blocks(prints), WIDTHS, strict=True)):
+            flips = np.arange(1 << width)
+            flips = flips[np.bitwise_count(flips) <= spread + (b < more)]
+            listed = (values[:, None] ^ flips).ravel()
+            order = np.argsort(listed, kind="stable")
+            self.lists.append((np.searchsorted(listed[order], np.arange((1 << width) + 1)), (order // max(1, len(flips))).astype(np.int32)))
+
+    @staticmethod
+    def blocks(prints: np.ndarray) -> list[np.ndarray]:
+        shifts = np.cumsum((0, *WIDTHS[:-1]))
+        return [(prints >> np.uint64(s)).astype(np.int64) & ((1 << w) - 1) for s, w in zip(shifts.tolist(), WIDTHS, strict=True)]
+
+    def in_reach(self, print_: np.uint64) -> np.ndarray:
+        """The fingerprints in reach of some block: all within the radius, and some more."""
+        found = [items[starts[v] : starts[v + 1]] for v, (starts, items) in zip((int(x[0]) for x in self.blocks(np.array([print_]))), self.lists, strict=True)]
+        return np.unique(np.concatenate(found))
+
+    def near(self, print_: np.uint64) -> np.ndarray:
+        """The fingerprints within the radius."""
+        found = self.in_reach(print_)
+        return found[np.bitwise_count(self.prints[found] ^ print_) <= self.radius]
+
+
 class Items:
-    """A block of benchmark items: fingerprints by length, and the multi-index."""
+    """A block of benchmark items: fingerprints in the multi-index, and lengths."""
 
     def __init__(self, rows: list[tuple[int, str]], size: int, least: float, radius: int) -> None:
-        self.size, self.least, self.radius = size, least, radius
+        self.size, self.least = size, least
         words = Words(pa.array([t for _, t in rows], pa.string()))
         hashes = words.hashes()
         self.weights: list[dict[int, int]] = []
@@ -83,15 +117,12 @@ class Items:
             self.weights.append(weights_of(s))
             prints.append(fingerprints(s, np.array([0]), len(s))[0])
             self.of_length[len(own)].append(at)
-        self.prints = np.array(prints, np.uint64)
-        near = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)) <= radius // BLOCKS
-        self.index = {n: [[np.array([i for i in at if near[v, self.block(self.prints[i], b)]], int) for v in range(256)] for b in range(BLOCKS)] for n, at in self.of_length.items()}
+        self.index = MultiIndex(np.array(prints, np.uint64), radius)
+        self.length = np.zeros(len(prints), np.int64)
+        for n, at in self.of_length.items():
+            self.length[at] = n
         self.known = {k: np.array(sorted({h for n, at in self.of_length.items() if min(size, n) == k for i in at for h in self.weights[i]}), np.uint64) for k in {min(size, n) for n in self.of_length}}
 
-    @staticmethod
-    def block(print_: np.uint64, b: int) -> int:
-        return int(print_) >> 8 * b & 255
-
     def matches(self, hashes: np.ndarray) -> list[tuple[int, float, int, int]]:
         """(item, best similarity, first word of that window, its words) for one text's words, with hits checked already."""
         best: dict[int, tuple[float, int, int]] = {}
@@ -110,8 +141,8 @@ class Items:
                 if not len(starts):
                     continue
                 for start, print_ in zip(starts.tolist(), fingerprints(s, starts, width), strict=True):
-                    near = np.unique(np.concatenate([self.index[n][b][self.block(print_, b)] for b in range(BLOCKS)]))
-                    near = near[np.bitwise_count(self.prints[near] ^ print_) <= self.radius]
+                    near = self.index.near(print_)
+                    near = near[self.length[near] == n]
                     own = weights_of(s[start : start + width]) if len(near) else {}
                     for i in near.tolist():
                         if (j := similarity(own, self.weights[i])) >= self.least - 1e-12 and j > best.get(i, (0, 0))[0]:
@@ -143,7 +174,7 @@ def item_blocks(benchmark: DataFrame, size: int, least: float, radius: int) -> I
     yield Items(rows, size, least, radius)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 5, least: float = 0.8, radius: int = 24) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 5, least: float = 0.8, radius: int = 20) -> DataFrame:
     """doc_id, item_id, similarity, first_word, n_words: the best window of each document for each item it holds.
 
     A window holds an item if the weighted Jaccard similarity of their ``size``-word shingles
@@ -168,8 +199,13 @@ def searcher(shipped) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
     return work
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, least: float = 0.8, radius: int = 24) -> DataFrame:
-    """The rows of documents, all columns, that hold no item; decided row by row, without a shuffle."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, least: float = 0.8, radius: int = 20) -> DataFrame:
+    """The rows of documents, all columns, that hold no item; decided row by row, without a shuffle.
+
+    Null and empty texts hold none and stay; repeated rows share their fate; null doc_ids are
+    rows as any other.  Without items all rows stay.  Extra columns are carried, whatever their
+    names but ``text``.
+    """
     for items in item_blocks(benchmark, size, least, radius):
         shipped = docs.sparkSession.sparkContext.broadcast(items)
         docs = over_texts(docs, keeper(shipped), docs.schema)
