@@ -159,10 +159,13 @@ def bad_transcription(text: Column) -> Column:
     return F.coalesce(F.trim(text).isin("") | F.ltrim(text).startswith("{"), F.lit(True))
 
 
+#: Metrics of which 0 means that there is none.
+ZERO_IS_MISSING = ("wpm", "speech_dur_s", "mean_pitch", "std_pitch", "std_intensity")
+
+
 def mask_sentinel(metric: Column, value: Column) -> Column:
-    """Null for intensities of -190 and less, and for zero rates, pitches and deviations."""
-    zero_is_none = metric.rlike("wpm|rate|pitch|std")
-    return F.when(F.contains(metric, F.lit("intensity")) & (value <= -190), None).when(zero_is_none & (value == 0), None).otherwise(value)
+    """Null for what stands for a missing value of these metrics, see ``ZERO_IS_MISSING``."""
+    return F.when((metric == "mean_intensity") & (value <= -190), None).when(metric.isin(*ZERO_IS_MISSING) & (value == 0), None).otherwise(value)
 
 
 def time_seconds(token: Column) -> Column:
@@ -215,3 +218,8 @@ def normal_verdict(raw: Column) -> Column:
     """CORRECT, INCORRECT or ERROR."""
     r = F.upper(F.trim(raw))
     return F.when(r.isin("CORRECT", "INCORRECT"), r).otherwise("ERROR")
+
+
+def common_words(a: Column, b: Column) -> Column:
+    """The different words of both texts, cut at single spaces."""
+    return F.array_intersect(F.split(a, " "), F.split(b, " "))

@@ -73,6 +73,17 @@ def training_steps(datasets: DataFrame, batch: int, seconds: float, epochs: int)
     return out.withColumn("steps_per_epoch", F.ceil(F.col("hours") * 3600 / seconds / batch)).withColumn("total_steps", F.col("steps_per_epoch") * epochs)
 
 
+def only_in(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """The different values of ``key`` that the other table lacks."""
+    return rows.select(key).subtract(others.select(key))
+
+
+def sample_counts(rows: DataFrame, done: DataFrame, key: str, by: str) -> DataFrame:
+    """Per group, how many samples there are, are done and are pending."""
+    j = rows.join(done.select(key).distinct().withColumn("done", F.lit(1)), key, "left")
+    return j.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count("done").alias("resumed"), F.count_if(F.col("done").isNull()).alias("pending"))
+
+
 def pending(all_rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """What is left to do."""
     return all_rows.join(done.select(key).distinct(), key, "left_anti")
@@ -100,23 +111,26 @@ def with_prompt(words: DataFrame, prompts: DataFrame, shift: bool, seed: int = 4
 
 
 def plan_timeline(
-    turns: DataFrame, seed: int = 42, prompt_end: float = 5.7, same: tuple[float, float] = (0.1, 0.3), change: tuple[float, float] = (0.2, 0.8),
+    turns: DataFrame, seed: int = 42, prompt_end: float = 5.7, same: tuple[float, float] = (0.2, 0.8),
+    reply: tuple[float, float] = (0.1, 0.4), think: tuple[float, float] = (0.3, 1.2),
     barge_share: float = 0.0, barge: tuple[float, float] = (0.3, 1.0), silence_share: float = 0.0, silence: tuple[float, float] = (2.0, 5.0), longest: float | None = None,
 ) -> DataFrame:
     """Start and end of each turn (conv_id, turn, role, duration).
 
-    The first turn begins at ``prompt_end``.  The gap before a turn is drawn from ``same`` or
-    ``change`` by whether the role changes; a user turn after the assistant may instead begin
-    before the assistant's end (not before prompt_end) or after a long silence.  Turns stop at
+    The first turn begins at ``prompt_end``.  The gap before an assistant's turn after the user
+    is drawn from ``reply``, before a user's turn after the assistant from ``think``, else from
+    ``same``; a user turn after the assistant may instead begin before the assistant's end (not
+    before prompt_end), or, where it doesn't, after a long silence.  Turns stop at
     ``longest``; a turn is cut there only if over a second of it fits.  One fold over each
     conversation's turns; a conversation is one row of few turns.
     """
     draw = lambda name, lo, hi: lo + (hi - lo) * uniform(seed, "conv_id", "turn", F.lit(name))
     kind = uniform(seed, "conv_id", "turn", F.lit("kind"))
     before = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))
-    plain = F.when(before == F.col("role"), draw("gap", *same)).otherwise(draw("gap", *change))
-    gap = F.when(before.isNull(), 0.0).when((before == "assistant") & (F.col("role") == "user") & (kind < barge_share), -draw("barge", *barge))
-    gap = gap.when((before == "assistant") & (F.col("role") == "user") & (kind < barge_share + silence_share), draw("silence", *silence)).otherwise(plain)
+    asks, answers = (before == "assistant") & (F.col("role") == "user"), (before == "user") & (F.col("role") == "assistant")
+    plain = F.when(answers, draw("gap", *reply)).when(asks, draw("gap", *think)).otherwise(draw("gap", *same))
+    gap = F.when(before.isNull(), 0.0).when(asks & (kind < barge_share), -draw("barge", *barge))
+    gap = gap.when(asks & (kind < barge_share + (1 - barge_share) * silence_share), draw("silence", *silence)).otherwise(plain)
     rows = turns.select("conv_id", F.struct("turn", "role", "duration", gap.alias("gap")).alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     limit = F.lit(float("inf") if longest is None else float(longest))
     state = F.struct(F.lit(float(prompt_end)).alias("at"), F.lit(False).alias("over"), F.expr("CAST(array() AS array<struct<turn:int,role:string,start:double,end:double>>)").alias("out"))

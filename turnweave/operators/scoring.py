@@ -22,10 +22,13 @@ def accuracy(records: DataFrame) -> DataFrame:
 
 
 def score_summary(events: DataFrame, task_scores: DataFrame) -> DataFrame:
-    """A3: per setup, mean turn and follow score an event, mean task score a file; null if none."""
-    e = events.groupBy("setup").agg(F.count(F.lit(1)).alias("n_events"), F.avg("tt").alias("turn_score"), F.avg("follow").alias("follow_score"))
-    t = task_scores.groupBy("setup").agg(F.count(F.lit(1)).alias("n_files"), F.avg("score").alias("task_score"))
-    return e.join(t, "setup", "full").select("setup", F.coalesce("n_events", F.lit(0)).alias("n_events"), F.coalesce("n_files", F.lit(0)).alias("n_files"), "turn_score", "follow_score", "task_score")
+    """A3: per setup and task, mean turn and follow score of the events that have both, mean of the files' task scores; three digits, null if none."""
+    key = ["setup", "task_id"]
+    both = F.col("tt").isNotNull() & F.col("follow").isNotNull()
+    mean = lambda c: F.round(F.avg(F.when(both, F.col(c))), 3)
+    e = events.groupBy(*key).agg(F.count_if(both).alias("n_events"), mean("tt").alias("turn_score"), mean("follow").alias("follow_score"))
+    t = task_scores.groupBy(*key).agg(F.count("score").alias("n_files"), F.round(F.avg("score"), 3).alias("task_score"))
+    return e.join(t, key, "full").select(*key, F.coalesce("n_files", F.lit(0)).alias("n_files"), F.coalesce("n_events", F.lit(0)).alias("n_events"), "turn_score", "follow_score", "task_score")
 
 
 def task_scores(scores: DataFrame) -> DataFrame:
@@ -33,6 +36,24 @@ def task_scores(scores: DataFrame) -> DataFrame:
     return scores.groupBy("split").agg(F.avg("score").alias("score"), F.count("score").alias("n"), F.count(F.lit(1)).alias("tasks"))
 
 
+def per_task(scores: DataFrame) -> DataFrame:
+    """A4: the score of each split/task that has one."""
+    return scores.where("score is not null").select(F.concat_ws("/", "split", "task_id").alias("task"), F.col("score").cast("double").alias("score"))
+
+
+#: The cells of the benchmark's table, in order: task, measure.
+BENCHMARK_CELLS = (
+    ("pause_synthetic", "turn_rate"), ("pause_candor", "turn_rate"), ("backchannel", "turn_rate"), ("backchannel", "frequency"), ("backchannel", "distance"),
+    ("smooth", "turn_rate"), ("smooth", "latency"), ("interruption", "turn_rate"), ("interruption", "rating"), ("interruption", "latency"),
+)
+
+
+def benchmark_table(values: DataFrame) -> DataFrame:
+    """A row for each model, its ten cells as columns; null where there is no value.  values: model, task, measure, value."""
+    cell = lambda t, m: F.max(F.when((F.col("task") == t) & (F.col("measure") == m), F.col("value"))).alias(f"{t}_{m}")
+    return values.groupBy("model").agg(*(cell(t, m) for t, m in BENCHMARK_CELLS))
+
+
 def score_by_bin(events: DataFrame, width: float = 15.0, until: float = 120.0) -> DataFrame:
     """A5, long form: duration-weighted means for each setup and bin."""
     b = bin_overlap(events, width, until)
@@ -46,13 +67,17 @@ def score_table(events: DataFrame, width: float = 15.0, until: float = 120.0) ->
 
 
 def leaderboard(records: DataFrame, scales: dict[str, float]) -> DataFrame:
-    """A subset's mean score times its scale (1 by default), OVERALL the mean of the subsets present; empty scores are dropped and counted.
+    """A subset's score is the mean of its regions' means, times its scale (1 by default); OVERALL the mean of the subsets that have one.
 
-    records: subset, score array<string>.
+    records: subset, region, evaluator, transcription, score array<string>.  Records without a
+    transcription are dropped and counted, and those without a score where the evaluator is a
+    judge (open, qa).  A record's score is the mean of the numbers in its list.
     """
     mean = F.aggregate(F.filter(F.transform("score", lambda x: x.try_cast("double")), lambda x: x.isNotNull()), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda a, x: F.struct((a["s"] + x).alias("s"), (a["n"] + 1).alias("n")), lambda a: F.when(a["n"] > 0, a["s"] / a["n"]))
-    scale = reduce(lambda c, kv: c.when(F.col("subset") == kv[0], kv[1]), list(scales.items())[1:], F.when(F.col("subset") == next(iter(scales)), scales[next(iter(scales))])).otherwise(1.0)
-    by = records.withColumn("v", mean).groupBy("subset").agg((F.avg("v") * F.first(scale)).alias("score"), F.count_if(F.col("v").isNull()).alias("dropped"))
+    scale = reduce(lambda c, kv: F.when(F.col("subset") == kv[0], F.lit(float(kv[1]))).otherwise(c), scales.items(), F.lit(1.0))
+    dropped = F.col("transcription").isNull() | (F.col("evaluator").isin("open", "qa") & (F.coalesce(F.size("score"), F.lit(0)) <= 0))
+    regions = records.withColumn("v", F.when(~dropped, mean)).groupBy("subset", "region").agg(F.avg("v").alias("v"), F.count_if(dropped).alias("dropped"))
+    by = regions.groupBy("subset").agg((F.avg("v") * F.first(scale)).alias("score"), F.sum("dropped").alias("dropped"))
     return by.unionByName(by.agg(F.lit("OVERALL").alias("subset"), F.avg("score").alias("score"), F.sum("dropped").alias("dropped")))
 
 

@@ -46,13 +46,13 @@ def rank_rule(rule: str, target: float, tolerance: float) -> list[Column]:
         "closest": [far.asc_nulls_last()],
         "known_first": [tier, far.asc_nulls_last()],
         "in_tolerance": [F.when(inside, 0).otherwise(1), far.asc_nulls_last()],
-        "first_in_tolerance": [F.when(inside, 0).otherwise(1)],
+        "first_in_tolerance": [F.when(inside, F.lit(0.0)).otherwise(far).asc_nulls_last()],
     }
     return [*rules[rule], F.col("path")]
 
 
 def best_clip(clips: DataFrame, rule: str = "closest", target: float = 10.0, tolerance: float = 5.0) -> DataFrame:
-    """One clip a speaker: closest to the target; known duration and text first; in tolerance first; or the first path in tolerance."""
+    """One clip a speaker: closest to the target; known duration and text first; in tolerance first; or the first path in tolerance, and the closest where none is."""
     order = Window.partitionBy("speaker").orderBy(*rank_rule(rule, target, tolerance))
     return clips.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 

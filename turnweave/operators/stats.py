@@ -112,10 +112,10 @@ def paired_test(metrics: DataFrame, trim: str | None = "mad", k: float | None =
     return out.withColumn("p", p_value("t", F.col("df").cast("double"))).withColumn("ci_low", F.col("mean_diff") - reach).withColumn("ci_high", F.col("mean_diff") + reach)
 
 
-def holm(tests: DataFrame, p: str = "p", *ties: str) -> DataFrame:
-    """Holm's step-down adjustment over all rows of ``tests`` (a report's few rows)."""
-    order = Window.partitionBy().orderBy(p, *ties)
-    n = F.count(p).over(Window.partitionBy())
+def holm(tests: DataFrame, p: str = "p", *ties: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Holm's step-down adjustment over the rows of each report, told by the columns ``by``; a report is a few rows of one task."""
+    order = Window.partitionBy(*by).orderBy(p, *ties)
+    n = F.count(p).over(Window.partitionBy(*by))
     ranked = tests.where(F.col(p).isNotNull()).withColumn("step", (n - F.row_number().over(order) + 1) * F.col(p))
     return ranked.withColumn("p_holm", F.max(F.least(F.lit(1.0), F.col("step"))).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("step")
 

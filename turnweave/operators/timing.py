@@ -130,13 +130,24 @@ def backchannels(segments: DataFrame, words: DataFrame, longest: float = 3.0) ->
     return seen.groupBy("sample_id").agg(F.sum(1 - F.col("long")).alias("n_backchannels"), F.max_by(flag, F.struct("start", "end")).alias("turn_flag"))
 
 
+def backchannel_summary(found: DataFrame, distances: DataFrame, totals: DataFrame) -> DataFrame:
+    """Mean and population deviation of turn flag, backchannels a second and timing distance over the samples of totals (sample_id, duration).
+
+    found: ``backchannels``; distances: ``timing_divergence``.  A sample without segments has flag 0, frequency 0 and distance 1.
+    """
+    every = totals.join(found, "sample_id", "left").join(distances, "sample_id", "left")
+    value = {"turn_flag": F.coalesce("turn_flag", F.lit(0)), "frequency": F.coalesce("n_backchannels", F.lit(0)) / F.col("duration"), "distance": F.coalesce("distance", F.lit(1.0))}
+    rows = every.select(F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), v.cast("double").alias("value")) for k, v in value.items()))).alias("m")).select("m.*")
+    return rows.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count(F.lit(1)).alias("n"))
+
+
 def timing_divergence(segments: DataFrame, curve: DataFrame, totals: DataFrame, width: float = 0.2) -> DataFrame:
     """Jensen-Shannon distance of a sample's histogram of segment time to its reference curve; 1 without segments.
 
     curve: sample_id, pos, p.  totals: sample_id, duration.  The curve is stretched to the number
     of bins by linear interpolation; both sides are normalised.
     """
-    bins = totals.select("sample_id", F.greatest(F.ceil(F.col("duration") / width).cast("int"), F.lit(1)).alias("n"))
+    bins = totals.select("sample_id", (F.floor(F.col("duration") / width).cast("int") + 1).alias("n"))
     frame = bins.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     hit = segments.select("sample_id", F.explode(F.sequence(F.floor(F.col("start") / width).cast("int"), F.floor(F.col("end") / width).cast("int"))).alias("bin")).groupBy("sample_id", "bin").agg(F.count(F.lit(1)).alias("c"))
     size = curve.groupBy("sample_id").agg(F.max("pos").alias("last"))
@@ -153,6 +164,12 @@ def timing_divergence(segments: DataFrame, curve: DataFrame, totals: DataFrame,
     return far.select("sample_id", F.when(F.col("hits").isNull(), 1.0).otherwise(F.col("d")).alias("distance"))
 
 
+def word_lines(words: DataFrame) -> DataFrame:
+    """Per sample, its words in order, a line each: "[start, end]: word"."""
+    line = F.format_string("[%.2f, %.2f]: %s", "start", "end", "word")
+    return words.groupBy("sample_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", line.alias("line")))), lambda w: w["line"]), "\n").alias("lines"))
+
+
 def split_metrics(words: DataFrame, marks: DataFrame) -> DataFrame:
     """Span, count and words a minute before and after a word-aligned split near the mark.
 

@@ -103,7 +103,7 @@ def _(table):
 
 @query("o5_except", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 def _(table):
-    return table("documents").select("doc_id").subtract(table("labels").select("doc_id"))
+    return corpus.only_in(table("documents"), table("labels"), "doc_id")
 
 
 @query("o4_merge_datasets", f"""WITH two AS (SELECT path, source, duration, NULL AS lang FROM manifest UNION ALL SELECT 'more/' || cast(doc_id AS varchar), source, n_chars / 15.0::double, lang FROM documents WHERE lang = 'en'), caps AS ({CAP}),
@@ -126,9 +126,9 @@ def _(turns):
     return turns.select("conv_id", "turn", X.drop_directions(F.concat(c("text"), F.lit(" (Laughs) so"))).alias("spoken"))
 
 
-@query("t4_short_style", "SELECT doc_id, CASE WHEN len(p) <= 3 THEN s ELSE array_to_string(p[1:3], ', ') END AS style FROM (SELECT doc_id, s, list_filter(list_transform(string_split(s, ','), lambda x: trim(x)), lambda x: x <> '') AS p FROM (SELECT doc_id, substr(text, 1, 200) AS s FROM documents) WHERE s <> '')")
+@query("t4_short_style", "SELECT doc_id, CASE WHEN len(p) <= 3 THEN s ELSE array_to_string(p[1:3], ', ') END AS style FROM (SELECT doc_id, s, list_filter(list_transform(string_split(s, ','), lambda x: trim(x)), lambda x: x <> '') AS p FROM (SELECT doc_id, text AS s FROM documents) WHERE s <> '')")
 def _(table):
-    return table("documents").select("doc_id", F.substring("text", 1, 200).alias("s")).where("s <> ''").select("doc_id", X.short_style(c("s")).alias("style"))
+    return table("documents").select("doc_id", c("text").alias("s")).where("s <> ''").select("doc_id", X.short_style(c("s")).alias("style"))
 
 
 ANSWER = "trim(regexp_replace(translate(lower({0}), '!\"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~', ''), '\\s+', ' ', 'g'))"
@@ -172,12 +172,14 @@ def _(clips):
 
 @query("t14_bad_transcription", "SELECT page_id, html IS NULL OR trim(html) = '' OR starts_with(ltrim(substr(html, 3)), '{') AS bad FROM pages")
 def _(table):
-    return table("pages").select("page_id", (X.bad_transcription(c("html")) | X.bad_transcription(F.concat(F.substring("html", 3, 10_000_000), F.lit("x")))).alias("bad"))
+    return table("pages").select("page_id", (X.bad_transcription(c("html")) | X.bad_transcription(F.concat(F.substr("html", F.lit(3)), F.lit("x")))).alias("bad"))
 
 
-@query("t15_mask_sentinel", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount = 0 THEN NULL ELSE l_discount::double END AS wpm, CASE WHEN -l_quantity * 10 <= -190 THEN NULL ELSE (-l_quantity * 10)::double END AS intensity FROM lineitem")
+@query("t15_mask_sentinel", "SELECT l_orderkey, l_linenumber, " + ", ".join(f"nullif(l_discount::double, 0) AS {m}" for m in ("wpm", "speech_dur_s", "mean_pitch", "std_pitch", "std_intensity")) + ", l_discount::double AS speech_rate, CASE WHEN l_quantity < 19 THEN (-l_quantity * 10)::double END AS mean_intensity, (-l_quantity * 10)::double AS max_intensity FROM lineitem")
 def _(table):
-    return table("lineitem").select("l_orderkey", "l_linenumber", X.mask_sentinel(F.lit("wpm"), c("l_discount").cast("double")).alias("wpm"), X.mask_sentinel(F.lit("mean_intensity"), (-c("l_quantity") * 10).cast("double")).alias("intensity"))
+    zero = [X.mask_sentinel(F.lit(m), c("l_discount").cast("double")).alias(m) for m in ("wpm", "speech_dur_s", "mean_pitch", "std_pitch", "std_intensity", "speech_rate")]
+    low = [X.mask_sentinel(F.lit(m), (-c("l_quantity") * 10).cast("double")).alias(m) for m in ("mean_intensity", "max_intensity")]
+    return table("lineitem").select("l_orderkey", "l_linenumber", *zero, *low)
 
 
 @query("t16_time_seconds", "SELECT event_id, (event_id % 60) * 60.0::double + event_id % 59 + 0.5 AS ms, (event_id % 3) * 3600.0::double + (event_id % 60) * 60 + event_id % 59 AS hms FROM events")
@@ -206,13 +208,14 @@ def _(turns):
 
 @query("t21_word_lines", "SELECT sample_id, string_agg(printf('[%.2f, %.2f]: %s', start, \"end\", word), chr(10) ORDER BY idx) AS lines FROM words GROUP BY sample_id", "words")
 def _(words):
-    line = F.format_string("[%.2f, %.2f]: %s", "start", "end", "word")
-    return words.groupBy("sample_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", line.alias("line")))), lambda w: w["line"]), "\n").alias("lines"))
+    return timing.word_lines(words)
 
 
-@query("t26_length_ratio", "SELECT doc_id, length(text) BETWEEN n_chars * 0.3 AND n_chars * 2.5 AND length(substr(text, 1, 200)) BETWEEN length(text) * 0.3 AND length(text) * 2.5 AS ok FROM documents")
+@query("t26_length_ratio", "WITH r AS (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN text || text || text ELSE substr(text, length(text) // 4 * 3 + 1) END AS rewrite FROM documents) SELECT doc_id, length(rewrite) BETWEEN length(text) * 0.3 AND length(text) * 2.5 AS ok FROM r")
 def _(table):
-    return table("documents").select("doc_id", X.length_ratio_ok(F.substring("text", 1, 200), c("text")).alias("ok"))
+    k, text = c("doc_id") % 3, c("text")
+    rewrite = F.when(k == 0, text).when(k == 1, F.concat(text, text, text)).otherwise(F.substr(text, (F.floor(F.length(text) / 4) * 3 + 1).cast("int")))
+    return table("documents").select("doc_id", X.length_ratio_ok(rewrite, text).alias("ok"))
 
 
 @query("t27_verdicts", "SELECT doc_id, CASE WHEN quality = 1 THEN 'CORRECT' WHEN toxic = 1 THEN 'ERROR' ELSE 'INCORRECT' END AS verdict FROM labels")
@@ -303,14 +306,14 @@ def _(words):
     return timing.latency(words, words.select("sample_id", (c("sample_id") % 3 - 1).cast("double").alias("user_end")).distinct())
 
 
-@query("a9_timing_divergence", f"""WITH {SEGS}, tot AS (SELECT DISTINCT sample_id FROM words), curve AS (SELECT sample_id, unnest([0, 1, 2, 3]) AS pos, unnest([0.1::double, 0.4, 0.3, 0.2]) AS p FROM tot), fr AS (SELECT sample_id, unnest(generate_series(0, 49)) AS bin FROM tot),
+@query("a9_timing_divergence", f"""WITH {SEGS}, tot AS (SELECT DISTINCT sample_id FROM words), curve AS (SELECT sample_id, unnest([0, 1, 2, 3]) AS pos, unnest([0.1::double, 0.4, 0.3, 0.2]) AS p FROM tot), fr AS (SELECT sample_id, unnest(generate_series(0, 50)) AS bin FROM tot),
 h AS (SELECT sample_id, bin, count(*) AS c FROM (SELECT sample_id, unnest(generate_series(cast(floor(ss / 0.2) AS bigint), cast(floor(se / 0.2) AS bigint))) AS bin FROM s) GROUP BY sample_id, bin),
-a AS (SELECT fr.sample_id, fr.bin, c, bin * 3 / 49.0::double AS xx FROM fr LEFT JOIN h USING (sample_id, bin)), b AS (SELECT a.sample_id, c, coalesce(c, 0) + 1e-10::double AS p, lo.p + (hi.p - lo.p) * (xx - floor(xx)) AS q FROM a JOIN curve lo ON a.sample_id = lo.sample_id AND lo.pos = floor(xx) JOIN curve hi ON a.sample_id = hi.sample_id AND hi.pos = least(floor(xx) + 1, 3)),
+a AS (SELECT fr.sample_id, fr.bin, c, bin * 3 / 50.0::double AS xx FROM fr LEFT JOIN h USING (sample_id, bin)), b AS (SELECT a.sample_id, c, coalesce(c, 0) + 1e-10::double AS p, lo.p + (hi.p - lo.p) * (xx - floor(xx)) AS q FROM a JOIN curve lo ON a.sample_id = lo.sample_id AND lo.pos = floor(xx) JOIN curve hi ON a.sample_id = hi.sample_id AND hi.pos = least(floor(xx) + 1, 3)),
 n AS (SELECT sample_id, c, p / sum(p) OVER (PARTITION BY sample_id) AS p, q / sum(q) OVER (PARTITION BY sample_id) AS q FROM b) SELECT sample_id, CASE WHEN max(c) IS NULL THEN 1 ELSE sqrt(greatest(sum(p * ln(p * 2 / (p + q)) + q * ln(q * 2 / (p + q))) / 2, 0)) END AS distance FROM n GROUP BY sample_id""", "words")
 def _(words):
     samples = words.select("sample_id").distinct()
     curve = samples.select("sample_id", F.posexplode(F.array(*map(F.lit, (0.1, 0.4, 0.3, 0.2)))).alias("pos", "p"))
-    return timing.timing_divergence(few_segments(words), curve, samples.withColumn("duration", F.lit(9.9)))
+    return timing.timing_divergence(few_segments(words), curve, samples.withColumn("duration", F.lit(10.0)))
 
 
 @query("a19_split_metrics", """WITH s AS (SELECT sample_id, coalesce(min(start) FILTER (start > 3 OR (start <= 3 AND 3 < "end")), max_by("end", idx)) AS split_t FROM words GROUP BY sample_id), j AS (SELECT w.*, split_t, "end" <= split_t AS pre FROM words w JOIN s USING (sample_id)),
@@ -320,12 +323,24 @@ def _(words):
     return timing.split_metrics(words, words.select("sample_id").distinct().withColumn("mark", F.lit(3.0)))
 
 
-@query("a26_benchmark_table", f"WITH {TAKE} SELECT 'model' AS model, sum(take_turn) FILTER (sample_id % 2 = 0) / count(*) FILTER (sample_id % 2 = 0) AS pause_turn_rate, sum(take_turn) FILTER (sample_id % 2 = 1) / count(*) FILTER (sample_id % 2 = 1) AS smooth_turn_rate, avg(CASE WHEN take_turn = 1 AND sample_id % 2 = 1 THEN greatest(first_start - 0.5, 0) END) AS smooth_latency FROM v", "words")
+@query("a8_summary", f"""WITH {SEGS}, tot AS (SELECT DISTINCT sample_id FROM words), n AS (SELECT s.sample_id, ss, se, count(w.idx) AS n FROM s LEFT JOIN words w ON w.sample_id = s.sample_id AND ((start >= ss AND "end" <= se) OR (start <= se AND "end" > se) OR (start <= ss AND "end" > ss)) GROUP BY s.sample_id, ss, se),
+f AS (SELECT sample_id, count(*) AS k, max_by(CASE WHEN n > 3 THEN 1 WHEN se - ss < 1 AND n <= 2 THEN 0 ELSE 1 END, ss) AS flag FROM n GROUP BY sample_id),
+m AS (SELECT coalesce(flag, 0)::double AS flag, coalesce(k, 0) / 10.0::double AS freq FROM tot LEFT JOIN f USING (sample_id))
+SELECT 'turn_flag' AS metric, avg(flag) AS mean, stddev_pop(flag) AS std, count(*) AS n FROM m UNION ALL SELECT 'frequency', avg(freq), stddev_pop(freq), count(*) FROM m UNION ALL SELECT 'distance', 1, 0, count(*) FROM m""", "words")
 def _(words):
-    v = timing.take_turn(words).withColumn("task", F.when(c("sample_id") % 2 == 0, "pause").otherwise("smooth"))
-    rates = v.groupBy(F.lit("model").alias("model")).pivot("task", ["pause", "smooth"]).agg(F.avg("take_turn")).withColumnsRenamed({"pause": "pause_turn_rate", "smooth": "smooth_turn_rate"})
-    ends = words.where(c("sample_id") % 2 == 1).select("sample_id", F.lit(0.5).alias("user_end")).distinct()
-    return rates.join(timing.latency(words, ends).agg(F.lit("model").alias("model"), F.avg("latency").alias("smooth_latency")), "model")
+    totals = words.select("sample_id").distinct().withColumn("duration", F.lit(10.0))
+    none = totals.select("sample_id", F.lit(None).cast("double").alias("distance")).where("sample_id is null")
+    return timing.backchannel_summary(timing.backchannels(few_segments(words), words), none, totals)
+
+
+@query("a26_benchmark_table", f"""WITH {TAKE}, k4 AS (SELECT *, sample_id % 4 AS k FROM v) SELECT 'model' AS model, avg(take_turn) FILTER (k = 0) AS pause_synthetic_turn_rate, avg(take_turn) FILTER (k = 1) AS pause_candor_turn_rate, NULL::double AS backchannel_turn_rate, NULL::double AS backchannel_frequency, NULL::double AS backchannel_distance,
+avg(take_turn) FILTER (k = 2) AS smooth_turn_rate, avg(greatest(first_start - 0.5, 0)) FILTER (k = 2 AND take_turn = 1) AS smooth_latency, avg(take_turn) FILTER (k = 3) AS interruption_turn_rate, NULL::double AS interruption_rating, avg(greatest(first_start - 0.5, 0)) FILTER (k = 3 AND take_turn = 1) AS interruption_latency FROM k4""", "words")
+def _(words):
+    task = F.element_at(F.array(*map(F.lit, ("pause_synthetic", "pause_candor", "smooth", "interruption"))), (c("sample_id") % 4 + 1).cast("int"))
+    rates = timing.take_turn(words).groupBy(task.alias("task")).agg(F.avg("take_turn").alias("value")).withColumn("measure", F.lit("turn_rate"))
+    ends = words.where(c("sample_id") % 4 >= 2).select("sample_id", F.lit(0.5).alias("user_end")).distinct()
+    waits = timing.latency(words, ends).groupBy(task.alias("task")).agg(F.avg("latency").alias("value")).withColumn("measure", F.lit("latency"))
+    return scoring.benchmark_table(rates.unionByName(waits).withColumn("model", F.lit("model")))
 
 
 EV = "judged_events"
@@ -347,9 +362,16 @@ def _(events):
     return timing.bin_overlap(events).select("setup", "task_id", "start", "end", "bin", "overlap")
 
 
-@query("a3_score_summary", "WITH e AS (SELECT setup, count(*) AS n_events, avg(tt) AS turn_score, avg(follow) AS follow_score FROM judged_events GROUP BY setup), k AS (SELECT setup, count(*) AS n_files, avg(task_id % 5) AS task_score FROM (SELECT DISTINCT setup, task_id FROM judged_events) GROUP BY setup) SELECT setup, n_events, n_files, turn_score, follow_score, task_score FROM e FULL JOIN k USING (setup)", EV)
+@query("a3_score_summary", """WITH e AS (SELECT setup, task_id, count(*) FILTER (tt <> 3 AND follow <> 2) AS n_events, round(avg(tt) FILTER (tt <> 3 AND follow <> 2), 3) AS turn_score, round(avg(follow) FILTER (tt <> 3 AND follow <> 2), 3) AS follow_score FROM judged_events GROUP BY setup, task_id),
+k AS (SELECT setup, task_id, count(score) AS n_files, round(avg(score), 3) AS task_score FROM (SELECT DISTINCT setup, task_id, nullif(task_id % 5, 0) AS score FROM judged_events) GROUP BY setup, task_id) SELECT setup, task_id, n_files, n_events, turn_score, follow_score, task_score FROM e JOIN k USING (setup, task_id)""", EV)
+def _(events):
+    some = events.select("setup", "task_id", F.when(c("tt") != 3, c("tt")).alias("tt"), F.when(c("follow") != 2, c("follow")).alias("follow"))
+    return scoring.score_summary(some, events.select("setup", "task_id", F.nullif(c("task_id") % 5, F.lit(0)).alias("score")).distinct())
+
+
+@query("a4_per_task", "SELECT DISTINCT setup || '/' || task_id AS task, (task_id % 5)::double AS score FROM judged_events WHERE task_id % 5 <> 0", EV)
 def _(events):
-    return scoring.score_summary(events, events.select("setup", "task_id", (c("task_id") % 5).alias("score")).distinct())
+    return scoring.per_task(events.select(c("setup").alias("split"), "task_id", F.nullif(c("task_id") % 5, F.lit(0)).alias("score")).distinct())
 
 
 @query("a4_task_scores", "SELECT setup AS split, avg(tt) AS score, count(tt) AS n, count(*) AS tasks FROM judged_events GROUP BY setup", EV)
@@ -362,10 +384,17 @@ def _(verdicts):
     return scoring.accuracy(verdicts)
 
 
-@query("a24_leaderboard", "WITH b AS (SELECT category AS subset, avg(cast(correct AS int)) * CASE WHEN category = 'src1' THEN 20 ELSE 100 END AS score, 0::bigint AS dropped FROM verdicts GROUP BY category) SELECT * FROM b UNION ALL SELECT 'OVERALL', avg(score), 0 FROM b", "verdicts")
+@query("a24_leaderboard", """WITH r AS (SELECT category AS subset, CASE WHEN doc_id % 5 = 0 THEN 'small' ELSE 'large' END AS region, CASE WHEN category IN ('src2', 'src3') THEN 'open' ELSE 'mcq' END AS evaluator, doc_id % 7 = 0 AS mute, doc_id % 11 = 0 AS bare, (cast(correct AS int) + doc_id % 3) / 2.0::double AS v FROM verdicts),
+d AS (SELECT *, mute OR (evaluator = 'open' AND bare) AS dropped FROM r), g AS (SELECT subset, region, avg(v) FILTER (NOT dropped AND NOT bare) AS v, count(*) FILTER (dropped) AS dropped FROM d GROUP BY subset, region),
+b AS (SELECT subset, avg(v) * CASE subset WHEN 'src1' THEN 20 WHEN 'src2' THEN 100 ELSE 1 END AS score, sum(dropped) AS dropped FROM g GROUP BY subset) SELECT * FROM b UNION ALL SELECT 'OVERALL', avg(score), sum(dropped) FROM b""", "verdicts")
 def _(verdicts):
-    records = verdicts.select(c("category").alias("subset"), F.array(c("correct").cast("int").cast("string")).alias("score"))
-    return scoring.leaderboard(records, {"src1": 20.0} | {f"src{i}": 100.0 for i in range(64) if i != 1})
+    k = c("doc_id")
+    score = F.when(k % 11 != 0, F.array(c("correct").cast("int").cast("string"), (k % 3).cast("string"), F.lit("?"))).otherwise(F.array().cast("array<string>"))
+    records = verdicts.select(
+        c("category").alias("subset"), F.when(k % 5 == 0, "small").otherwise("large").alias("region"), F.when(c("category").isin("src2", "src3"), "open").otherwise("mcq").alias("evaluator"),
+        F.when(k % 7 != 0, "said").alias("transcription"), score.alias("score"),
+    )
+    return scoring.leaderboard(records, {"src1": 20.0, "src2": 100.0})
 
 
 @query("a10_tag_ratios", "WITH g AS (SELECT CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'good' ELSE 'bad' END AS tag FROM labels UNION ALL SELECT 'any' FROM labels) SELECT tag, count(*) AS count, round(count(*) / sum(count(*)) OVER (), 2) AS ratio FROM g GROUP BY tag")
@@ -428,12 +457,13 @@ def _(metrics):
     return stats.robust_mean(metrics, "trim")
 
 
-WIDE = """one AS (SELECT l_orderkey AS sample_id, 'price' AS metric, l_linenumber AS k, l_extendedprice::double AS value FROM lineitem WHERE l_linenumber <= 3), w AS (SELECT sample_id, metric, max(value) FILTER (k = 1) AS pre, max(value) FILTER (k = 2) AS post, max(value) FILTER (k = 3) AS clean FROM one GROUP BY sample_id, metric),
+WIDE = """one AS (SELECT l_orderkey AS sample_id, 'price' AS metric, l_linenumber % 3 AS k, l_extendedprice::double AS value FROM lineitem), w AS (SELECT sample_id, metric, max(value) FILTER (k = 1) AS pre, max(value) FILTER (k = 2) AS post, max(value) FILTER (k = 0) AS clean FROM one GROUP BY sample_id, metric),
 p AS (SELECT metric, 'pre_post' AS pair, pre AS b, post AS a FROM w UNION ALL SELECT metric, 'clean_post', clean, post FROM w), g AS (SELECT metric, pair, count(*) AS n_raw, count(a - b) AS n_valid, count(a - b) AS n_used, avg(b) FILTER (a - b IS NOT NULL) AS mean_before, avg(a) FILTER (a - b IS NOT NULL) AS mean_after, avg(a - b) AS mean_diff, stddev_samp(a - b) AS sd FROM p GROUP BY metric, pair)"""
 
 
 def price_metrics(table: Callable) -> DataFrame:
-    return table("lineitem").where("l_linenumber <= 3").select(c("l_orderkey").alias("sample_id"), F.when(c("l_linenumber") == 1, "pre").when(c("l_linenumber") == 2, "post").otherwise("clean").alias("phase"), F.lit("price").alias("metric"), c("l_extendedprice").cast("double").alias("value"))
+    phase = F.element_at(F.array(*map(F.lit, ("clean", "pre", "post"))), c("l_linenumber") % 3 + 1)
+    return table("lineitem").select(c("l_orderkey").alias("sample_id"), phase.alias("phase"), F.lit("price").alias("metric"), c("l_extendedprice").cast("double").alias("value"))
 
 
 @query("a21_paired_test", f"WITH {WIDE} SELECT *, n_used - 1 AS df, mean_diff / (sd / sqrt(n_used)) AS t, mean_diff / sd AS d_z FROM g")
@@ -447,9 +477,10 @@ def _(table):
     return found.withColumn("conclusion", stats.conclusion())
 
 
-@query("a22_holm", "WITH k AS (SELECT doc_id, (doc_id % 97 + 1) / 100.0::double AS p FROM labels), r AS (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p, doc_id) + 1) * p AS step FROM k) SELECT doc_id, p, max(least(1, step)) OVER (ORDER BY p, doc_id ROWS UNBOUNDED PRECEDING) AS p_holm FROM r")
+@query("a22_holm", "WITH k AS (SELECT doc_id // 20 AS report, doc_id, (doc_id % 97 + 1) / 100.0::double AS p FROM labels), r AS (SELECT *, (count(*) OVER (PARTITION BY report) - row_number() OVER (PARTITION BY report ORDER BY p, doc_id) + 1) * p AS step FROM k) SELECT report, doc_id, p, max(least(1, step)) OVER (PARTITION BY report ORDER BY p, doc_id ROWS UNBOUNDED PRECEDING) AS p_holm FROM r")
 def _(table):
-    return stats.holm(table("labels").select("doc_id", ((c("doc_id") % 97 + 1) / F.lit(100.0)).alias("p")), "p", "doc_id")
+    rows = table("labels").select(F.floor(c("doc_id") / 20).alias("report"), "doc_id", ((c("doc_id") % 97 + 1) / F.lit(100.0)).alias("p"))
+    return stats.holm(rows, "p", "doc_id", by=("report",))
 
 
 @query("a12_distribution", "SELECT count(duration) AS n, avg(duration) AS mean, median(duration) AS median, stddev_pop(duration) AS std, min(duration) AS least, max(duration) AS most FROM manifest", "manifest")
@@ -495,9 +526,9 @@ def _(clips):
     return speakers.best_clip(clips, "closest").select("speaker", "path", "duration")
 
 
-@query("w10_first_in_tolerance", "SELECT speaker, path, duration FROM clips QUALIFY row_number() OVER (PARTITION BY speaker ORDER BY CASE WHEN abs(duration - 10) <= 5 THEN 0 ELSE 1 END, path) = 1", "clips")
+@query("w10_first_in_tolerance", "SELECT speaker, path, duration FROM clips QUALIFY row_number() OVER (PARTITION BY speaker ORDER BY CASE WHEN abs(duration - 10) <= 0.02 THEN 0 ELSE abs(duration - 10) END, path) = 1", "clips")
 def _(clips):
-    return speakers.best_clip(clips, "first_in_tolerance").select("speaker", "path", "duration")
+    return speakers.best_clip(clips, "first_in_tolerance", tolerance=0.02).select("speaker", "path", "duration")
 
 
 @query("j1_with_durations", "SELECT d.doc_id AS path, CASE WHEN l.n > 1000 THEN l.n / 1000 ELSE l.n END AS duration FROM documents d LEFT JOIN (SELECT doc_id, doc_id * 2.0::double AS n FROM labels) l ON d.doc_id = l.doc_id")
@@ -591,7 +622,8 @@ def _(words):
     return corpus.with_prompt(words.withColumnRenamed("sample_id", "id"), prompts, True).drop("part")
 
 
-TIMELINE = f"""g AS (SELECT *, CASE WHEN lag(role) OVER w IS NULL THEN 0 WHEN lag(role) OVER w = role THEN 0.1 + 0.2 * {u_sql(42, 'conv_id', 'turn', chr(39) + 'gap' + chr(39))} ELSE 0.2 + 0.6 * {u_sql(42, 'conv_id', 'turn', chr(39) + 'gap' + chr(39))} END AS gap FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+TIMELINE = f"""l AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before, {u_sql(42, 'conv_id', 'turn', chr(39) + 'gap' + chr(39))} AS u FROM turns),
+g AS (SELECT *, CASE WHEN before IS NULL THEN 0 WHEN before = role THEN 0.2 + 0.6 * u WHEN role = 'assistant' THEN 0.1 + 0.3 * u ELSE 0.3 + 0.9 * u END AS gap FROM l),
 tl AS (SELECT conv_id, turn, role, 5.7 + sum(gap + duration) OVER (PARTITION BY conv_id ORDER BY turn) - duration AS start, 5.7 + sum(gap + duration) OVER (PARTITION BY conv_id ORDER BY turn) AS "end" FROM g)"""
 
 
@@ -677,9 +709,10 @@ def _(turns):
     return turns.select("conv_id", "turn", F.size(words).alias("n"), F.array_join(words, " ").alias("words"))
 
 
-@query("o6_intersect_words", "WITH w AS (SELECT d.doc_id, list_distinct(string_split(substr(text, 1, 400), ' ')) AS a, list_distinct(string_split(substr(text, 200, 400), ' ')) AS b FROM documents d) SELECT doc_id, len(list_intersect(a, b)) AS n FROM w")
+@query("o6_intersect_words", "WITH w AS (SELECT doc_id, string_split(substr(text, 1, length(text) // 2), ' ') AS a, string_split(substr(text, length(text) // 2 + 1), ' ') AS b FROM documents) SELECT doc_id, len(list_intersect(list_distinct(a), list_distinct(b))) AS n FROM w")
 def _(table):
-    return table("documents").select("doc_id", F.size(F.array_intersect(F.split(F.substring("text", 1, 400), " "), F.split(F.substring("text", 200, 400), " "))).alias("n"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    return table("documents").select("doc_id", F.size(X.common_words(F.substr("text", F.lit(1), half), F.substr("text", half + 1))).alias("n"))
 
 
 @query("s7_fallback", "SELECT doc_id, 'labels' AS origin FROM labels UNION ALL SELECT doc_id, 'documents' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -692,9 +725,9 @@ def _(table):
     return table("orders").select(c("o_orderkey").alias("path"), readers.wav_seconds(c("o_totalprice").cast("double") * 100).alias("duration"))
 
 
-@query("s12_import_corpus", "SELECT 'in/' || o_orderkey AS path, round(CASE WHEN l.q IS NULL OR l.q = 0 THEN 12.0::double ELSE l.q END, 2) AS duration FROM orders LEFT JOIN (SELECT l_orderkey, max(l_quantity)::double AS q FROM lineitem WHERE l_linenumber = 1 GROUP BY l_orderkey) l ON l.l_orderkey = o_orderkey WHERE CASE WHEN l.q IS NULL OR l.q = 0 THEN 12 ELSE l.q END >= 10")
+@query("s12_import_corpus", "SELECT 'in/' || o_orderkey AS path, round(CASE WHEN l.q IS NULL OR l.q = 0 THEN 12.0::double ELSE l.q END, 2) AS duration FROM orders LEFT JOIN (SELECT l_orderkey, max(l_quantity)::double AS q FROM lineitem GROUP BY l_orderkey) l ON l.l_orderkey = o_orderkey WHERE CASE WHEN l.q IS NULL OR l.q = 0 THEN 12 ELSE l.q END >= 10")
 def _(table):
-    known = table("lineitem").where("l_linenumber = 1").select(c("l_orderkey").cast("string").alias("path"), c("l_quantity").cast("double").alias("duration"))
+    known = table("lineitem").groupBy(c("l_orderkey").cast("string").alias("path")).agg(F.max("l_quantity").cast("double").alias("duration"))
     return readers.import_corpus(table("orders").select(c("o_orderkey").cast("string").alias("path"), F.lit(12.0).alias("probed")), known, "in/", 10)
 
 
@@ -707,8 +740,7 @@ def _(table):
 
 @query("a27_sample_counts", "SELECT d.source, count(*) AS n, count(l.doc_id) AS resumed, count(*) - count(l.doc_id) AS pending FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.source")
 def _(table):
-    j = table("documents").join(table("labels").select("doc_id", F.lit(1).alias("done")), "doc_id", "left")
-    return j.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count("done").alias("resumed"), F.count_if(c("done").isNull()).alias("pending"))
+    return corpus.sample_counts(table("documents"), table("labels"), "doc_id", "source")
 
 
 RUBRICS = {"system": "Judge the call.", "fluency": "Rate turn taking.", "following": "Rate following.", "format": "A JSON object."}

@@ -21,8 +21,8 @@ FROM (SELECT conv_id, turn, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 A
     "segments": """SELECT user_id AS sample_id, CASE WHEN event_type IN ('click', 'view') THEN 'user' ELSE 'model' END AS channel, epoch_us(ts) / 3.6e10::double AS start, epoch_us(ts) / 3.6e10::double + value / 50 AS "end" FROM events""",
     "judged_events": """SELECT event_type AS setup, user_id AS task_id, fmod(epoch_us(ts) / 3.6e10::double, 120::double) AS start, fmod(epoch_us(ts) / 3.6e10::double, 120::double) + value / 50 AS "end", 1 + event_id % 5 AS tt, 1 + (event_id // 5) % 5 AS follow FROM events""",
     "verdicts": "SELECT d.doc_id, d.source AS category, l.quality = 1 AS correct FROM labels l JOIN documents d ON l.doc_id = d.doc_id",
-    "metrics": """SELECT l_orderkey AS sample_id, CASE l_linenumber WHEN 1 THEN 'pre' WHEN 2 THEN 'post' ELSE 'clean' END AS phase, l_returnflag AS metric, l_extendedprice::double AS value FROM lineitem WHERE l_linenumber <= 3""",
-    "clips": "SELECT source AS speaker, cast(doc_id AS varchar) AS path, n_chars / 200.0::double AS duration, substr(text, 1, 80) AS text FROM documents",
+    "metrics": """SELECT l_orderkey AS sample_id, CASE l_linenumber % 3 WHEN 1 THEN 'pre' WHEN 2 THEN 'post' ELSE 'clean' END AS phase, l_returnflag AS metric, l_extendedprice::double AS value FROM lineitem""",
+    "clips": "SELECT source AS speaker, cast(doc_id AS varchar) AS path, n_chars / 200.0::double AS duration, text FROM documents",
     "pool": "SELECT c_name AS id, abs(c_acctbal)::double / 1000 AS duration, 'customer' AS source, cast(c_nationkey AS varchar) AS accent, c_name AS ref_path FROM customer UNION ALL SELECT s_name, abs(s_acctbal)::double / 1000, 'supplier', cast(s_nationkey AS varchar), s_name FROM supplier",
     "frames": "SELECT user_id AS path, CASE WHEN event_type IN ('click', 'view') THEN 0 ELSE 1 END AS channel, row_number() OVER (PARTITION BY user_id, CASE WHEN event_type IN ('click', 'view') THEN 0 ELSE 1 END ORDER BY ts, event_id) - 1 AS frame_idx, value / 5000 AS rms, 480 AS n, CASE WHEN value < 100 THEN 480 ELSE 0 END AS n_quiet FROM events",
 }
@@ -68,10 +68,10 @@ def view(spark: SparkSession, d: str, name: str) -> DataFrame:
     if name == "verdicts":
         return t(spark, d, "labels").join(t(spark, d, "documents"), "doc_id").select("doc_id", c("source").alias("category"), (c("quality") == 1).alias("correct"))
     if name == "metrics":
-        phase = F.when(c("l_linenumber") == 1, "pre").when(c("l_linenumber") == 2, "post").otherwise("clean")
-        return t(spark, d, "lineitem").where("l_linenumber <= 3").select(c("l_orderkey").alias("sample_id"), phase.alias("phase"), c("l_returnflag").alias("metric"), c("l_extendedprice").cast("double").alias("value"))
+        phase = F.when(c("l_linenumber") % 3 == 1, "pre").when(c("l_linenumber") % 3 == 2, "post").otherwise("clean")
+        return t(spark, d, "lineitem").select(c("l_orderkey").alias("sample_id"), phase.alias("phase"), c("l_returnflag").alias("metric"), c("l_extendedprice").cast("double").alias("value"))
     if name == "clips":
-        return t(spark, d, "documents").select(c("source").alias("speaker"), c("doc_id").cast("string").alias("path"), (c("n_chars") / F.lit(200.0)).alias("duration"), F.substring("text", 1, 80).alias("text"))
+        return t(spark, d, "documents").select(c("source").alias("speaker"), c("doc_id").cast("string").alias("path"), (c("n_chars") / F.lit(200.0)).alias("duration"), "text")
     if name == "pool":
         one = lambda table, x: t(spark, d, table).select(c(f"{x}_name").alias("id"), (F.abs(f"{x}_acctbal").cast("double") / 1000).alias("duration"), F.lit(table).alias("source"), c(f"{x}_nationkey").cast("string").alias("accent"), c(f"{x}_name").alias("ref_path"))
         return one("customer", "c").unionByName(one("supplier", "s"))
