@@ -33,8 +33,8 @@ def read_docs(spark: SparkSession, root: str, glob: str, schema: str) -> DataFra
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """S3: files that each hold one list of objects; a file with anything else is an error."""
-    text = spark.read.option("wholetext", True).text(path)
-    rows = text.select(F.when(F.ltrim("value").startswith("["), F.from_json("value", f"array<struct<{schema}>>")).otherwise(F.raise_error(F.lit("not a list"))).alias("rows"))
+    text = spark.read.text(path, wholetext=True)
+    rows = text.select(F.when(F.col("value").rlike(r"^\s*\["), F.from_json("value", f"array<struct<{schema}>>")).otherwise(F.raise_error(F.lit("not a list"))).alias("rows"))
     return rows.select(F.inline("rows"))
 
 
@@ -168,11 +168,13 @@ def import_corpus(files: DataFrame, durations: DataFrame, prefix: str, least_sec
     return j.where(F.col("duration") >= least_seconds).select(F.concat(F.lit(prefix), F.col("path")).alias("path"), F.round("duration", 2).alias("duration"))
 
 
-def explode_tasks(catalogue: DataFrame, keys: list[str], depth: int = 4) -> DataFrame:
-    """Every object of a JSON text (column ``value``) that has all ``keys``, down to ``depth``, as one row of text fields."""
-    level = catalogue.select(F.parse_json("value").alias("v"))
-    parts = []
-    for _ in range(depth):
+def explode_tasks(catalogue: DataFrame, keys: list[str]) -> DataFrame:
+    """Every object of a JSON text (column ``value``) that has all ``keys``, at any depth, as one row of text fields.
+
+    A catalogue is a few small files; whether there is another level is asked for each.
+    """
+    level, parts = catalogue.select(F.parse_json("value").alias("v")), []
+    while not parts or not level.isEmpty():
         parts.append(level)
         level = deeper(level)
     every = reduce(DataFrame.unionByName, parts)
@@ -182,8 +184,7 @@ def explode_tasks(catalogue: DataFrame, keys: list[str], depth: int = 4) -> Data
 
 def deeper(level: DataFrame) -> DataFrame:
     """The members of objects and lists."""
-    level.createOrReplaceTempView("turnweave_level")
-    return level.sparkSession.sql("SELECT x.value AS v FROM turnweave_level, LATERAL variant_explode(v) AS x")
+    return level.lateralJoin(level.sparkSession.tvf.variant_explode(F.col("v").outer())).select(F.col("value").alias("v"))
 
 
 def corpus_status(registry: DataFrame, manifest: DataFrame, data: DataFrame) -> DataFrame:
