@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at once.
 BATCH_BYTES = 8 << 20
+#: A Bloom filter has 2 to this power of bits, and takes a key's places from the bits behind these.
+FILTER_BITS, SHIFTS = 26, (0, 19, 38)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +37,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/turnweave/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_at = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialized tables that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents_of(docs: DataFrame) -> DataFrame:
@@ -143,3 +155,22 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
             seed = mix(seed * np.uint64(0x9E3779B97F4A7C15) + own[k : k + 1] + np.uint64(k + 1))
         out[starts[i]] = seed[0]
     return out, starts
+
+
+def filter_of(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of the column ``key``, as bytes: its words are put together by Spark, and are 2 ** (FILTER_BITS - 6) at most."""
+    places = F.explode(F.array(*(F.shiftrightunsigned("key", s).bitwiseAND((1 << FILTER_BITS) - 1) for s in SHIFTS)))
+    bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    words = keys.select(places.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out[np.asarray(words["word"])] = np.asarray(words["bits"])
+    return out.view(np.uint8)
+
+
+def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key may be in the filter; never false for one that is."""
+    found = np.ones(len(keys), bool)
+    for s in SHIFTS:
+        place = (keys >> np.uint64(s)) & np.uint64((1 << FILTER_BITS) - 1)
+        found &= (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & np.uint8(1)).astype(bool)
+    return found

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     logarithm of the longest path, end when nothing changes.
     """
     links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    links = materialize(links, "links")
+    links = materialize(links, "nodes")
     before = None
     while True:
         sign = links.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
@@ -30,6 +30,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         large = materialize(large, "large-star")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("x"), "m").union(low.select(F.col("a").alias("x"), "m"))
-        links = materialize(small.where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct(), "small-star")
+        fewer = materialize(small.where("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct(), "small-star")
+        discard(links, large)
+        links = fewer
     pairs = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return pairs.union(pairs.select(F.col("component").alias("node"), "component").distinct())

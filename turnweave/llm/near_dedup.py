@@ -9,8 +9,12 @@ then confirmed on the full sets.
 
 Documents with equal sets are one class, and only classes are compared.  In a bucket of equal
 bands every class is compared with one pivot, the class that shares most buckets with others,
-not with every other; after components are formed, classes outside a bucket's largest component
-are compared with the rest of the bucket, so no link between components is lost.
+not with every other.  Buckets that still hold several components go through an exact filter:
+let D(x) be the elements that x and the pivot don't share.  Then x and y differ in
+|D(x)| + |D(y)| - 2 |D(x) & D(y)| elements, and if x has no link to the pivot, a link from x to
+y needs common elements in D, so many that one is among the first few of D(x) and of D(y) in a
+common order.  Only classes that share such an element are compared, so copies that differ
+from each other by elements of their own are never paired, and no link is lost.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, documents_of, materialize, mix, over_texts, pieces, same, shingles
+from .common import Words, discard, documents_of, filter_of, materialize, may_hold, mix, over_texts, pieces, same, shingles
 from .components import connected_components
 
 #: Registers of a sketch, base of their scale, rate of the exponentials.
@@ -95,8 +99,9 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
     return over_texts(rows, work, "doc_id long, text_hash long, n_shingles long, set1 long, set2 long, registers binary")
 
 
-def bands(classes: DataFrame) -> DataFrame:
-    """class, band: the 64-bit key of each band of its registers."""
+def bands(classes: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
+    """class, band: the 64-bit key of each band of its registers; with ``wanted``, only those that may be in this filter."""
+    shipped = classes.sparkSession.sparkContext.broadcast(wanted)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 4 << 20, "registers"):
@@ -105,8 +110,10 @@ def bands(classes: DataFrame) -> DataFrame:
             key = np.zeros((n, BANDS), np.uint64)
             for k in range(ROWS):
                 key = key << np.uint64(8) | registers[:, k : ROWS * BANDS : ROWS].astype(np.uint64)
-            key = mix(key * np.uint64(64) + np.arange(BANDS, dtype=np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column("class")), BANDS)), pa.array(key.view(np.int64).ravel())], names=["class", "band"])
+            key = mix(key * np.uint64(64) + np.arange(BANDS, dtype=np.uint64)).ravel()
+            owner = np.repeat(np.asarray(batch.column("class")), BANDS)
+            kept = slice(None) if shipped.value is None else may_hold(shipped.value, key)
+            yield pa.RecordBatch.from_arrays([pa.array(owner[kept]), pa.array(key[kept].view(np.int64))], names=["class", "band"])
 
     return classes.select("class", "registers").mapInArrow(work, "class long, band long")
 
@@ -128,33 +135,115 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(work, "a long, b long")
 
 
+def sets_of(texts: pa.Array, size: int) -> list[np.ndarray]:
+    """The sorted set of shingles of each text; equal texts are read once."""
+    coded = texts.dictionary_encode()
+    every, starts = shingles(Words(coded.dictionary), size)
+    own = [np.unique(every[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
+    return [own[i] for i in coded.indices.to_pylist()]
+
+
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b, ...) with the texts of both, ta and text; texts: class, text."""
+    with_a = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("ta")), "a")
+    return with_a.join(texts.select(F.col("class").alias("b"), "text"), "b")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the similarity; texts: class, text."""
+    """The pairs whose full shingle sets reach the similarity."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 4 << 20):
-            sets = []
-            for c in ("ta", "text"):
-                coded = batch.column(c).dictionary_encode()
-                every, starts = shingles(Words(coded.dictionary), size)
-                own = [np.unique(every[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
-                sets.append([own[i] for i in coded.indices.to_pylist()])
+            sets = [sets_of(batch.column(c), size) for c in ("ta", "text")]
             both = np.array([len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(*sets, strict=True)])
             total = np.array([len(a) + len(b) for a, b in zip(*sets, strict=True)])
             yield batch.filter(pa.array(100 * both >= percent * (total - both))).select(["a", "b"])
 
-    with_a = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("ta")), "a")
-    return with_a.join(texts.select(F.col("class").alias("b"), "text"), "b").select("a", "b", "ta", "text").mapInArrow(work, "a long, b long")
+    return with_texts(pairs, texts).select("a", "b", "ta", "text").mapInArrow(work, "a long, b long")
 
 
-def link(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, tag: str) -> DataFrame:
-    """The links among candidate pairs (a < b, distinct)."""
-    pairs = materialize(likely(pairs, classes, percent), f"likely-{tag}")
-    named = materialize(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "doc_id", "text_hash"), "class"), f"named-{tag}")
-    rows = documents_of(docs).withColumn("text_hash", F.xxhash64("text"))
+def texts_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame, tag: str) -> DataFrame:
+    """class, text of the classes in pairs (a, b).  A filter of fixed size holds most other texts back from the shuffle."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "doc_id", "text_hash"), "class")
+    named = materialize(named, f"named-{tag}")
+    shipped = docs.sparkSession.sparkContext.broadcast(filter_of(named.select(F.col("text_hash").alias("key"))))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold(shipped.value, batch.column("text_hash").to_numpy().view(np.uint64))))
+
+    rows = documents_of(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(work, "doc_id long, text string, text_hash long")
+    found = rows.join(named.hint("merge"), ["doc_id", "text_hash"])
     # rows that repeat a document in full: any one of them
-    texts = rows.join(named, ["doc_id", "text_hash"]).select("class", "text").dropDuplicates(["class"])
-    return materialize(confirmed(pairs, materialize(texts, f"texts-{tag}"), size, percent), f"links-{tag}")
+    return materialize(found.groupBy("doc_id", "text_hash", "class").agg(F.first("text").alias("text")).select("class", "text"), f"texts-{tag}")
+
+
+def usual_elements(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """a, usual: the elements that a tenth or more of a pivot's classes have in D, the rarest first; for pivots of 20 classes or more."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 4 << 20):
+            each = [np.setxor1d(a, b, True) for a, b in zip(*(sets_of(batch.column(c), size) for c in ("ta", "text")), strict=True)]
+            owner = np.repeat(batch.column("a").to_numpy(), [len(x) for x in each])
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(each).view(np.int64))], names=["a", "element"])
+
+    large = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
+    seen = with_texts(pairs.join(large, "a", "left_semi"), texts).select("a", "ta", "text").mapInArrow(work, "a long, element long")
+    counts = seen.groupBy("a", "element").agg(F.count(F.lit(1)).alias("times")).join(large, "a").where("10 * times >= n")
+    return counts.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("times", "element")))["element"].alias("usual"))
+
+
+def differences(pairs: DataFrame, texts: DataFrame, usual: DataFrame, size: int, percent: int) -> DataFrame:
+    """The first elements of D(b) against pivot a: pivot, class, part, n (elements of the class), d (of D), excess, place, element, seeks, met.
+
+    With q = 100 + percent and r = 100 - percent, x and y are linked if and only if
+    q (d(x) + d(y) - 2 common) <= r (n(x) + n(y)), that is, if D(x) and D(y) have
+    (excess(x) + excess(y)) / 2q common elements or more, where excess = q d - r n.  Of two
+    linked classes the one of larger excess (at least r n(pivot), as it has no link to the
+    pivot) seeks, the other is met; ``seeks`` and ``met`` tell how far each must show its
+    elements, given that their sizes differ by no more than the similarity allows.  Any common
+    order is right; elements that the pivot lacks, which are mostly rare, come first, and the
+    ``usual`` ones of a pivot, which many of its classes have in D, last.
+    """
+    q, r = 100 + percent, 100 - percent
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 4 << 20):
+            columns, usual = [], batch.column("usual").to_pylist()
+            for k, (pivot, own) in enumerate(zip(*(sets_of(batch.column(c), size) for c in ("ta", "text")), strict=True)):
+                order = np.concatenate([np.setdiff1d(own, pivot, True), np.setdiff1d(pivot, own, True)]).view(np.int64)
+                if last := usual[k]:
+                    order = np.concatenate([order[~np.isin(order, last)], np.array(last)[np.isin(last, order)]])
+                n, d = len(own), len(order)
+                excess, edge = q * d - r * n, r * len(pivot)
+                met = min(d, (2 * q * d - excess - max(excess, edge)) // (2 * q) + 1)
+                widest = r * n * 100 // percent  # r times the largest set that may be linked
+                seeks = min(d, min(q * d + r * n + widest, 2 * (r * n + widest)) // (2 * q) + 1) if excess > edge else 0
+                shown = max(met, seeks, 0)
+                place = np.arange(shown)
+                columns.append((np.full(shown, k), np.full(shown, n), np.full(shown, d), np.full(shown, excess), np.full(shown, excess > edge), place, order[:shown], place < seeks, place < met))
+            row, *rest = (np.concatenate(c) for c in zip(*columns, strict=True))
+            named = batch.select(["a", "b", "part", "outside"]).take(pa.array(row)).columns
+            yield pa.RecordBatch.from_arrays([*named, *map(pa.array, rest)], names=["pivot", "class", "part", "outside", "n", "d", "excess", "far", "place", "element", "seeks", "met"])
+
+    schema = "pivot long, class long, part struct<doc_id: long, class: long>, outside boolean, n long, d long, excess long, far boolean, place long, element long, seeks boolean, met boolean"
+    return with_texts(pairs.join(usual, "a", "left"), texts).select("a", "b", "part", "outside", "usual", "ta", "text").mapInArrow(work, schema)
+
+
+def across(shown: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) between components, from ``differences``."""
+    x, y = shown.where("seeks").alias("x"), shown.where("met").alias("y")
+    common = (F.col("x.excess") + F.col("y.excess")) / (2 * (100 + percent))
+    fits = (
+        (F.col("x.part") != F.col("y.part"))
+        & (F.col("x.excess") >= F.col("y.excess"))
+        & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+        & (F.col("x.d") - F.col("x.place") >= common)
+        & (F.col("y.d") - F.col("y.place") >= common)
+    )
+    met = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.element") == F.col("y.element")) & fits).select("x.class", F.col("y.class").alias("other"))
+    linked = shown.where("outside and not far and place = 0").select("class", F.col("pivot").alias("other"))
+    return met.union(linked).select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -172,36 +261,62 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     # a class is named by a hash of its set: two texts under one doc_id stay two classes
     name = F.xxhash64("set1", "set2", "n_shingles")
     classes = materialize(grouped.select(name.alias("class"), "set1", "set2", "n_shingles", "first.doc_id", "first.text_hash", "registers"), "classes")
-    banded = materialize(bands(classes), "bands")
-    counted = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = materialize(banded.join(materialize(counted, "counted"), "band"), "buckets")
+    counted = materialize(bands(classes).groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counted")
+    shared = bands(classes, filter_of(counted.select(F.col("band").alias("key"))))
+    buckets = materialize(shared.join(counted, "band"), "buckets")
     # the class that shares most buckets with others is the likeliest to be linked to them
     central = materialize(buckets.groupBy("class").agg(F.sum("n").alias("shared")), "central")
-    pivots = buckets.join(central, "class").groupBy("band").agg(F.max(F.struct("shared", "class"))["class"].alias("p"))
-    star = buckets.join(materialize(pivots, "pivots"), "band").where("p <> class")
-    links = link(star.select(F.least("p", "class").alias("a"), F.greatest("p", "class").alias("b")).distinct(), classes, docs, size, percent, "first")
-    parts = materialize(connected_components(links), "parts")
-    # buckets that still hold several components
-    member = buckets.select("band", "class").join(parts, F.col("class") == F.col("node"), "left").select("band", "class", F.coalesce("component", "class").alias("part"))
-    sizes = member.groupBy("band", "part").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("band").agg(F.max(F.struct("n", "part")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("band", F.col("top.part").alias("main"))
-    left = materialize(member.join(materialize(mixed, "mixed"), "band"), "left")
-    outside = left.where("part <> main").select("band", F.col("class").alias("x"), F.col("part").alias("px"))
-    cross = outside.join(left, "band").where("px <> part")
-    more = cross.select(F.least("x", "class").alias("a"), F.greatest("x", "class").alias("b")).distinct()
-    more = link(more, classes, docs, size, percent, "second")
-    parts = materialize(connected_components(links.union(more)), "parts") if not more.isEmpty() else parts
-    # a component by its smallest document
-    of_class = materialize(classes.join(parts, F.col("class") == F.col("node"), "left").select("set1", "set2", "doc_id", F.coalesce("component", "class").alias("component")), "of-class")
-    smallest = of_class.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = materialize(of_class.join(smallest, "component").select("set1", "set2", "component_id"), "named")
+    pivots = materialize(buckets.join(central, "class").groupBy("band").agg(F.max(F.struct("shared", "class"))["class"].alias("p")), "pivots")
+    star = materialize(buckets.join(pivots, "band").where("p <> class").select("p", "class").distinct(), "star")
+    discard(buckets, counted, central, pivots)
+    pairs = materialize(likely(star.select(F.least("p", "class").alias("a"), F.greatest("p", "class").alias("b")).distinct(), classes, percent), "likely")
+    texts = texts_of(pairs, classes, docs, "first")
+    links = materialize(confirmed(pairs, texts, size, percent), "links")
+    discard(pairs, texts)
+    # nodes are ordered by document, so a component is named by its smallest one
+    node = classes.select("class", F.struct("doc_id", "class").alias("node"))
+    parts = components_of(links, node)
+    whole = materialize(node.join(parts, "node", "left").select("class", F.coalesce("component", "node").alias("part")), "parts")
+    # components whose buckets hold classes of others too: each has one class of its own, with most links, as its pivot
+    member = star.join(whole, "class").join(whole.select(F.col("class").alias("p"), F.col("part").alias("main")), "p")
+    member = materialize(member.select("main", "p", "class", "part", (F.col("part") != F.col("main")).alias("outside")), "members")
+    mixed = materialize(member.groupBy("p").agg(F.max("outside").alias("some")).where("some").select("p"), "mixed")
+    inside = member.join(mixed, "p").select("main", "class", "part").union(member.join(mixed, "p").select("main", F.col("p").alias("class"), F.col("main").alias("part"))).distinct()
+    degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("degree"))
+    central = inside.where("part = main").join(degree, "class", "left").groupBy("main").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)), "class"))["class"].alias("a"))
+    group = materialize(inside.join(central, "main").where("class <> a").select("a", F.col("class").alias("b"), "part", (F.col("part") != F.col("main")).alias("outside")), "groups")
+    texts = texts_of(group, classes, docs, "groups")
+    usual = materialize(usual_elements(group, texts, size), "usual")
+    shown = materialize(differences(group, texts, usual, size, percent), "differences")
+    pairs = materialize(across(shown, percent), "across")
+    discard(shown)
+    more = materialize(confirmed(pairs, texts, size, percent), "more-links")
+    parts = components_of(links.union(more), node)
+    named = materialize(classes.join(node, "class").join(parts, "node", "left").select("set1", "set2", F.coalesce("component.doc_id", "doc_id").alias("component_id")), "named")
+    discard(texts, star, whole)
     found = rows.drop("registers").join(named, ["set1", "set2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return found.select("doc_id", "text_hash", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def components_of(links: DataFrame, node: DataFrame) -> DataFrame:
+    """``connected_components`` of links between classes, by the nodes of ``node`` (class, node)."""
+    side = lambda x: node.select(F.col("class").alias(x), F.col("node").alias(f"n{x}"))
+    return connected_components(links.join(side("a"), "a").join(side("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b")))
+
+
 def keep_representatives(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of documents, all columns, whose document stands for its group."""
-    lost = near_duplicates(docs, size, percent).where(~F.col("kept")).select(F.col("doc_id").alias("lost_id"), F.col("text_hash").alias("lost_hash")).distinct()
-    text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return docs.join(lost, same(F.col("doc_id").cast("long"), F.col("lost_id")) & (text_hash == F.col("lost_hash")), "left_anti")
+    """The rows of documents, all columns, whose document stands for its group.
+
+    Which rows those are is said by :func:`near_duplicates`: rows with null, empty or blank
+    text and rows with a null doc_id stay, rows that repeat a kept document in full stay too.
+    Extra columns are carried, whatever their names.  An empty table stays empty.
+    """
+    lost = near_duplicates(docs, size, percent).where(~F.col("kept")).select("doc_id", "text_hash").distinct()
+    key = lambda of: (F.col(f"{of}.doc_id"), F.col(f"{of}.text_hash"))
+    # the rows as one column, so no name of theirs meets ours
+    held = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    text_hash = F.xxhash64(F.coalesce(F.col("row.text"), F.lit("")))
+    held = held.withColumn("doc_id", F.col("row.doc_id").cast("long")).withColumn("text_hash", text_hash).alias("held")
+    (a, b), (c, d) = key("held"), key("lost")
+    return held.join(lost.alias("lost"), same(a, c) & (b == d), "left_anti").select("row.*")
