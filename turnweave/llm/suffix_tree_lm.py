@@ -1,50 +1,43 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-Nodes are contexts of no, one or two words.  A context may enter the tree only if its share of
-all training tokens is ``min_context``, and keeps a next symbol only if the share of the pair
-is ``min_pair``; so there are at most 1 / min_context contexts of a length and 1 / min_pair
-next symbols for all contexts of a length, whatever the corpus.  A context stays if its next-symbol
-counts diverge from its parent's prediction by more (in log-likelihood) than they cost.  The
-counts behind these decisions are taken over the whole training corpus.
-
-The distribution of a node is its kept counts over its parent's distribution, which gets the
-mass of all other symbols and ``prior`` more; the root is the add-one word distribution.  It
-sums to one.  A token is scored in the longest suffix of its past that is a node.
+Nodes are contexts of any length.  A context of ``min_context`` occurrences in the whole
+training corpus, whose own suffix is a node, keeps the next symbols of ``min_pair`` occurrences
+that diverge from what its suffix predicts, and stays if its next-symbol counts diverge by more
+log-likelihood than its parameters cost.  Level k counts runs of k + 1 tokens; from the second
+level on, a run is counted if the level above counted it without its last token, and kept it
+without its first, so the tree grows where there is something to learn and stops by itself.
+(Bloom filters of fixed size say where such runs may be and never miss one; exact counts and
+joins decide.)  The thresholds are fixed counts, so the tree grows with the corpus; it is kept
+in tables.
+
+The distribution of a node: a kept symbol has (c + prior * q) / (n + prior), with q its chance
+at the node's suffix; all others share what is left in proportion to q.  The root is the add-one
+word distribution.  Each sums to one.  A token is scored in the longest suffix of its past that
+is a node.
+
+For scoring, the ``head`` nodes and symbols of most occurrences are broadcast (a fixed number).
+Tokens that may need others are joined to the tables, so nothing is left out.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, documents_of, fold_of, materialize, over_texts
+from .common import FILTER_BITS, Words, discard, documents_of, filter_of, fold_of, may_hold, materialize, mix, over_texts
 
 #: Stand-ins for the end of a text, counted as a token, and for what is before its first word.
-END, START = np.uint64(0x454E44), np.uint64(0x5354415254)
-#: Tokens counted at once in a task.
-PIECE = 24 << 20
-
-
-@dataclass
-class Tree:
-    """What scoring needs; all of bounded size.  Symbols are positions in ``symbols``."""
-
-    total: int  # N
-    distinct: int  # V
-    symbols: np.ndarray  # sorted hashes of frequent tokens
-    counts: np.ndarray
-    contexts: list[np.ndarray]  # for each length: sorted keys of the contexts
-    weights: list[np.ndarray]  # their log10 weight for what they don't keep
-    pairs: list[np.ndarray]  # for each length: sorted context * symbols + symbol
-    gains: list[np.ndarray]  # log10 of kept pair over the root's probability
-
-    def base(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + 1) / (self.total + self.distinct + 1))
+END, START = np.uint64(0x6A09E667F3BCC908), np.uint64(0x3B67AE8584CAA73B)
+#: Bytes of text counted, and scored, at once in a task; tokens, and nodes and kept symbols, that are broadcast for scoring.
+PIECE, SCORED, HEAD_TOKENS, HEAD = 8 << 20, 3 << 20, 500_000, 4_000_000
+#: How far the second token's hash is turned in the key of two tokens.
+TURN = 23
 
 
 def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -55,196 +48,338 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-class Tokens:
-    """Words and ends of a batch of texts: one run of tokens a text."""
+class Runs:
+    """The tokens of a batch of texts, each begun by START and ended by END, or of ``stretches``, and the keys of their runs."""
 
     def __init__(self, texts: pa.Array) -> None:
+        if pa.types.is_list(texts.type):
+            self.starts = texts.offsets.to_numpy().astype(np.int64) - texts.offsets[0].as_py()
+            self.keys = [texts.flatten().to_numpy(zero_copy_only=False).view(np.uint64)]
+            self.place = np.arange(self.starts[-1], dtype=np.int32) - np.repeat(self.starts[:-1], np.diff(self.starts)).astype(np.int32)
+            return
         words = Words(texts)
-        n = len(words.starts) - 1
-        self.starts = words.starts + np.arange(n + 1)
-        self.codes = np.full(self.starts[-1], len(words.uniques), np.int64)
-        self.codes[np.arange(len(words.codes)) + np.repeat(np.arange(n), words.lengths)] = words.codes
-        self.hashes = np.concatenate([words.unique_hashes(), [END]]).astype(np.uint64)
-        self.owners = np.repeat(np.arange(n), np.diff(self.starts))
+        n, m = len(words.starts) - 1, len(words.uniques)
+        self.starts = words.starts + 2 * np.arange(n + 1)
+        self.codes = np.full(self.starts[-1], m + 1, np.int32)
+        self.codes[self.starts[:-1]] = m
+        self.codes[np.arange(len(words.codes)) + np.repeat(1 + 2 * np.arange(n), words.lengths)] = words.codes
+        self.hashes = np.concatenate([words.unique_hashes(), [START, END]]).astype(np.uint64)
+        self.place = np.arange(self.starts[-1], dtype=np.int32) - np.repeat(self.starts[:-1], np.diff(self.starts)).astype(np.int32)
+        self.keys = [self.hashes[self.codes]]
+
+    def key(self, n: int) -> np.ndarray:
+        """Key of the run of ``n`` tokens that ends at each place; of no meaning where the text has fewer up to there."""
+        while len(self.keys) < n:
+            last, tokens = self.keys[-1], self.keys[0]
+            longer = np.zeros_like(tokens)
+            if len(self.keys) == 1:  # as SQL can make it of the two
+                longer[1:] = tokens[:-1] ^ (tokens[1:] << np.uint64(TURN) | tokens[1:] >> np.uint64(64 - TURN))
+            else:
+                longer[1:] = mix(last[:-1] * np.uint64(0x9E3779B97F4A7C15) + tokens[1:] + np.uint64(len(self.keys)))
+            self.keys.append(longer)
+        return self.keys[n - 1]
+
+
+def tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, where each is first, and how often it occurs."""
+    return np.unique(keys, return_index=True, return_counts=True)
 
-    def symbols(self, known: np.ndarray) -> np.ndarray:
-        return find(known, self.hashes)[self.codes]
 
-    def before(self, symbols: np.ndarray, k: int, start: int) -> np.ndarray:
-        """The symbol k places before each token; ``start`` before the text, so for k = 1 only its first token has it."""
-        out = np.full(len(symbols), start)
-        out[k:] = np.where(self.owners[k:] == self.owners[: len(symbols) - k], symbols[: len(symbols) - k], start)
-        return out
+def token_counts(docs: DataFrame) -> DataFrame:
+    """key (64-bit hash), c: of all tokens of all texts, ends included."""
 
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        r = Runs(batch.column("text"))
+        n = np.bincount(r.codes, minlength=len(r.hashes))
+        n[-2] = 0
+        return pa.RecordBatch.from_arrays([pa.array(r.hashes[n > 0].view(np.int64)), pa.array(n[n > 0])], names=["key", "c"])
 
-def tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(keys, return_counts=True)
+    return over_texts(docs.select("text"), work, "key long, c long", PIECE).groupBy("key").agg(F.sum("c").alias("c"))
 
 
-def training(docs: DataFrame, folds: int, held: int) -> DataFrame:
-    return documents_of(docs).where(fold_of(F.col("doc_id"), folds) != held)
+def pair_counts(docs: DataFrame, frequent: np.ndarray, least: int) -> DataFrame:
+    """key, context, suffix, c: pairs of tokens with ``least`` occurrences; ``frequent`` is a filter of the tokens that have so many."""
+    shipped = docs.sparkSession.sparkContext.broadcast(frequent)
 
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        r = Runs(batch.column("text"))
+        may = (may_hold(shipped.value, r.hashes) | (r.hashes == START))[r.codes]
+        at = 1 + np.flatnonzero(may[1:] & may[:-1] & (r.place[1:] >= 1))
+        keys, c = np.unique(r.codes[at - 1].astype(np.int64) << 32 | r.codes[at], return_counts=True)
+        columns = [r.hashes[keys >> 32], r.hashes[keys & 0xFFFFFFFF]]
+        return pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in columns), pa.array(c.astype(np.int32))], names=["context", "suffix", "c"])
+
+    rows = over_texts(docs.select("text"), work, "context long, suffix long, c int", PIECE)
+    key = F.col("context").bitwiseXOR(F.shiftleft("suffix", TURN).bitwiseOR(F.shiftrightunsigned("suffix", 64 - TURN)))
+    return rows.groupBy("context", "suffix").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select(key.alias("key"), "context", "suffix", "c")
 
-def token_counts(docs: DataFrame) -> DataFrame:
-    """token (64-bit hash), c: over all texts, ends included."""
+
+def stretches(docs: DataFrame, counted: np.ndarray) -> DataFrame:
+    """tokens array<long>: the longest stretches of three tokens and more in which every two neighbours pass the filter ``counted``.
+
+    All longer runs that may be counted lie in these, so the texts needn't be read for them again.
+    """
+    shipped = docs.sparkSession.sparkContext.broadcast(counted)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        t = Tokens(batch.column("text"))
-        n = np.bincount(t.codes, minlength=len(t.hashes))
-        return pa.RecordBatch.from_arrays([pa.array(t.hashes[n > 0].view(np.int64)), pa.array(n[n > 0])], names=["token", "c"])
+        r = Runs(batch.column("text"))
+        ok = r.place >= 1
+        ok[ok] = may_hold(shipped.value, r.key(2)[ok])
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], ok, [False]]).astype(np.int8)))
+        begin, end = edges[::2] - 1, edges[1::2]
+        begin, end = begin[end - begin >= 3], end[end - begin >= 3]
+        bounds = np.concatenate([[0], np.cumsum(end - begin)])
+        at = np.arange(bounds[-1]) + np.repeat(begin - bounds[:-1], end - begin)
+        return pa.RecordBatch.from_arrays([lists(bounds, pa.array(r.keys[0][at].view(np.int64)))], names=["tokens"])
 
-    return over_texts(docs.select("text"), work, "token long, c long", PIECE).groupBy("token").agg(F.sum("c").alias("c"))
+    return over_texts(docs.select("text"), work, "tokens array<long>", PIECE)
 
 
-def transitions(docs: DataFrame, model: Broadcast, depth: int) -> DataFrame:
-    """context, symbol, c: how often a symbol follows a candidate context of ``depth`` symbols.
+def run_counts(parts: DataFrame, n: int, begins: np.ndarray, ends: np.ndarray, least: int) -> DataFrame:
+    """key, context, suffix, c: runs of ``n`` tokens in ``stretches`` with ``least`` occurrences, the keys without their last and without their first token.
 
-    Symbol -1 holds every other token.  Candidate contexts are in model.value.contexts[depth - 1].
+    ``begins`` and ``ends`` are filters of the runs of n - 1 tokens with which a run may begin and end.
     """
+    shipped = parts.sparkSession.sparkContext.broadcast((begins, ends))
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tree = model.value
-        t = Tokens(batch.column("text"))
-        own = t.symbols(tree.symbols)
-        context = find(tree.contexts[depth - 1], context_keys(t, own, depth, len(tree.symbols)))
-        keys, n = tally((context * (len(tree.symbols) + 2) + own + 1)[context >= 0])
-        columns = [keys // (len(tree.symbols) + 2), keys % (len(tree.symbols) + 2) - 1, n]
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["context", "symbol", "c"])
-
-    return over_texts(docs.select("text"), work, "context long, symbol long, c long", PIECE).groupBy("context", "symbol").agg(F.sum("c").alias("c"))
-
-
-def context_keys(t: Tokens, own: np.ndarray, depth: int, n: int) -> np.ndarray:
-    """Key of the last ``depth`` symbols before each token: digits in base n + 2, the nearest last; negative if one is unknown."""
-    first = t.before(own, 1, n)
-    if depth == 1:
-        return first
-    second = t.before(own, 2, n)
-    return np.where((first >= 0) & (second >= 0) & (first < n), second * (n + 2) + first, -1)
-
-
-def fit(docs: DataFrame, folds: int, held: int, min_token: float, min_context: float, min_pair: float, prior: float, cost: float) -> tuple[Tree, DataFrame]:
-    """The tree, and the table of all token counts.  Only frequent symbols, contexts and pairs come to the driver."""
-    spark = docs.sparkSession
-    train = training(docs, folds, held)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            r = Runs(batch.column("tokens"))
+            shorter = r.key(n - 1)
+            at = np.flatnonzero(r.place >= n - 1)
+            for bits, back in zip(shipped.value[::-1], (0, 1), strict=True):
+                at = at[may_hold(bits, shorter[at - back])]
+            keys, first, c = tally(r.key(n)[at])
+            at = at[first]
+            columns = [keys, shorter[at - 1], shorter[at]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in columns), pa.array(c)], names=["key", "context", "suffix", "c"])
+
+    rows = parts.mapInArrow(work, "key long, context long, suffix long, c long")
+    return rows.groupBy("key").agg(F.first("context").alias("context"), F.first("suffix").alias("suffix"), F.sum("c").alias("c")).where(F.col("c") >= least)
+
+
+@dataclass
+class Tree:
+    """The tables of a tree.  Chances are log10, those of kept symbols as gains over the root."""
+
+    total: int  # N
+    distinct: int  # V
+    counts: DataFrame  # key, c of all tokens
+    nodes: list[DataFrame] = field(default_factory=list)  # of each level: key, c, weight for what the node doesn't keep
+    pairs: list[DataFrame] = field(default_factory=list)  # of each level: key, c, gain
+
+    def base(self, counts: np.ndarray) -> np.ndarray:
+        return np.log10((counts + 1) / (self.total + self.distinct + 1))
+
+
+def fit(docs: DataFrame, folds: int, held: int, min_context: int, min_pair: int, prior: float, cost: float) -> Tree:
+    train = documents_of(docs).where(fold_of(F.col("doc_id"), folds) != held)
     counts = materialize(token_counts(train), "tokens")
     size = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    total, distinct = size.n or 0, size.v
-    top = counts.where(F.col("c") >= max(2, min_token * total)).toArrow().to_pandas()
-    hashes, c = top["token"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
-    order = np.argsort(hashes)
-    tree = Tree(total, distinct, hashes[order], c[order], [], [], [], [])
-    n = len(tree.symbols)
-    root = 10.0 ** tree.base(tree.counts)
-    texts = int(c[hashes == END].sum()) if n else 0
-    candidates, candidate_counts = np.arange(n + 1), np.append(tree.counts, texts)
-    for depth in (1, 2):
-        kept = candidate_counts >= max(2, min_context * total)
-        tree.contexts.append(candidates[kept])
-        tree.weights.append(np.zeros(kept.sum()))
-        tree.pairs.append(np.zeros(0, np.int64))
-        tree.gains.append(np.zeros(0))
-        if not kept.any():
+    tree = Tree(size.n or 0, size.v, counts)
+    price = float(cost * np.log(max(tree.total, 2)))
+    # what the level above has: runs and their counts; chances of their last symbols there and at the root
+    texts = counts.where(F.col("key") == int(END)).select(F.lit(int(START)).cast("long").alias("key"), "c")
+    runs = counts.unionByName(texts)
+    root = F.log10((F.col("c") + 1) / F.lit(float(tree.total + tree.distinct + 1)))
+    above = counts.select("key", root.alias("root"), F.lit(0.0).alias("gain"))
+    while True:
+        level = len(tree.nodes) + 1
+        begins = filter_of(runs.where(F.col("c") >= min_pair).select("key"))
+        if level == 2:
+            parts = materialize(stretches(train, begins), "stretches")
+        counted = pair_counts(train, begins, min_pair) if level == 1 else run_counts(parts, level + 1, begins, filter_of(above.select("key")), min_pair)
+        longer = materialize(counted, f"runs-{level}")
+        wholes = runs.where(F.col("c") >= min_context).select(F.col("key").alias("context"), F.col("c").alias("whole"))
+        tried = longer.join(wholes, "context").join(above.select(F.col("key").alias("suffix"), "root", F.col("gain").alias("parent")), "suffix")
+        q, c, whole = F.pow(F.lit(10.0), F.col("root") + F.col("parent")), F.col("c"), F.col("whole")
+        p = (c + prior * q) / (whole + prior)
+        tried = tried.select("key", "context", "c", "whole", "root", "parent", q.alias("q"), p.alias("p"), (c * F.log(p / q) > price).alias("kept"))
+        tried = materialize(tried, f"tried-{level}")
+        n = F.count(F.lit(1))
+        own = tried.where("kept").groupBy("context").agg(F.first("whole").alias("whole"), n.alias("n"), F.sum("c").alias("kept_c"), F.sum("p").alias("kept_p"), F.sum("q").alias("kept_q"), F.sum(c * F.log(F.col("p") / F.col("q"))).alias("won"))
+        # what is left for other symbols, and how it compares with their share at the suffix
+        weight = F.greatest(1 - F.col("kept_p"), F.lit(1e-12)) / F.greatest(1 - F.col("kept_q"), F.lit(1e-12))
+        gained = F.col("won") + (whole - F.col("kept_c")) * F.log(weight)
+        nodes = own.where(gained > price * (1 + F.col("n"))).select(F.col("context").alias("key"), F.col("whole").alias("c"), F.log10(weight).alias("weight"))
+        nodes = materialize(nodes, f"nodes-{level}")
+        if nodes.isEmpty():
+            return tree
+        known = tried.where("kept").join(nodes.select(F.col("key").alias("context")), "context", "left_semi").select("key", "c", "root", (F.log10("p") - F.col("root")).alias("gain"))
+        known = materialize(known, f"known-{level}")
+        tree.nodes.append(nodes)
+        tree.pairs.append(known.select("key", "c", "gain"))
+        discard(tried)
+        runs, above = longer.select("key", "c"), known.select("key", "root", "gain")
+
+
+@dataclass
+class Head:
+    """What is broadcast for scoring: keys are sorted."""
+
+    tokens: np.ndarray
+    counts: np.ndarray
+    nodes: np.ndarray
+    weights: np.ndarray
+    pairs: np.ndarray
+    gains: np.ndarray
+    node_filter: np.ndarray
+    pair_filter: np.ndarray
+    levels: int
+    total: int
+    distinct: int
+
+    base = Tree.base
+
+    def looked_up(self, keys: np.ndarray, values: np.ndarray, bits: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(value or NaN, whether only the tables know) of each wanted key."""
+        out, open_ = np.full(len(wanted), np.nan), np.zeros(len(wanted), bool)
+        maybe = np.flatnonzero(may_hold(bits, wanted))
+        at = find(keys, wanted[maybe])
+        out[maybe[at >= 0]] = values[at[at >= 0]]
+        open_[maybe[at < 0]] = True
+        return out, open_
+
+    def node(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.looked_up(self.nodes, self.weights, self.node_filter, wanted)
+
+    def pair(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.looked_up(self.pairs, self.gains, self.pair_filter, wanted)
+
+    def score(self, r: Runs) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """(gain of each place over the root; what must be asked of the tables for places whose gain is left at 0).
+
+        The latter has a row for each such place and level: place, level, node, pair, and of
+        these weight and gain where they are known already.
+        """
+        gain, open_ = np.zeros(len(r.codes)), np.zeros(len(r.codes), bool)
+        weight, unsure = (x[r.codes] for x in self.node(r.hashes))
+        at = 1 + np.flatnonzero((r.place[1:] >= 1) & (unsure[:-1] | ~np.isnan(weight[:-1])))
+        weight, unsure = weight[at - 1], unsure[at - 1]
+        for level in range(1, self.levels + 1):
+            open_[at[unsure]] = True
+            at, weight = at[~unsure], weight[~unsure]
+            if not len(at):
+                break
+            kept, unsure = self.pair(r.key(level + 1)[at])
+            open_[at[unsure]] = True
+            gain[at] = np.where(np.isnan(kept), weight + gain[at], kept)
+            at = at[~unsure & (r.place[at] >= level + 1)]
+            if level < self.levels:
+                weight, unsure = self.node(r.key(level + 1)[at - 1])
+                node = unsure | ~np.isnan(weight)
+                at, weight, unsure = at[node], weight[node], unsure[node]
+        gain[open_] = 0
+        asked: list[tuple] = []
+        at = np.flatnonzero(open_)
+        for level in range(1, self.levels + 1):
+            at = at[r.place[at] >= level]
+            node, pair = r.key(level)[at - 1], r.key(level + 1)[at]
+            weight, unsure = self.node(node)
+            may = unsure | ~np.isnan(weight)
+            at, node, pair, weight = at[may], node[may], pair[may], weight[may]
+            asked.append((at, np.full(len(at), level), node.view(np.int64), pair.view(np.int64), weight, self.pair(pair)[0]))
+        columns = [np.concatenate(x) for x in zip(*asked, strict=True)] if asked else [np.zeros(0, np.int64)] * 6
+        order = np.argsort(columns[0], kind="stable")
+        return gain, dict(zip(("place", "level", "node", "pair", "weight", "gain"), (c[order] for c in columns), strict=True))
+
+
+def most_frequent(table: DataFrame, most: int) -> DataFrame:
+    """The rows with c from the smallest power of two on that leaves ``most`` rows at most."""
+    sizes = table.groupBy(F.floor(F.log2("c")).alias("power")).count().collect()
+    power, held = 64, 0
+    for r in sorted(sizes, key=lambda r: -r.power):
+        held += r["count"]
+        if held > most:
             break
-        shipped = spark.sparkContext.broadcast(tree)
-        found = materialize(transitions(train, shipped, depth), f"transitions-{depth}")
-        whole = np.zeros(kept.sum(), np.int64)
-        sums = found.groupBy("context").agg(F.sum("c").alias("c")).toArrow().to_pandas()
-        whole[sums["context"].to_numpy(int)] = sums["c"].to_numpy(int)
-        pairs = found.where((F.col("symbol") >= 0) & (F.col("c") >= max(2, min_pair * total))).toArrow().to_pandas().sort_values(["context", "symbol"])
-        context, symbol, c = (pairs[k].to_numpy(np.int64) for k in ("context", "symbol", "c"))
-        parent = np.log10(root[symbol])
-        if depth == 2:
-            near = find(tree.contexts[0], tree.contexts[1][context] % (n + 2))
-            parent = parent + gain_of(tree, 0, near, symbol)
-        held_back = whole - np.bincount(context, c, len(whole)) + prior
-        inside = (c + held_back[context] * 10.0**parent) / (whole[context] + prior)
-        # divergence of the node from its parent, as log-likelihood of its counts, less what its parameters cost
-        weight = np.log(held_back / (whole + prior))
-        gain = np.bincount(context, c * (np.log(inside) - parent * np.log(10)), len(whole)) + (held_back - prior) * weight
-        stays = gain > cost * np.log(max(total, 2)) * (1 + np.bincount(context, minlength=len(whole)))
-        tree.weights[-1] = np.log10(held_back / (whole + prior))
-        if depth == 1:
-            keys = tree.contexts[0][context] * (n + 2) + symbol
-            order = np.argsort(keys)
-            candidates, candidate_counts = keys[order], c[order]
-        new = np.cumsum(stays) - 1
-        ok = stays[context]
-        tree.contexts[-1], tree.weights[-1] = tree.contexts[-1][stays], tree.weights[-1][stays]
-        tree.pairs[-1], tree.gains[-1] = (new[context] * (n + 2) + symbol)[ok], (np.log10(inside) - np.log10(root[symbol]))[ok]
-        shipped.destroy()
-    return tree, counts
-
-
-def gain_of(tree: Tree, level: int, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """log10 of P(symbol | context) over the root's, for contexts of ``level`` + 1 words (-1: not a node)."""
-    out = np.zeros(len(symbol))
-    is_node = context >= 0
-    if not len(tree.contexts[level]) or not is_node.any():
-        return out
-    at = find(tree.pairs[level], np.where(is_node & (symbol >= 0), context * (len(tree.symbols) + 2) + symbol, -1))
-    if level == 0:
-        back = tree.weights[0][context]
-    else:
-        near = find(tree.contexts[0], tree.contexts[1][context] % (len(tree.symbols) + 2))
-        back = tree.weights[1][context] + gain_of(tree, 0, near, symbol)
-    kept = tree.gains[level][at] if len(tree.gains[level]) else 0.0
-    return np.where(is_node, np.where(at >= 0, kept, back), 0.0)
-
-
-def score_gain(tree: Tree, t: Tokens, own: np.ndarray) -> np.ndarray:
-    """log10 gain of each token over the root, in the longest suffix that is a node."""
-    n, out = len(tree.symbols), np.zeros(len(own))
-    for level, keys in enumerate(tree.contexts):
-        context = find(keys, context_keys(t, own, level + 1, n))
-        out = np.where(context >= 0, gain_of(tree, level, context, own), out)
-    return out
+        power = r.power
+    return table.where(F.col("c") >= float(2**power))
+
+
+def head_of(tree: Tree, head_tokens: int, head: int) -> Head:
+    def columns(table: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
+        got = table.select("key", value).toArrow()
+        keys, values = np.asarray(got["key"]).astype(np.int64).view(np.uint64), np.asarray(got[value])
+        order = np.argsort(keys)
+        return keys[order], values[order]
+
+    none, empty = (np.zeros(0, np.uint64), np.zeros(0)), np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    tokens = columns(most_frequent(tree.counts, head_tokens), "c")
+    nodes, pairs, filters = none, none, [empty, empty]
+    if tree.nodes:
+        every = [reduce(DataFrame.unionByName, x) for x in (tree.nodes, tree.pairs)]
+        nodes, pairs = columns(most_frequent(every[0], head // 4), "weight"), columns(most_frequent(every[1], head - head // 4), "gain")
+        filters = [filter_of(x.select("key")) for x in every]
+    return Head(*tokens, *nodes, *pairs, *filters, len(tree.nodes), tree.total, tree.distinct)
+
+
+def answered(asked: DataFrame, tree: Tree) -> DataFrame:
+    """row, gain: the sum of the gains of the places of a row that were asked of the tables."""
+    # what is known already gets a key of its own, so no key gathers it
+    own = F.xxhash64(F.lit("known"), "row", "a.place", "a.level")
+    rows = asked.select(
+        "row", "a.place", "a.level", F.when(F.isnan("a.weight"), F.col("a.node")).otherwise(own).alias("node"), F.when(F.isnan("a.gain"), F.col("a.pair")).otherwise(own).alias("pair"),
+        F.when(~F.isnan("a.weight"), F.col("a.weight")).alias("weight"), F.when(~F.isnan("a.gain"), F.col("a.gain")).alias("gain"),
+    )
+    nodes = reduce(DataFrame.unionByName, tree.nodes).select(F.col("key").alias("node"), F.col("weight").alias("w"))
+    pairs = reduce(DataFrame.unionByName, tree.pairs).select(F.col("key").alias("pair"), F.col("gain").alias("g"))
+    rows = rows.join(nodes, "node", "left").join(pairs, "pair", "left").select("row", "place", "level", F.coalesce("weight", "w").alias("weight"), F.coalesce("gain", "g").alias("gain"))
+    # from the root up, as far as there are nodes
+    steps = F.sort_array(F.collect_list(F.struct("level", "weight", "gain")))
+    total = F.aggregate(steps, F.lit(0.0), lambda so_far, s: F.when(s["weight"].isNull(), so_far).otherwise(F.coalesce(s["gain"], s["weight"] + so_far)))
+    return rows.groupBy("row", "place").agg(total.alias("gain")).groupBy("row").agg(F.sum("gain").alias("asked_gain"))
+
+
+def lists(bounds: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)
 
 
 def suffix_tree_scores(
-    docs: DataFrame, folds: int = 7, held: int = 2, min_token: float = 1e-6, min_context: float = 1e-4, min_pair: float = 2e-6, prior: float = 4.0, cost: float = 0.5
+    docs: DataFrame, folds: int = 7, held: int = 2, min_context: int = 8, min_pair: int = 4, prior: float = 4.0, cost: float = 0.5, head_tokens: int = HEAD_TOKENS, head: int = HEAD
 ) -> DataFrame:
     """Base and tree scores (log10) of every row of documents; the fold ``held`` of crc32(doc_id) doesn't train.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.  Null or
     empty text: its end alone.  Repeated rows train each and score alike.  With no training
-    rows, N and V are 0 and every score 0.  Tokens are known by 64-bit hashes.
-
-    Frequent tokens (at most 1 / min_token) are scored against the broadcast tree.  The others
-    are joined to the counts, a row for each (document, token).
+    rows, N and V are 0 and every score 0.  Tokens and runs are known by 64-bit hashes.
+    ``head_tokens`` and ``head`` only bound what is broadcast; they change no result.
     """
-    tree, counts = fit(docs, folds, held, min_token, min_context, min_pair, prior, cost)
-    shipped = docs.sparkSession.sparkContext.broadcast(tree)
+    tree = fit(docs, folds, held, min_context, min_pair, prior, cost)
+    known = head_of(tree, head_tokens, head)
+    shipped = docs.sparkSession.sparkContext.broadcast(known)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tree = shipped.value
-        t = Tokens(batch.column("text"))
-        own, n = t.symbols(tree.symbols), batch.num_rows
-        common = own >= 0
+        h, n = shipped.value, batch.num_rows
+        r = Runs(batch.column("text"))
+        symbol, owner = r.place >= 1, np.repeat(np.arange(n), np.diff(r.starts))
+        own = find(h.tokens, r.hashes)[r.codes]
+        common = symbol & (own >= 0)
         base = np.zeros(len(own))
-        base[common] = tree.base(tree.counts)[own[common]]
-        add = lambda x: np.bincount(t.owners, x, n)
-        rare_keys, rare_n = tally(((t.owners << 32) | t.codes)[~common])
-        bounds = np.searchsorted(rare_keys >> 32, np.arange(n + 1))
-        hashes = t.hashes.view(np.int64)[rare_keys & 0xFFFFFFFF]
-        tokens = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes))
-        times = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(rare_n))
-        columns = [batch.column("doc_id"), pa.array(np.diff(t.starts)), pa.array(add(common).astype(np.int64)), pa.array(add(base)), pa.array(add(score_gain(tree, t, own))), tokens, times]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "common", "base", "gain", "tokens", "times"])
-
-    scored = over_texts(documents_of(docs), work, "doc_id long, n_tokens long, common long, base double, gain double, tokens array<long>, times array<long>")
-    scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("tokens", "times")).alias("x")).select("row", F.col("x.tokens").alias("token"), F.col("x.times").alias("times"))
-    seen = counts.where(F.col("c") < max(2, min_token * tree.total))
+        base[common] = h.base(h.counts)[own[common]]
+        gain, asked = h.score(r)
+        add = lambda x: np.bincount(owner, x, n)
+        rare, _, times = tally((owner.astype(np.int64) << 32 | r.codes)[symbol & ~common])
+        bounds = np.searchsorted(rare >> 32, np.arange(n + 1))
+        hashes = r.hashes.view(np.int64)[rare & 0xFFFFFFFF]
+        open_bounds = np.searchsorted(asked["place"], r.starts)
+        columns = [
+            batch.column("doc_id"), pa.array(np.diff(r.starts) - 1), pa.array(add(common).astype(np.int64)), pa.array(add(base)), pa.array(add(gain)),
+            lists(bounds, pa.array(hashes)), lists(bounds, pa.array(times)), lists(open_bounds, pa.StructArray.from_arrays([pa.array(x) for x in asked.values()], names=list(asked))),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "common", "base", "gain", "tokens", "times", "asked"])
+
+    schema = "doc_id long, n_tokens long, common long, base double, gain double, tokens array<long>, times array<long>, asked array<struct<place: long, level: long, node: long, pair: long, weight: double, gain: double>>"
+    scored = materialize(over_texts(documents_of(docs), work, schema, SCORED).withColumn("row", F.monotonically_increasing_id()), "scored")
+    rare = scored.select("row", F.explode(F.arrays_zip("tokens", "times")).alias("x")).select("row", F.col("x.tokens").alias("key"), F.col("x.times").alias("times"))
     unseen_log = float(tree.base(np.zeros(1))[0]) if tree.total or tree.distinct else 0.0
-    per_doc = (
-        rare.join(seen, "token")
-        .groupBy("row")
-        .agg(F.sum("times").alias("rare_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("rare_log"))
-    )
-    joined = scored.drop("tokens", "times").join(per_doc, "row", "left")
+    per_doc = rare.join(tree.counts, "key").groupBy("row").agg(F.sum("times").alias("rare_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("rare_log"))
+    joined = scored.drop("tokens", "times", "asked").join(per_doc, "row", "left")
+    extra: Column = F.col("gain")
+    if tree.nodes:
+        joined = joined.join(answered(scored.select("row", F.explode("asked").alias("a")), tree), "row", "left")
+        extra = extra + F.coalesce("asked_gain", F.lit(0.0))
     base = F.col("base") + (F.col("n_tokens") - F.col("common")) * F.lit(unseen_log) + F.coalesce("rare_log", F.lit(0.0))
     return joined.select(
         "doc_id", (fold_of(F.col("doc_id"), folds) == held).alias("held_out"), "n_tokens", (F.col("common") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(tree.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score"),
+        F.lit(tree.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + extra).alias("score"),
     )
