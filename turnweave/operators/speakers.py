@@ -65,13 +65,12 @@ def dedup_pool(pool: DataFrame, sources: list[str]) -> DataFrame:
 
 
 def pool_summary(pool: DataFrame, by: list[str]) -> DataFrame:
-    """Counts and durations in all and by each attribute alone: attribute (null: all), value."""
-    sets = reduce(DataFrame.unionByName, (pool.groupBy(F.lit(c).alias("attribute"), F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias("value")).agg(*pool_measures()) for c in by))
-    return sets.unionByName(pool.agg(*pool_measures()).select(F.lit(None).cast("string").alias("attribute"), F.lit(None).cast("string").alias("value"), "n", "shortest", "longest", "mean"))
-
-
-def pool_measures() -> list[Column]:
-    return [F.count(F.lit(1)).alias("n"), F.min("duration").alias("shortest"), F.max("duration").alias("longest"), F.avg("duration").alias("mean")]
+    """Counts and durations in all and by each attribute alone: attribute (null: all), value.  The pool is read once."""
+    measures = [F.count(F.lit(1)).alias("n"), F.min("duration").alias("shortest"), F.max("duration").alias("longest"), F.avg("duration").alias("mean")]
+    known = pool.select("duration", *(F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(c) for c in by))
+    sets = known.groupingSets([*([known[c]] for c in by), []], *(known[c] for c in by)).agg(*measures)
+    attribute = F.coalesce(*(F.when(F.col(c).isNotNull(), F.lit(c)) for c in by))
+    return sets.select(attribute.alias("attribute"), F.coalesce(*by).alias("value"), "n", "shortest", "longest", "mean")
 
 
 def top_values(rows: DataFrame, column: str, k: int = 10) -> DataFrame:

@@ -17,9 +17,15 @@ def robust_values(metrics: DataFrame, keys: list[str], mode: str = "none", k: fl
     are.  Percentiles are exact and linear.
     """
     v = metrics.where("value is not null and not isnan(value)")
-    pct = lambda p: F.percentile("value", F.lit(p))
-    by = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), pct(0.25).alias("_q1"), pct(0.75).alias("_q3"), pct(0.5).alias("_med"), F.avg("value").alias("_mu"), F.stddev_samp("value").alias("_sd"), pct(share).alias("_lo"), pct(1 - share).alias("_hi"))
-    j = v.join(by, keys)
+    if mode not in ("none", "iqr", "mad", "zscore", "winsor", "trim"):
+        raise ValueError(f"unknown mode: {mode}")
+    if mode == "none":
+        return v
+    # only what the mode needs; the percentiles of a group in one pass over it
+    at = {"iqr": {"_q1": 0.25, "_q3": 0.75}, "mad": {"_med": 0.5}, "winsor": {"_lo": share, "_hi": 1 - share}, "trim": {"_lo": share, "_hi": 1 - share}}.get(mode, {})
+    needs = [F.percentile("value", F.array(*map(F.lit, at.values()))).alias("_p")] if at else [F.avg("value").alias("_mu"), F.stddev_samp("value").alias("_sd")]
+    by = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *needs)
+    j = v.join(by, keys).withColumns({name: F.col("_p")[i] for i, name in enumerate(at)})
     small, x = F.col("_n") < least, F.col("value")
     if mode == "iqr":
         k = 1.5 if k is None else k
@@ -35,10 +41,8 @@ def robust_values(metrics: DataFrame, keys: list[str], mode: str = "none", k: fl
         j = j.where(small | (F.col("_sd") <= 0) | (F.abs((x - F.col("_mu")) / F.col("_sd")) <= k))
     elif mode == "winsor":
         j = j.withColumn("value", F.when(small, x).otherwise(F.least(F.greatest(x, F.col("_lo")), F.col("_hi"))))
-    elif mode == "trim":
+    else:
         j = j.where(small | x.between(F.col("_lo"), F.col("_hi")))
-    elif mode != "none":
-        raise ValueError(f"unknown mode: {mode}")
     return j.select(*metrics.columns)
 
 

@@ -47,15 +47,21 @@ def sides(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
     return side("user", "us", "ue"), side("model", "ms", "me")
 
 
+def binned_sides(segments: DataFrame, width: float) -> tuple[DataFrame, DataFrame]:
+    """The user's and the model's segments that last, each under all its bins."""
+    user, model = sides(segments)
+    bins = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / width), F.floor(F.col(e) / width)))
+    return user.where("ue > us").withColumn("bin", bins("us", "ue")), model.where("me > ms").withColumn("bin", bins("ms", "me"))
+
+
 def overlaps(segments: DataFrame, width: float = 30.0) -> DataFrame:
     """Stretches where user and model speak at once; for each end (ms) the shortest.
 
     An equi-join on (sample, bin of ``width`` seconds): each segment is listed under all its
     bins, and a pair counts in the first bin that both have.
     """
-    user, model = sides(segments)
-    bins = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / width), F.floor(F.col(e) / width)))
-    pairs = user.where("ue > us").withColumn("bin", bins("us", "ue")).join(model.where("me > ms").withColumn("bin", bins("ms", "me")), ["sample_id", "bin"])
+    user, model = binned_sides(segments, width)
+    pairs = user.join(model, ["sample_id", "bin"])
     pairs = pairs.where((F.col("us") < F.col("me")) & (F.col("ms") < F.col("ue")) & (F.col("bin") == F.floor(F.greatest("us", "ms") / width)))
     found = pairs.select("sample_id", F.greatest("us", "ms").alias("start"), F.least("ue", "me").alias("end"))
     order = Window.partitionBy("sample_id", milliseconds(F.col("end"))).orderBy(F.desc("start"), "end")
@@ -72,9 +78,12 @@ def response_gaps(segments: DataFrame) -> DataFrame:
     return pairs.groupBy("sample_id", milliseconds(F.col("next")).alias("start_ms")).agg(F.max("t").alias("user_end"), F.max_by("next", "t").alias("model_start"))
 
 
-def has_overlap(segments: DataFrame) -> DataFrame:
+def has_overlap(segments: DataFrame, width: float = 30.0) -> DataFrame:
     """Per sample, whether user and model ever overlap."""
-    found = overlaps(segments).select("sample_id").distinct().withColumn("overlap", F.lit(True))
+    user, model = binned_sides(segments, width)
+    u, m = user.alias("u"), model.alias("m")
+    meet = (F.col("u.sample_id") == F.col("m.sample_id")) & (F.col("u.bin") == F.col("m.bin")) & (F.col("us") < F.col("me")) & (F.col("ms") < F.col("ue"))
+    found = u.join(m, meet, "left_semi").select("sample_id").distinct().withColumn("overlap", F.lit(True))
     return segments.select("sample_id").distinct().join(found, "sample_id", "left").select("sample_id", F.coalesce("overlap", F.lit(False)).alias("overlap"))
 
 
