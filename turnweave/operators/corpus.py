@@ -44,8 +44,14 @@ def seeded_sample(df: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
     return seeded_order(df, seed, *key).limit(n)
 
 
-def train_eval_split(manifest: DataFrame, seed: int = 42, most: int = 500) -> DataFrame:
-    """Split is eval for the first least(most, greatest(1, n div 2)) rows in seeded order, else train.  Paths are unique."""
+def train_eval_split(manifest: DataFrame, seed: int = 42, most: int = 500, given: DataFrame | None = None) -> DataFrame:
+    """Rows with a column split.  Rows of an eval manifest that is ``given`` are eval, and all others train.
+
+    Without such rows, the first least(most, greatest(1, n div 2)) rows in seeded order are eval;
+    n is counted when this is called.  Paths are unique.
+    """
+    if given is not None and not given.isEmpty():
+        return manifest.withColumn("split", F.lit("train")).unionByName(given.withColumn("split", F.lit("eval")))
     k = min(most, max(1, manifest.count() // 2))
     evals = seeded_sample(manifest, k, seed, "path").select(F.col("path").alias("eval_path"))
     return manifest.join(evals, F.col("path") == F.col("eval_path"), "left").withColumn("split", F.when(F.col("eval_path").isNotNull(), "eval").otherwise("train")).drop("eval_path")

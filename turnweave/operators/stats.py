@@ -96,18 +96,29 @@ def t_level(df: pd.Series, alpha: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(n) or n < 1 else t_quantile(a, n) for n, a in zip(df, alpha, strict=True)], dtype="float64")
 
 
-def paired_differences(metrics: DataFrame, trim: str | None = "mad", k: float | None = None) -> DataFrame:
-    """Pairs (sample_id, metric, pair, before, after, value = difference) for pre_post and clean_post, trimmed on the difference; null pairs go.  Of several values for one phase the largest counts."""
+def paired_differences(metrics: DataFrame, trim: str | None = "mad", k: float | None = None, on: str = "diff") -> DataFrame:
+    """Pairs (sample_id, metric, pair, before, after, value = difference) for pre_post and clean_post; of several values for one phase the largest counts.
+
+    Trimming (mad or iqr; null pairs go) looks at the differences, or with ``on`` "both" at the
+    values of both sides together: a pair stays if both of its values do.
+    """
     wide = metrics.groupBy("sample_id", "metric").pivot("phase", ["pre", "post", "clean"]).agg(F.max("value"))
     listed = wide.select("sample_id", "metric", F.explode(F.array(*(F.struct(F.lit(f"{x}_post").alias("pair"), F.col(x).alias("before"), F.col("post").alias("after")) for x in ("pre", "clean")))).alias("p")).select("sample_id", "metric", "p.*")
     pairs = listed.withColumn("value", F.col("after") - F.col("before"))
-    return pairs if trim is None else robust_values(pairs, ["metric", "pair"], trim, k)
+    if trim is None:
+        return pairs
+    if on == "diff":
+        return robust_values(pairs, ["metric", "pair"], trim, k)
+    valid = pairs.where("value is not null")
+    sides = valid.select("sample_id", "metric", "pair", F.explode(F.array("before", "after")).alias("value"))
+    kept = robust_values(sides, ["metric", "pair"], trim, k).groupBy("metric", "pair", "sample_id").agg(F.count(F.lit(1)).alias("_sides")).where("_sides = 2")
+    return valid.join(kept, ["metric", "pair", "sample_id"], "left_semi").select(*pairs.columns)
 
 
-def paired_test(metrics: DataFrame, trim: str | None = "mad", k: float | None = None, alpha: float = 0.05) -> DataFrame:
+def paired_test(metrics: DataFrame, trim: str | None = "mad", k: float | None = None, alpha: float = 0.05, on: str = "diff") -> DataFrame:
     """Per metric and pair: n_raw, n_valid, n_used, means, sd, t, df, p, confidence bounds and d_z."""
     raw = paired_differences(metrics, None).groupBy("metric", "pair").agg(F.count(F.lit(1)).alias("n_raw"), F.count("value").alias("n_valid"))
-    d = paired_differences(metrics, trim, k).where("value is not null").groupBy("metric", "pair").agg(
+    d = paired_differences(metrics, trim, k, on).where("value is not null").groupBy("metric", "pair").agg(
         F.count(F.lit(1)).alias("n_used"), F.avg("before").alias("mean_before"), F.avg("after").alias("mean_after"), F.avg("value").alias("mean_diff"), F.stddev_samp("value").alias("sd"))
     out = raw.join(d, ["metric", "pair"], "left").withColumn("df", F.col("n_used") - 1)
     error = F.col("sd") / F.sqrt("n_used")
@@ -125,10 +136,16 @@ def holm(tests: DataFrame, p: str = "p", *ties: str, by: tuple[str, ...] = ()) -
 
 
 def conclusion(alpha: float = 0.05) -> Column:
-    """A sentence on each row of a paired test."""
-    way = F.when(F.col("mean_diff") > 0, "rises").otherwise("falls")
-    said = F.format_string("%s (%s): %s by %.3f (t=%.2f, p=%.4f, d=%.2f)", F.col("metric"), F.col("pair"), way, F.abs("mean_diff"), F.col("t"), F.col("p"), F.col("d_z"))
-    return F.when(F.col("p").isNull(), F.format_string("%s (%s): too few pairs", "metric", "pair")).when(F.col("p") < alpha, said).otherwise(F.format_string("%s (%s): no clear change (p=%.4f)", "metric", "pair", "p"))
+    """A sentence on each row of a paired test: direction, reliability, means, interval, t with its degrees of freedom, p, d_z and the pairs that were trimmed."""
+    way = F.when(F.col("mean_diff") > 0, "rises").when(F.col("mean_diff") < 0, "falls").otherwise("stays")
+    sure = F.when(F.col("p") < alpha, "reliably").otherwise("not reliably")
+    shown_p = F.when(F.col("p") < 0.001, "<.001").otherwise(F.format_string("%.3f", "p"))
+    said = F.format_string(
+        "%s (%s): %s, %s; %.2f to %.2f, difference %.2f [%.2f, %.2f], t(%d)=%.2f, p=%s, d_z=%.2f", F.col("metric"), F.col("pair"), way, sure, F.col("mean_before"), F.col("mean_after"),
+        F.col("mean_diff"), F.col("ci_low"), F.col("ci_high"), F.col("df"), F.col("t"), shown_p, F.col("d_z"),
+    )
+    trimmed = F.when(F.col("n_valid") > F.col("n_used"), F.format_string("; %d of %d pairs trimmed", F.col("n_valid") - F.col("n_used"), F.col("n_valid"))).otherwise("")
+    return F.when(F.col("p").isNull(), F.format_string("%s (%s): too few pairs", "metric", "pair")).otherwise(F.concat(said, trimmed))
 
 
 def distribution(rows: DataFrame, value: str) -> DataFrame:

@@ -471,6 +471,17 @@ def _(table):
     return stats.paired_test(price_metrics(table), None).drop("p", "ci_low", "ci_high")
 
 
+@query("a21_trim_both", f"""WITH {WIDE.rpartition(", g AS")[0]}, v AS (SELECT metric, pair, b, a FROM p WHERE a - b IS NOT NULL), q AS (SELECT metric, pair, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3 FROM (SELECT metric, pair, b AS x FROM v UNION ALL SELECT metric, pair, a FROM v) GROUP BY metric, pair),
+t AS (SELECT v.* FROM v JOIN q USING (metric, pair) WHERE b BETWEEN q1 - 0.6 * (q3 - q1) AND q3 + 0.6 * (q3 - q1) AND a BETWEEN q1 - 0.6 * (q3 - q1) AND q3 + 0.6 * (q3 - q1)) SELECT metric, pair, count(*) AS n_used, avg(b) AS mean_before, avg(a) AS mean_after, avg(a - b) AS mean_diff, stddev_samp(a - b) AS sd FROM t GROUP BY metric, pair""")
+def _(table):
+    return stats.paired_test(price_metrics(table), "iqr", 0.6, on="both").select("metric", "pair", "n_used", "mean_before", "mean_after", "mean_diff", "sd")
+
+
+@query("w9_given_split", "SELECT path, source, CASE WHEN source = 'src1' THEN 'eval' ELSE 'train' END AS split FROM manifest", "manifest")
+def _(m):
+    return corpus.train_eval_split(m.where("source <> 'src1'").select("path", "source"), given=m.where("source = 'src1'").select("path", "source"))
+
+
 @query("a21_paired_test_trimmed", None)
 def _(table):
     found = stats.holm(stats.paired_test(price_metrics(table), "mad"), "p", "metric", "pair")
