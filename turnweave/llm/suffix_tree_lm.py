@@ -44,7 +44,10 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Positions of ``wanted`` in sorted ``keys``, -1 where absent."""
     if not len(keys):
         return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    # in order, so that the search goes through the keys once
+    order = np.argsort(wanted)
+    at = np.empty(len(wanted), np.int64)
+    at[order] = np.minimum(np.searchsorted(keys, wanted[order]), len(keys) - 1)
     return np.where(keys[at] == wanted, at, -1)
 
 
@@ -79,6 +82,12 @@ class Runs:
             self.keys.append(longer)
         return self.keys[n - 1]
 
+    def key_at(self, n: int, at: np.ndarray) -> np.ndarray:
+        """``key(n)`` of some places, without that of all others."""
+        if n <= max(2, len(self.keys)):
+            return self.key(n)[at]
+        return mix(self.key_at(n - 1, at - 1) * np.uint64(0x9E3779B97F4A7C15) + self.keys[0][at] + np.uint64(n - 1))
+
 
 def tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, where each is first, and how often it occurs."""
@@ -261,12 +270,12 @@ class Head:
             at, weight = at[~unsure], weight[~unsure]
             if not len(at):
                 break
-            kept, unsure = self.pair(r.key(level + 1)[at])
+            kept, unsure = self.pair(r.key_at(level + 1, at))
             open_[at[unsure]] = True
             gain[at] = np.where(np.isnan(kept), weight + gain[at], kept)
             at = at[~unsure & (r.place[at] >= level + 1)]
             if level < self.levels:
-                weight, unsure = self.node(r.key(level + 1)[at - 1])
+                weight, unsure = self.node(r.key_at(level + 1, at - 1))
                 node = unsure | ~np.isnan(weight)
                 at, weight, unsure = at[node], weight[node], unsure[node]
         gain[open_] = 0
@@ -274,7 +283,7 @@ class Head:
         at = np.flatnonzero(open_)
         for level in range(1, self.levels + 1):
             at = at[r.place[at] >= level]
-            node, pair = r.key(level)[at - 1], r.key(level + 1)[at]
+            node, pair = r.key_at(level, at - 1), r.key_at(level + 1, at)
             weight, unsure = self.node(node)
             may = unsure | ~np.isnan(weight)
             at, node, pair, weight = at[may], node[may], pair[may], weight[may]
