@@ -308,7 +308,8 @@ def most_frequent(table: DataFrame, most: int) -> DataFrame:
 def head_of(tree: Tree, head_tokens: int, head: int) -> Head:
     def columns(table: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
         got = table.select("key", value).toArrow()
-        keys, values = np.asarray(got["key"]).astype(np.int64).view(np.uint64), np.asarray(got[value])
+        keys, values = got["key"].to_numpy().view(np.uint64), got[value].to_numpy()
+        del got  # the driver holds one copy at a time
         order = np.argsort(keys)
         return keys[order], values[order]
 
