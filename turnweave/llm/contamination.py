@@ -86,10 +86,21 @@ class MultiIndex:
         found = [items[starts[v] : starts[v + 1]] for v, (starts, items) in zip((int(x[0]) for x in self.blocks(np.array([print_]))), self.lists, strict=True)]
         return np.unique(np.concatenate(found))
 
+    def near_many(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among ``prints``, fingerprint) of all pairs within the radius, in order."""
+        found, n = [], max(1, len(self.prints))
+        for values, (starts, items) in zip(self.blocks(prints), self.lists, strict=True):
+            low, size = starts[values], starts[values + 1] - starts[values]
+            place = np.repeat(np.arange(len(prints)), size)
+            item = items[np.arange(len(place)) + np.repeat(low - np.cumsum(size) + size, size)]
+            close = np.bitwise_count(self.prints[item] ^ prints[place]) <= self.radius
+            found.append(place[close] * n + item[close])
+        pairs = np.unique(np.concatenate(found))
+        return pairs // n, pairs % n
+
     def near(self, print_: np.uint64) -> np.ndarray:
-        """The fingerprints within the radius."""
-        found = self.in_reach(print_)
-        return found[np.bitwise_count(self.prints[found] ^ print_) <= self.radius]
+        """The fingerprints within the radius of one."""
+        return self.near_many(np.array([print_]))[1]
 
 
 class Items:
@@ -140,13 +151,15 @@ class Items:
                 starts = np.flatnonzero(hits[width:] - hits[: len(hits) - width] >= (width + wanted) * self.least / (1 + self.least) - 1e-9)
                 if not len(starts):
                     continue
-                for start, print_ in zip(starts.tolist(), fingerprints(s, starts, width), strict=True):
-                    near = self.index.near(print_)
-                    near = near[self.length[near] == n]
-                    own = weights_of(s[start : start + width]) if len(near) else {}
-                    for i in near.tolist():
-                        if (j := similarity(own, self.weights[i])) >= self.least - 1e-12 and j > best.get(i, (0, 0))[0]:
-                            best[i] = j, start, min(n, len(hashes))
+                place, item = self.index.near_many(fingerprints(s, starts, width))
+                same_length = self.length[item] == n
+                own: dict[int, dict[int, int]] = {}
+                for k, i in zip(place[same_length].tolist(), item[same_length].tolist(), strict=True):
+                    start = int(starts[k])
+                    if k not in own:
+                        own[k] = weights_of(s[start : start + width])
+                    if (j := similarity(own[k], self.weights[i])) >= self.least - 1e-12 and j > best.get(i, (0, 0))[0]:
+                        best[i] = j, start, min(n, len(hashes))
         return [(i, *found) for i, found in sorted(best.items())]
 
     def search(self, texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, float, int, int]]]]:
