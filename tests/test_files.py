@@ -93,9 +93,9 @@ def test_sinks(spark, tmp_path):
         sinks.write_manifests(manifest, f"{out}/m")
     assert rows(spark.read.parquet(f"{out}/m/train"), "path", "duration") == [("a", 1.0), ("c", 3.0)]
     assert spark.read.parquet(f"{out}/m/eval").columns == ["path", "duration"] and spark.read.parquet(f"{out}/m/combined").count() == 3
-    sinks.save_docs(spark.createDataFrame([("A1", 1), ("B2", 2)], "category string, id int"), f"{out}/d")
-    sinks.save_docs(spark.createDataFrame([("B2", 3)], "category string, id int"), f"{out}/d")
-    assert rows(spark.read.parquet(f"{out}/d"), "category", "id") == [("A1", 1), ("B2", 3)]
+    sinks.save_docs(spark.createDataFrame([("A1", 1, "x"), ("B2", 2, "y")], "category string, id int, t string"), f"{out}/d")
+    sinks.save_docs(spark.createDataFrame([("B2", 3, "z"), ("A1", 1, "new")], "category string, id int, t string"), f"{out}/d")
+    assert rows(sinks.load_docs(spark, f"{out}/d"), "category", "id", "t") == [("A1", 1, "new"), ("B2", 2, "y"), ("B2", 3, "z")]
     sinks.write_scores(spark.createDataFrame([("x", 1.5), ("y, z", None)], "setup string, score double"), f"{out}/s")
     assert rows(spark.read.schema("setup string, score double").option("header", True).csv(f"{out}/s"), "setup") == [("x",), ("y, z",)]
     sinks.write_filtered(manifest.withColumn("wer", manifest.duration / 10), "wer < 0.25", ["path", "duration"], f"{out}/f")

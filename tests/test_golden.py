@@ -8,8 +8,8 @@ import pytest
 from turnweave.functions import text as X
 from turnweave.operators import corpus, scoring, stats, timing
 from turnweave.plans.model import apply_model
-from turnweave.sources import readers
-from turnweave.streaming.incremental import live_utterances, run_incremental
+from turnweave.sources import audio, readers
+from turnweave.streaming.incremental import live_utterances, read_incremental, run_incremental
 
 WORDS = "sample_id long, idx int, word string, start double, end double"
 
@@ -82,7 +82,7 @@ def test_frames(spark, tmp_path):
     with wave.open(str(tmp_path / "a.wav"), "wb") as w:
         w.setnchannels(2), w.setsampwidth(2), w.setframerate(1000)
         w.writeframes(np.repeat(np.array([[0, 16384]], "<i2"), 100, axis=0).tobytes())
-    found = readers.audio_frames(spark, f"file://{tmp_path}", 50).collect()
+    found = audio.audio_frames(spark, f"file://{tmp_path}", 50).collect()
     assert sorted((r.channel, r.frame_idx, r.rms, r.n, r.n_quiet) for r in found) == [(0, 0, 0.0, 50, 50), (0, 1, 0.0, 50, 50), (1, 0, 0.5, 50, 0), (1, 1, 0.5, 50, 0)]
 
 
@@ -109,7 +109,7 @@ def test_incremental_rerun_is_nothing(spark, tmp_path):
     go(), go()
     (tmp_path / "in/b.json").write_text('{"id": "2"}\n{"id": "3"}\n')
     go()
-    assert rows(spark.read.parquet(str(tmp_path / "out")), "id") == [("1",), ("2",), ("3",)]
+    assert rows(read_incremental(spark, str(tmp_path / "out"), "id"), "id") == [("1",), ("2",), ("3",)]
 
 
 def test_live_utterances_as_batch(spark):

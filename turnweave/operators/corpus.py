@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnweave.functions.seeding import uniform
+from turnweave.operators.stats import exact_quantiles
 
 #: Parts of the unit interval in which running sums are taken apart; each then holds few rows.
 PARTS = 4096
@@ -47,13 +48,15 @@ def seeded_sample(df: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
 def train_eval_split(manifest: DataFrame, seed: int = 42, most: int = 500, given: DataFrame | None = None) -> DataFrame:
     """Rows with a column split.  Rows of an eval manifest that is ``given`` are eval, and all others train.
 
-    Without such rows, the first least(most, greatest(1, n div 2)) rows in seeded order are eval;
-    n is counted when this is called.  Paths are unique.
+    Without such rows, the first least(most, greatest(1, n div 2)) rows in seeded order are
+    eval.  Paths are unique.
     """
     if given is not None and not given.isEmpty():
         return manifest.withColumn("split", F.lit("train")).unionByName(given.withColumn("split", F.lit("eval")))
-    k = min(most, max(1, manifest.count() // 2))
-    evals = seeded_sample(manifest, k, seed, "path").select(F.col("path").alias("eval_path"))
+    first = seeded_sample(manifest, most, seed, "path").select(F.col("path").alias("eval_path"))  # few rows, so one task numbers them
+    place = F.row_number().over(Window.orderBy(uniform(seed, "eval_path"), "eval_path"))
+    k = manifest.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / 2)).alias("k"))
+    evals = first.withColumn("place", place).crossJoin(F.broadcast(k)).where("place <= k").select("eval_path")
     return manifest.join(evals, F.col("path") == F.col("eval_path"), "left").withColumn("split", F.when(F.col("eval_path").isNotNull(), "eval").otherwise("train")).drop("eval_path")
 
 
@@ -205,10 +208,22 @@ def length_report(timeline: DataFrame, longest: float = 163.84) -> DataFrame:
     """Lengths of conversations, how many need a split, how they end, how many are good already."""
     by = timeline.groupBy("conv_id").agg(F.max("end").alias("length"), F.max_by("role", "turn").alias("last"))
     good = (F.col("length") <= longest) & (F.col("last") == "user")
-    return by.agg(
-        F.count(F.lit(1)).alias("conversations"), F.avg("length").alias("mean"), F.median("length").alias("median"), F.max("length").alias("longest"), F.count_if(F.col("length") > longest).alias("need_split"),
+    told = by.agg(
+        F.count(F.lit(1)).alias("conversations"), F.avg("length").alias("mean"), F.max("length").alias("longest"), F.count_if(F.col("length") > longest).alias("need_split"),
         F.count_if(F.col("last") == "user").alias("end_user"), F.count_if(F.col("last") == "assistant").alias("end_assistant"), F.count_if(good).alias("good"),
     )
+    return told.join(F.broadcast(exact_quantiles(by, [], "length", {"median": 0.5}).drop("n")), how="left")  # one row
+
+
+def split_report(timeline: DataFrame, chunks: DataFrame) -> DataFrame:
+    """After ``split_conversations``: conversations, those that gave a chunk, chunks, hours, and how many chunks end with the user or the assistant, in per cent too (of one at least)."""
+    last = F.try_element_at("turns", F.lit(-1))["role"]
+    share = lambda role: (F.count_if(last == role) * 100.0 / F.greatest(F.count(F.lit(1)), F.lit(1)))
+    told = chunks.agg(
+        F.count_distinct("conv_id").alias("split"), F.count(F.lit(1)).alias("chunks"), (F.coalesce(F.sum("duration"), F.lit(0.0)) / 3600).alias("hours"),
+        F.count_if(last == "user").alias("end_user"), share("user").alias("end_user_pct"), F.count_if(last == "assistant").alias("end_assistant"), share("assistant").alias("end_assistant_pct"),
+    )
+    return timeline.agg(F.count_distinct("conv_id").alias("conversations")).crossJoin(F.broadcast(told))  # one row each
 
 
 def with_meta(audio: DataFrame, meta: DataFrame) -> DataFrame:

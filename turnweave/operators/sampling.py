@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnweave.functions.seeding import pick, uniform
 from turnweave.functions.text import slot_key
+from turnweave.operators.ordering import dense_numbers
 
 
 def plan_slots(counts: DataFrame, done: DataFrame | None = None) -> DataFrame:
@@ -36,17 +37,52 @@ def data_type(slots: DataFrame, overrides: DataFrame, defaults: DataFrame, seed:
 
 
 def draw_traits(slots: DataFrame, taxonomy: DataFrame, seed: int = 42) -> DataFrame:
-    """Traits map of each slot: per taxonomy slot without parent an option, then, for slots with a parent option, one among those of the drawn parent.
-
-    taxonomy: category, slot, parent (option it depends on, or null), option.
+    """Traits map of each slot (id, category): one option of each taxonomy slot without parent, then of those that depend on an option just drawn, and so on to any depth.
+
+    taxonomy: category, slot, parent (an option of the category that it depends on, or null),
+    option, and weight if options differ in it; options of weight 0 or less are never drawn.
+    Options of one (category, slot, parent) are drawn by weight, each slot by a draw of its own.
+    A slot that several drawn options lead to takes the first of them, by depth and name.  How
+    deep the taxonomy is, a recursive query over it tells; one that leads back to itself is an
+    error.  Slots of categories that the taxonomy lacks have null.
+    """
+    weight = F.col("weight").cast("double") if "weight" in taxonomy.columns else F.lit(1.0)
+    options = taxonomy.select("category", F.col("slot").alias("trait"), "parent", "option", weight.alias("weight")).where("weight > 0")
+    group = Window.partitionBy("category", "trait", "parent")
+    bounds = options.withColumn("hi", F.sum("weight").over(group.orderBy("option").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("weight").over(group))
+    lists = bounds.groupBy("category", "trait", "parent").agg(F.array_sort(F.collect_list(F.struct("hi", "option"))).alias("options"))
+    u = uniform(seed, "id", "trait")
+    drawn = F.coalesce(F.get(F.filter("options", lambda o: o["hi"] > u), F.lit(0)), F.element_at("options", -1))["option"]
+    depth = slots.sparkSession.sql(
+        """WITH RECURSIVE reached(category, option, level) AS (
+             SELECT DISTINCT category, option, 1 FROM {options} WHERE parent IS NULL
+             UNION ALL
+             SELECT o.category, o.option, r.level + 1 FROM reached r JOIN {options} o ON o.category = r.category AND o.parent = r.option
+           ) SELECT max(level) AS depth FROM reached""",
+        options=options,
+    ).first().depth  # a taxonomy is a few thousand rows
+    level = slots.select("id", "category").join(lists.where("parent is null").drop("parent"), "category").select("id", "category", "trait", F.lit("").alias("parent"), drawn.alias("value"))
+    every = level.withColumn("depth", F.lit(1))
+    for k in range(2, (depth or 1) + 1):
+        above = level.select("id", "category", F.col("value").alias("parent")).distinct()
+        level = above.join(lists.where("parent is not null"), ["category", "parent"]).select("id", "category", "trait", "parent", drawn.alias("value"))
+        every = every.unionByName(level.withColumn("depth", F.lit(k)))
+    one = every.groupBy("id", "trait").agg(F.min(F.struct("depth", "parent", "value"))["value"].alias("value"))
+    return slots.join(one.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("trait", "value")))).alias("traits")), "id", "left")
+
+
+def style_pair(slots: DataFrame, styles: DataFrame, seed: int = 42, kind: str = "counterfactual") -> DataFrame:
+    """For slots (id, data_type, traits) of the ``kind`` two styles that differ in one dimension, as traits style_a, style_b and diff_dimension; other slots stay as they are.
+
+    styles: dimension, style_a, style_b.  A dimension is drawn first, each alike, then a pair of it.
     """
-    tops = taxonomy.where("parent is null").groupBy("category", F.col("slot").alias("trait")).agg(F.array_sort(F.collect_list("option")).alias("options"))
-    under = taxonomy.where("parent is not null").groupBy("category", F.col("slot").alias("trait"), "parent").agg(F.array_sort(F.collect_list("option")).alias("options"))
-    chosen = lambda: F.get(F.col("options"), pick(uniform(seed, "id", "trait"), F.size("options")).cast("int"))
-    first = slots.select("id", "category").join(tops, "category").withColumn("value", chosen())
-    second = first.select("id", "category", F.col("value").alias("parent")).join(under, ["category", "parent"]).withColumn("value", chosen())
-    both = first.select("id", "trait", "value").unionByName(second.select("id", "trait", "value"))
-    return slots.join(both.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("trait", "value")))).alias("traits")), "id", "left")
+    dimensions = styles.select(F.col("dimension").alias("option")).distinct().withColumn("weight", F.lit(1.0))
+    pairs = styles.select(F.col("dimension").alias("diff_dimension"), F.struct("style_a", "style_b").alias("option"), F.lit(1.0).alias("weight"))
+    found = weighted_choice(slots, dimensions, "style_dimension", seed, out="diff_dimension")
+    found = weighted_choice(found, pairs, "style_pair", seed, by=["diff_dimension"], out="_pair")
+    styled = F.create_map(F.lit("diff_dimension"), F.col("diff_dimension"), F.lit("style_a"), F.col("_pair.style_a"), F.lit("style_b"), F.col("_pair.style_b"))
+    traits = F.coalesce("traits", F.create_map().cast("map<string,string>"))
+    return found.withColumn("traits", F.when(F.col("data_type") == kind, F.map_concat(F.map_filter(traits, lambda k, v: ~k.isin("diff_dimension", "style_a", "style_b")), styled)).otherwise(F.col("traits"))).select(*slots.columns)
 
 
 def turn_count(low: int, high: int, seed: int = 42) -> Column:
@@ -72,14 +108,14 @@ def render_prompts(slots: DataFrame, templates: DataFrame) -> DataFrame:
 def assign_voices(conversations: DataFrame, presets: DataFrame, pool: DataFrame, seed: int = 42, fallback: str = "default") -> DataFrame:
     """A preset and a pool voice for each conversation, uniformly; an empty table gives the fallback.
 
-    Voices are numbered by id; a pool is thousands of rows, so one task numbers it.
+    Voices are numbered by id, by ranges and offsets.
     """
 
     def one(df: DataFrame, voices: DataFrame, draw: str) -> DataFrame:
-        numbered = voices.select(F.col("id").alias(draw)).withColumn("_k", F.row_number().over(Window.orderBy(draw)) - 1)
-        n = numbered.count()
-        if n == 0:
-            return df.withColumn(draw, F.lit(fallback))
-        return df.withColumn("_k", pick(uniform(seed, "id", F.lit(draw)), n).cast("int")).join(numbered, "_k", "left").drop("_k")
+        numbered = dense_numbers(voices.select(F.col("id").alias(draw)), [draw], "_k")
+        total = numbered.agg(F.coalesce(F.max("_k_total"), F.lit(0)).alias("_n"))
+        k = F.when(F.col("_n") > 0, pick(uniform(seed, "id", F.lit(draw)), F.col("_n")))
+        drawn = df.crossJoin(F.broadcast(total)).withColumn("_k", k).join(numbered.drop("_k_total"), "_k", "left")  # one row
+        return drawn.withColumn(draw, F.when(F.col("_n") > 0, F.col(draw)).otherwise(fallback)).drop("_k", "_n")
 
     return one(one(conversations, presets, "assistant_voice"), pool, "user_voice")

@@ -6,12 +6,14 @@ from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from turnweave.functions.text import content_words, drop_short_directions
+from turnweave.functions.edits import distances
+from turnweave.functions.text import bad_transcription, content_words, drop_short_directions
 from turnweave.operators.timing import bin_overlap
 
 
@@ -54,6 +56,17 @@ def benchmark_table(values: DataFrame) -> DataFrame:
     return values.groupBy("model").agg(*(cell(t, m) for t, m in BENCHMARK_CELLS))
 
 
+def by_prefix(samples: DataFrame, prefixes: list[str], key: str = "sample_id") -> DataFrame:
+    """Samples of the subsets that their ids name ("subset_rest"), with columns subset and key, the rest of the id (all of it if nothing is left).
+
+    A sample is in every subset whose name and an underscore begin its id; others are dropped.
+    """
+    names = F.explode(F.filter(F.array(*map(F.lit, prefixes)), lambda p: F.startswith(F.col(key), F.concat(p, F.lit("_")))))
+    found = samples.select("*", names.alias("subset"))
+    rest = F.substring(F.col(key), F.length("subset") + 2, F.length(key))
+    return found.withColumn(key, F.when(rest == "", F.col(key)).otherwise(rest))
+
+
 def score_by_bin(events: DataFrame, width: float = 15.0, until: float = 120.0) -> DataFrame:
     """A5, long form: duration-weighted means for each setup and bin."""
     b = bin_overlap(events, width, until)
@@ -81,6 +94,14 @@ def leaderboard(records: DataFrame, scales: dict[str, float]) -> DataFrame:
     return by.unionByName(by.agg(F.lit("OVERALL").alias("subset"), F.avg("score").alias("score"), F.sum("dropped").alias("dropped")))
 
 
+def clear_bad(records: DataFrame, force: bool = False) -> DataFrame:
+    """Records (transcription, score) with a column pending; a bad transcription is pending, and if there is one it goes with its score; with ``force`` every record's go."""
+    bad = F.lit(True) if force else bad_transcription(F.col("transcription"))
+    stale = bad & (F.lit(True) if force else F.col("transcription").isNotNull())
+    kept = {c: F.when(~stale, F.col(c)) for c in ("transcription", "score")}
+    return records.withColumns(kept | {"pending": bad})
+
+
 def keep_old_scores(current: DataFrame, old: DataFrame) -> DataFrame:
     """An old score stays only where its transcription is the current one.  Both: unique_id, transcription; old: score."""
     o = old.select("unique_id", F.col("transcription").alias("old_text"), F.col("score").alias("old_score"))
@@ -110,32 +131,21 @@ def with_behaviour(samples: DataFrame, tags: DataFrame, wanted: str) -> DataFram
     return samples.join(tags.where(F.array_contains("behaviour", wanted)), "sample_id", "left_semi")
 
 
-@F.pandas_udf(IntegerType())
-def edits(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
-    """Word edit distance of two arrays; one row of the edit table at a time, insertions by a running minimum."""
-    out = []
-    for ref, hyp in zip(reference, hypothesis, strict=True):
-        if ref is None or hyp is None:
-            out.append(None)
-            continue
-        names = {w: k for k, w in enumerate({*ref, *hyp})}
-        a, b = np.array([names[w] for w in ref], int), [names[w] for w in hyp]
-        steps = np.arange(len(a) + 1)
-        row = steps.copy()
-        for k, w in enumerate(b, 1):
-            best = np.empty_like(row)
-            best[0] = k
-            best[1:] = np.minimum(row[1:] + 1, row[:-1] + (a != w))
-            row = np.minimum.accumulate(best - steps) + steps
-        out.append(int(row[-1]))
-    return pd.Series(out, dtype="Int32")
+@F.arrow_udf(IntegerType())
+def edits(reference: pa.Array, hypothesis: pa.Array) -> pa.Array:
+    """Word edit distance of two arrays, see ``distances``."""
+    ends = np.cumsum([0, len(reference.flatten()), len(hypothesis.flatten())])
+    codes = pa.concat_arrays([x.flatten().cast(pa.string()) for x in (reference, hypothesis)]).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    parts = [(codes[ends[k] : ends[k + 1]], np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False))])) for k, x in enumerate((reference, hypothesis))]
+    null = pc.or_(reference.is_null(), hypothesis.is_null()).to_numpy(zero_copy_only=False)
+    return pa.array(distances(*parts), pa.int32(), mask=null)
 
 
 def word_errors(reference: Column, hypothesis: Column) -> Column:
     """Q1: word error rate: edits over reference words; 0 for an empty reference.
 
-    The words are cut in generated code; the edit distance comes in Arrow batches, since a fold
-    over two arrays builds a new array for each word.
+    The words are cut in generated code; the edit distance comes in Arrow batches, many pairs
+    side by side.
     """
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
     ref, hyp = words(drop_short_directions(reference)), words(F.lower(F.trim(hypothesis)))
@@ -159,29 +169,6 @@ def last_rating(reply: Column, low: int = 0, high: int = 5) -> Column:
     return F.when(found.between(low, high), found)
 
 
-def parse_judged(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Q3: judged events (setup, task_id, pos, start, end, tt, follow) and task scores (setup, task_id, score) of replies.
-
-    Braced pairs and start/end objects count as [a, b].  An item is one or more intervals, then
-    a colon and two scores that all its intervals share.  The last task score wins.  What
-    doesn't parse gives no rows.
-    """
-    from turnweave.functions.text import time_seconds
-
-    text = F.regexp_replace(F.regexp_replace("reply", r"```(?:json)?", " "), r"\{\s*([\d.:\"']+)\s*,\s*([\d.:\"']+)\s*\}", r"[$1, $2]")
-    text = F.regexp_replace(text, r"\{\s*[\"']?start[\"']?\s*:\s*([\d.:\"']+?)\s*,\s*[\"']?end[\"']?\s*:\s*([\d.:\"']+?)\s*\}", r"[$1, $2]")
-    pair = r"\[\s*([\d.:\"']+)\s*,\s*([\d.:\"']+)\s*\]"
-    item = rf"((?:\[?\s*{pair.replace('(', '(?:')}\s*,?\s*\]?\s*)+)[:,]\s*\[?\s*(\d+(?:\.\d+)?|null)\s*,\s*(\d+(?:\.\d+)?|null)"
-    base = replies.select("setup", "task_id", text.alias("t"))
-    spans, tt, follow = (F.regexp_extract_all("t", F.lit(item), k) for k in (1, 2, 3))
-    items = base.select("setup", "task_id", F.posexplode(F.arrays_zip(spans.alias("spans"), tt.alias("tt"), follow.alias("follow"))).alias("pos", "i"))
-    starts, ends = (F.regexp_extract_all("i.spans", F.lit(pair), k) for k in (1, 2))
-    rows = items.select("setup", "task_id", "pos", F.explode(F.arrays_zip(starts.alias("s"), ends.alias("e"))).alias("x"), F.col("i.tt").try_cast("double").alias("tt"), F.col("i.follow").try_cast("double").alias("follow"))
-    events = rows.select("setup", "task_id", "pos", time_seconds(F.col("x.s")).alias("start"), time_seconds(F.col("x.e")).alias("end"), "tt", "follow").where("start is not null and end is not null")
-    score = F.try_element_at(F.regexp_extract_all("t", F.lit(r"(?i)task[ _]?score[\"']?\s*[:=]\s*[\"']?(\d+(?:\.\d+)?)"), 1), F.lit(-1)).try_cast("double")
-    return events, base.select("setup", "task_id", score.alias("score")).where("score is not null")
-
-
 #: Phrases that correct, and that flag a contradiction.
 CORRECTIVE = ["actually", "mix-up", "mixup", "i think you mean", "i said", "what i said", "to be precise", "small mix"]
 SOFT_FLAGS = ["did i catch that wrong", "has something shifted", "did something change", "i thought you mentioned", "i had it in my head", "did i misunderstand", "to double-check", "you mentioned earlier", "you said earlier you"]

@@ -3,12 +3,57 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from turnweave.functions.shared import materialize
+
+
+def exact_quantiles(rows: DataFrame, keys: list[str], value: str | Column, at: dict[str, float]) -> DataFrame:
+    """keys, n (values that are numbers) and under each name of ``at`` the exact quantile, linear between neighbours; groups without values have no row.
+
+    Selection in two passes, in which no task holds a group.  A mergeable sketch of each group
+    gives two cuts around each quantile.  Then values under the lower cut are only counted, those
+    above the upper one are left out, and those between, a part of the group as small as a
+    fraction of what a task reads, are counted by value and looked through in order.  The
+    sketch's error is a fifth of the cuts' distance from the quantile, so that its rank is
+    always between them; if it were not, that would be an error and no wrong value.
+    """
+    x = (F.col(value) if isinstance(value, str) else value).cast("double")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    reach, shares = 1 / (4 * parts), list(at.values())
+    bounds = [b for q in shares for b in (max(0.0, q - reach), min(1.0, q + reach))]
+    values = rows.select(*keys, x.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    cuts = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_x", F.array(*map(F.lit, bounds)), F.lit(20 * parts)).alias("_cuts")).where("n > 0")
+    same = lambda other: reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(other[f"_{i}"]) for i, k in enumerate(keys)))
+    named = lambda df: df.select(*(F.col(k).alias(f"_{i}") for i, k in enumerate(keys)), *(c for c in df.columns if c not in keys))
+    facing = named(cuts)
+    joined = values.join(facing, same(facing)) if keys else values.crossJoin(F.broadcast(facing))  # one row without keys
+    # where a cut is less than four values off there is nothing to cut
+    whole, every = F.col("n") * reach < 4, range(len(shares))
+    low, high = (lambda i: F.when(whole, float("-inf")).otherwise(F.col("_cuts")[2 * i])), (lambda i: F.when(whole, float("inf")).otherwise(F.col("_cuts")[2 * i + 1]))
+    placed = joined.withColumns({f"_lo{i}": low(i) for i in every} | {f"_hi{i}": high(i) for i in every})
+    within = lambda x, i: (F.col(x) >= F.col(f"_lo{i}")) & (F.col(x) <= F.col(f"_hi{i}"))
+    # values outside all ranges fall together as null
+    cell = F.when(reduce(lambda a, b: a | b, (within("_x", i) for i in every)), F.col("_x"))
+    bounds = [F.max(f"_{end}{i}").alias(f"_{end}{i}") for end in ("lo", "hi") for i in every]
+    counted = placed.groupBy(*keys, "n", cell.alias("v")).agg(F.count(F.lit(1)).alias("k"), *(F.count_if(F.col("_x") < F.col(f"_lo{i}")).alias(f"_under{i}") for i in every), *bounds)
+    sides = F.explode(F.array(*(F.struct(F.lit(i).alias("q"), F.col(f"_under{i}").alias("under"), F.when(within("v", i), F.col("k")).alias("k")) for i in every)))
+    listed = counted.select(*keys, "n", "v", sides.alias("c")).select(*keys, "n", "v", "c.*").where("under > 0 or k is not null")
+    group = Window.partitionBy(*keys, "q")
+    running = F.sum("k").over(group.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    rank = F.element_at(F.array(*map(F.lit, shares)), F.col("q") + 1) * (F.col("n") - 1)
+    upto = listed.withColumn("_upto", F.sum("under").over(group) + running).withColumn("_rank", rank)
+    holds = lambda r: (r < F.col("_upto")) & (r >= F.col("_upto") - F.col("k"))
+    of = upto.groupBy(*keys, "n", "q", "_rank").agg(F.max(F.when(holds(F.floor("_rank")), F.col("v"))).alias("low"), F.max(F.when(holds(F.ceil("_rank")), F.col("v"))).alias("high"))
+    between = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise((F.ceil("_rank") - F.col("_rank")) * F.col("low") + (F.col("_rank") - F.floor("_rank")) * F.col("high"))
+    found = F.when(F.col("low").isNull() | F.col("high").isNull(), F.raise_error(F.lit("a quantile is outside its cuts"))).otherwise(between)
+    return of.groupBy(*keys, "n").agg(*(F.max(F.when(F.col("q") == i, found)).alias(name) for i, name in enumerate(at)))
+
 
 def robust_values(metrics: DataFrame, keys: list[str], mode: str = "none", k: float | None = None, share: float = 0.05, least: int = 3) -> DataFrame:
     """Values without outliers by group: none, iqr (1.5), mad (3.5), zscore (3), winsor or trim (``share`` at each end).
@@ -21,11 +66,10 @@ def robust_values(metrics: DataFrame, keys: list[str], mode: str = "none", k: fl
         raise ValueError(f"unknown mode: {mode}")
     if mode == "none":
         return v
-    # only what the mode needs; the percentiles of a group in one pass over it
+    # only what the mode needs
     at = {"iqr": {"_q1": 0.25, "_q3": 0.75}, "mad": {"_med": 0.5}, "winsor": {"_lo": share, "_hi": 1 - share}, "trim": {"_lo": share, "_hi": 1 - share}}.get(mode, {})
-    needs = [F.percentile("value", F.array(*map(F.lit, at.values()))).alias("_p")] if at else [F.avg("value").alias("_mu"), F.stddev_samp("value").alias("_sd")]
-    by = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *needs)
-    j = v.join(by, keys).withColumns({name: F.col("_p")[i] for i, name in enumerate(at)})
+    by = materialize(exact_quantiles(v, keys, "value", at), "quantiles").withColumnRenamed("n", "_n") if at else v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg("value").alias("_mu"), F.stddev_samp("value").alias("_sd"))
+    j = v.join(by, keys)
     small, x = F.col("_n") < least, F.col("value")
     if mode == "iqr":
         k = 1.5 if k is None else k
@@ -34,7 +78,7 @@ def robust_values(metrics: DataFrame, keys: list[str], mode: str = "none", k: fl
     elif mode == "mad":
         k = 3.5 if k is None else k
         dev = F.abs(x - F.col("_med"))
-        mads = j.groupBy(*keys).agg(F.percentile(dev, F.lit(0.5)).alias("_mad"))
+        mads = exact_quantiles(j, keys, dev, {"_mad": 0.5}).drop("n")
         j = j.join(mads, keys).where(small | (F.col("_mad") <= 0) | (dev / (F.col("_mad") * 1.4826) <= k)).drop("_mad")
     elif mode == "zscore":
         k = 3.0 if k is None else k
@@ -148,9 +192,15 @@ def conclusion(alpha: float = 0.05) -> Column:
     return F.when(F.col("p").isNull(), F.format_string("%s (%s): too few pairs", "metric", "pair")).otherwise(F.concat(said, trimmed))
 
 
-def distribution(rows: DataFrame, value: str) -> DataFrame:
-    """Mean, median, population deviation, least and most."""
-    return rows.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_pop(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("most"))
+def distribution(rows: DataFrame, value: str, by: list[str] | None = None, under: float | None = None) -> DataFrame:
+    """N, mean, median, population deviation, least and most, per group of ``by`` if given (then only groups with values); with ``under`` the share of values below it."""
+    x = F.col(value).cast("double")
+    told = [F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("most")]
+    if under is not None:
+        told.append(F.avg((x < under).cast("int")).alias("share_under"))
+    sums, medians = rows.groupBy(*(by or [])).agg(*told), exact_quantiles(rows, by or [], value, {"median": 0.5}).drop("n")
+    joined = sums.join(medians, by) if by else sums.join(F.broadcast(medians), how="left")  # one row
+    return joined.select(*(by or []), "n", "mean", "median", *(c for c in sums.columns if c not in ("n", "mean", *(by or []))))
 
 
 def histogram(rows: DataFrame, value: str, edges: list[float]) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from turnweave.functions import text as X
 from turnweave.functions.seeding import triangular, uniform
-from turnweave.operators import corpus, frames, prompts, sampling, scoring, speakers, stats, timing
+from turnweave.functions.brackets import object_with_key
+from turnweave.operators import corpus, frames, judged, prompts, sampling, scoring, speakers, stats, timing
 from turnweave.plans.training_set import training_set
 from turnweave.sources import readers
 from turnweave.views import t, u_sql, view, with_views
@@ -175,6 +176,14 @@ def _(table):
     return table("pages").select("page_id", (X.bad_transcription(c("html")) | X.bad_transcription(F.concat(F.substr("html", F.lit(3)), F.lit("x")))).alias("bad"))
 
 
+@query("t14_clear_bad", "WITH b AS (SELECT *, page_id % 3 = 0 OR trim(html) = '' OR starts_with(ltrim(html), '{') AS stale FROM pages) SELECT page_id, CASE WHEN NOT stale THEN html END AS transcription, CASE WHEN html IS NULL OR NOT stale THEN page_id % 7 END AS score, html IS NULL OR stale AS pending FROM b")
+def _(table):
+    """A third of the transcriptions look like objects; those that are missing keep the score that they have."""
+    pages = table("pages")
+    shown = F.when(c("page_id") % 3 == 0, F.concat(F.lit(" {"), "html")).otherwise(c("html"))
+    return scoring.clear_bad(pages.select("page_id", shown.alias("transcription"), (c("page_id") % 7).alias("score")))
+
+
 @query("t15_mask_sentinel", "SELECT l_orderkey, l_linenumber, " + ", ".join(f"nullif(l_discount::double, 0) AS {m}" for m in ("wpm", "speech_dur_s", "mean_pitch", "std_pitch", "std_intensity")) + ", l_discount::double AS speech_rate, CASE WHEN l_quantity < 19 THEN (-l_quantity * 10)::double END AS mean_intensity, (-l_quantity * 10)::double AS max_intensity FROM lineitem")
 def _(table):
     zero = [X.mask_sentinel(F.lit(m), c("l_discount").cast("double")).alias(m) for m in ("wpm", "speech_dur_s", "mean_pitch", "std_pitch", "std_intensity", "speech_rate")]
@@ -343,6 +352,12 @@ def _(words):
     return scoring.benchmark_table(rates.unionByName(waits).withColumn("model", F.lit("model")))
 
 
+@query("a26_subsets", "SELECT CASE event_type WHEN 'click' THEN 'synthetic' ELSE 'candor' END AS subset, cast(event_id AS varchar) AS sample_id, value FROM events WHERE event_type IN ('click', 'view')")
+def _(table):
+    named = F.when(c("event_type") == "click", "synthetic_").when(c("event_type") == "view", "candor_").otherwise("candorial_")
+    return scoring.by_prefix(table("events").select(F.concat(named, "event_id").alias("sample_id"), "value"), ["synthetic", "candor"])
+
+
 EV = "judged_events"
 BINNED = 'b AS (SELECT *, least("end", (bin + 1) * 15) - greatest(start, bin * 15) AS ov FROM judged_events, (SELECT unnest(generate_series(0, 7)) AS bin) WHERE "end" > start AND start < (bin + 1) * 15 AND "end" > bin * 15)'
 
@@ -499,6 +514,16 @@ def _(m):
     return stats.distribution(m, "duration")
 
 
+@query("a12_by_source", "SELECT source, count(duration) AS n, avg(duration) AS mean, median(duration) AS median, stddev_pop(duration) AS std, min(duration) AS least, max(duration) AS most, avg(cast(duration < 80 AS int)) AS share_under FROM manifest GROUP BY source", "manifest")
+def _(m):
+    return stats.distribution(m, "duration", ["source"], under=80)
+
+
+@query("a20_quantiles", "SELECT phase, metric, count(*) AS n, quantile_cont(value, 0.01) AS p01, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.99) AS p99, max(value) AS p100 FROM metrics GROUP BY phase, metric", "metrics")
+def _(metrics):
+    return stats.exact_quantiles(metrics, ["phase", "metric"], "value", {"p01": 0.01, "p50": 0.5, "p99": 0.99, "p100": 1.0})
+
+
 @query("a12_histogram", "WITH e AS (SELECT * FROM (VALUES (0, 0.0::double, 50.0::double), (1, 50, 100), (2, 100, 200), (3, 200, 1000)) AS x(bin, low, high)), h AS (SELECT bin, low, high, (SELECT count(*) FROM manifest WHERE duration >= low AND (duration < high OR (bin = 3 AND duration = high))) AS n FROM e) SELECT *, n * 100 / sum(n) OVER () AS pct, sum(n) OVER (ORDER BY bin) * 100 / sum(n) OVER () AS cum_pct FROM h", "manifest")
 def _(m):
     return stats.histogram(m, "duration", [0.0, 50.0, 100.0, 200.0, 1000.0])
@@ -607,6 +632,26 @@ def _(table):
     return found.select("id", F.explode("traits").alias("trait", "value"))
 
 
+@query("g4_weighted_depth", f"""WITH RECURSIVE d AS (SELECT cast(doc_id AS varchar) AS id, lang AS category FROM documents),
+tax AS (SELECT DISTINCT lang AS category, 'source' AS slot, NULL AS parent, source AS option, length(source)::double AS weight FROM documents
+  UNION ALL SELECT DISTINCT lang, 'mood', source, source || m, w FROM documents, (VALUES ('/calm', 3.0::double), ('/glad', 1.0::double), ('/none', 0.0::double)) AS v(m, w)
+  UNION ALL SELECT DISTINCT lang, 'tone', source || m, source || m || x, w FROM documents, (VALUES ('/calm'), ('/glad')) AS v(m), (VALUES ('/a', 1.0::double), ('/b', 2.0::double), ('/c', 5.0::double)) AS t(x, w)),
+b AS (SELECT *, sum(weight) OVER (PARTITION BY category, slot, parent ORDER BY option) / sum(weight) OVER (PARTITION BY category, slot, parent) AS hi, (sum(weight) OVER (PARTITION BY category, slot, parent ORDER BY option) - weight) / sum(weight) OVER (PARTITION BY category, slot, parent) AS lo FROM tax WHERE weight > 0),
+drawn AS (SELECT d.id, d.category, b.slot AS trait, b.option AS value FROM d JOIN b ON b.category = d.category AND b.parent IS NULL AND {u_sql(42, 'd.id', 'b.slot')} >= b.lo AND {u_sql(42, 'd.id', 'b.slot')} < b.hi
+  UNION ALL SELECT r.id, r.category, b.slot, b.option FROM drawn r JOIN b ON b.category = r.category AND b.parent = r.value AND {u_sql(42, 'r.id', 'b.slot')} >= b.lo AND {u_sql(42, 'r.id', 'b.slot')} < b.hi)
+SELECT id, trait, value FROM drawn""")
+def _(table):
+    """Three levels: sources by the length of their names, a mood of each source, a tone of each mood."""
+    d = table("documents")
+    source = d.select(c("lang").alias("category"), "source").distinct()
+    rows = lambda *values: d.sparkSession.createDataFrame(values, "end string, weight double")
+    tops = source.select("category", F.lit("source").alias("slot"), F.lit(None).cast("string").alias("parent"), c("source").alias("option"), F.length("source").cast("double").alias("weight"))
+    moods = source.crossJoin(F.broadcast(rows(("/calm", 3.0), ("/glad", 1.0), ("/none", 0.0)))).select("category", F.lit("mood").alias("slot"), c("source").alias("parent"), F.concat("source", "end").alias("option"), "weight")
+    tones = moods.where("weight > 0").select("category", c("option").alias("parent")).crossJoin(F.broadcast(rows(("/a", 1.0), ("/b", 2.0), ("/c", 5.0)))).select("category", F.lit("tone").alias("slot"), "parent", F.concat("parent", "end").alias("option"), "weight")
+    found = sampling.draw_traits(d.select(c("doc_id").cast("string").alias("id"), c("lang").alias("category")), tops.unionByName(moods).unionByName(tones))
+    return found.select("id", F.explode("traits").alias("trait", "value"))
+
+
 @query("g5_g6_draws", f"SELECT id, cast(4 + floor({u_sql(42, 'id', chr(39) + 'turns' + chr(39))} * 5) AS int) AS turns, {u_sql(42, 'id', chr(39) + 'slip' + chr(39))} < 0.2 AS slip, CASE WHEN v < 0.4 THEN 2 + sqrt(v * 40) ELSE 12 - sqrt((1 - v) * 60) END AS tri FROM (SELECT *, {u_sql(42, 'id', chr(39) + 'tri' + chr(39))} AS v FROM (SELECT cast(doc_id AS varchar) AS id FROM documents))")
 def _(table):
     d = table("documents").select(c("doc_id").cast("string").alias("id"))
@@ -621,6 +666,17 @@ def _(table):
     return sampling.render_prompts(slots, templates).select("id", "prompt")
 
 
+@query("g7_style_pair", f"""WITH d AS (SELECT *, {u_sql(42, 'id', chr(39) + 'style_dimension' + chr(39))} AS u, {u_sql(42, 'id', chr(39) + 'style_pair' + chr(39))} AS v FROM (SELECT cast(doc_id AS varchar) AS id, lang, source FROM documents)),
+k AS (SELECT *, CASE WHEN u < 0.5 THEN 'pace' ELSE 'tone' END AS dim FROM d) SELECT id, CASE WHEN lang <> 'en' THEN source || ' ' || lang WHEN dim = 'pace' THEN source || ' pace: ' || CASE WHEN v < 0.5 THEN 'fast or slow' ELSE 'steady or hasty' END ELSE source || ' tone: warm or cool' END AS prompt FROM k""")
+def _(table):
+    d = table("documents")
+    kind = F.when(c("lang") == "en", "counterfactual").otherwise(c("lang"))
+    slots = d.select(c("doc_id").cast("string").alias("id"), F.lit("x").alias("category"), kind.alias("data_type"), F.create_map(F.lit("who"), c("source"), F.lit("lang"), c("lang")).alias("traits"))
+    styles = d.sparkSession.createDataFrame([("pace", "fast", "slow"), ("pace", "steady", "hasty"), ("tone", "warm", "cool")], "dimension string, style_a string, style_b string")
+    templates = d.sparkSession.createDataFrame([("x", "counterfactual", "{who} {diff_dimension}: {style_a} or {style_b}"), ("x", None, "{who} {lang}")], "category string, data_type string, template string")
+    return sampling.render_prompts(sampling.style_pair(slots, styles), templates).select("id", "prompt")
+
+
 @query("w4_prompt_words", "SELECT conv_id * 100 + turn AS id, generate_subscripts(ws, 1) - 1 AS idx, unnest(ws) AS word, (generate_subscripts(ws, 1) - 1) * 5.7::double / len(ws) AS start, generate_subscripts(ws, 1) * 5.7::double / len(ws) AS \"end\" FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM conversations WHERE role = 'system')")
 def _(table):
     return corpus.prompt_words(table("conversations").where("role = 'system'").select((c("conv_id") * 100 + c("turn")).alias("id"), c("text").alias("prompt"), F.lit(5.7).alias("prompt_end")))
@@ -655,6 +711,18 @@ def _(turns):
     return corpus.length_report(corpus.plan_timeline(turns), 60.0)
 
 
+@query("a16_split_report", f"""WITH RECURSIVE {TIMELINE}, ends AS (SELECT conv_id, max("end") + 1 AS total FROM tl GROUP BY conv_id),
+u AS (SELECT conv_id, turn, "end" AS e, lead("end") OVER (PARTITION BY conv_id ORDER BY turn) AS following, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM tl WHERE role = 'user'),
+walk AS (SELECT conv_id, 0::bigint AS i, 0.0::double AS at, false AS closes, 0.0::double AS length FROM ends UNION ALL
+  SELECT w.conv_id, u.i, CASE WHEN k THEN least(u.e + 0.2, total) ELSE w.at END, k, least(u.e + 0.2, total) - w.at
+  FROM walk w JOIN u ON u.conv_id = w.conv_id AND u.i = w.i + 1 JOIN ends n ON n.conv_id = w.conv_id CROSS JOIN LATERAL (SELECT (u.e - w.at >= 40.0 * 0.8 OR u.following IS NULL OR u.following - w.at > 40.0) AND u.e - w.at >= 10 AS k) x)
+SELECT (SELECT count(*) FROM ends) AS conversations, count(DISTINCT conv_id) AS split, count(*) AS chunks, coalesce(sum(length), 0) / 3600 AS hours, count(*) AS end_user, 100.0::double AS end_user_pct, 0 AS end_assistant, 0.0::double AS end_assistant_pct FROM walk WHERE closes""", "turns")
+def _(turns):
+    line = corpus.plan_timeline(turns)
+    prompts = line.groupBy("conv_id").agg(F.lit(5.7).alias("prompt_end"), (F.max("end") + 1).alias("total"))
+    return corpus.split_report(line, corpus.split_conversations(line, prompts, longest=40.0))
+
+
 CHECKS = "k AS (SELECT conv_id, turn, duration, (turn % 10) / 10.0::double AS silence_ratio, (conv_id % 5) / 10.0::double AS wer FROM turns)"
 
 
@@ -690,7 +758,48 @@ def _(turns):
 def _(table):
     k = c("event_id")
     reply = F.concat(F.lit("```\n{"), k % 50, F.lit(", "), k % 50 + 5, F.lit('}, ["1:00", "1:15"]: '), k % 5, F.lit(", "), k % 4, F.lit("\ntask_score: 3\n```"))
-    return scoring.parse_judged(table("events").select(c("event_type").alias("setup"), k.alias("task_id"), reply.alias("reply")))[0].drop("pos")
+    return judged.parse_judged(table("events").select(c("event_type").alias("setup"), k.alias("task_id"), reply.alias("reply")), loose=True)[0].drop("block", "pos")
+
+
+JUDGED = """SELECT event_type AS setup, event_id AS task_id, 0 AS pos, (event_id % 50)::double AS start, (event_id % 50 + 5)::double AS "end", (event_id % 5)::double AS tt, (event_id % 4)::double AS follow FROM events WHERE event_id % 4 <> 3
+UNION ALL SELECT event_type, event_id, 0, 60.0, 75.5, (event_id % 5)::double, (event_id % 4)::double FROM events WHERE event_id % 4 <> 3
+UNION ALL SELECT event_type, event_id, 1, 80.0, 81.0, CASE WHEN event_id % 4 <> 2 THEN 2.0 END, 1.0 FROM events WHERE event_id % 4 <> 3"""
+
+
+def judged_replies(table: Callable) -> DataFrame:
+    """Replies of a judge: JSON in a fence, JSON by itself, a list that isn't JSON, and free text."""
+    k = c("event_id")
+    first = F.concat(F.lit("{"), k % 50, F.lit(", "), k % 50 + 5, F.lit('}, ["1:00", 75.5]'))
+    listed = lambda a, between, b, last: F.concat(F.lit(f'{{"{judged.EVENTS}": ['), F.lit(a), first, F.lit(between), k % 5, F.lit(", "), k % 4, F.lit(b), F.lit(f'], "{judged.TASK}": {last}}}'))
+    clean = listed("[[", "], ", '], [{"start_time": 80, "end_time": "1:21"}, 2, 1]', 3)
+    half = F.concat(F.lit('As I said: "the ] and { count" \n'), listed("[", "]: ", ', [{"end": 81, "start": 80}]: "null", 1, [[5, 6]] 4', '"4"'), F.lit(" ]}"))
+    reply = F.when(k % 4 == 0, F.concat(F.lit("Here:\n```json\n"), clean, F.lit("\n``` done"))).when(k % 4 == 1, clean).when(k % 4 == 2, half).otherwise(F.concat(F.lit("From "), first, F.lit(": 4, 5, I think")))
+    return table("events").select(c("event_type").alias("setup"), k.alias("task_id"), reply.alias("reply"))
+
+
+@query("q3_judged_events", JUDGED)
+def _(table):
+    return judged.parse_judged(judged_replies(table))[0].drop("block")
+
+
+@query("q3_task_scores", "SELECT event_type AS setup, event_id AS task_id, CASE WHEN event_id % 4 = 2 THEN 4.0 ELSE 3.0 END AS score FROM events WHERE event_id % 4 <> 3")
+def _(table):
+    return judged.parse_judged(judged_replies(table))[1]
+
+
+ODD = ' {"} \\ \\\\"'
+
+
+@query("q4_object_with_key", f"SELECT conv_id, turn, CASE WHEN turn % 5 <> 4 THEN text || '{ODD}' END AS why, CASE WHEN turn % 5 <> 4 THEN role END AS first FROM conversations")
+def _(table):
+    """Objects behind other objects, in ones that are broken or never closed, with braces, quotes and backslashes in their texts."""
+    rows, turn = table("conversations"), c("turn")
+    own = F.to_json(F.struct(F.concat("text", F.lit(ODD)).alias("why"), F.array("role", F.lit("x")).alias("behaviour")))
+    other = F.to_json(F.struct(F.struct("text", F.array(F.lit("no")).alias("behaviour")).alias("a")))
+    before = F.element_at(F.array(F.lit("{oops} "), F.lit('{"x": '), F.lit('5" wide { '), F.lit("```json\n"), F.lit("} ] ")), (turn % 5 + 1).cast("int"))
+    reply = F.concat(other, before, F.when(turn % 5 == 4, other).otherwise(F.concat(own, F.lit(' and {"behaviour": "later"}'))), F.lit("\n```"))
+    found = object_with_key(reply, "behaviour")
+    return rows.select("conv_id", "turn", F.get_json_object(found, "$.why").alias("why"), F.get_json_object(found, "$.behaviour[0]").alias("first"))
 
 
 @query("q4_last_rating", "SELECT event_id, CASE WHEN event_id % 9 <= 5 THEN event_id % 9 END AS rating FROM events")

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import io
-import wave
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnweave.functions.brackets import brace_spans, piece
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines, gzip too; blank lines are skipped, a missing path is empty."""
@@ -121,34 +118,6 @@ def wav_listing(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", "length", wav_seconds(F.col("length")).alias("duration"))
 
 
-def frames_of(content: bytes, frame_ms: int, quiet: float) -> pd.DataFrame:
-    """Per channel and frame: RMS, samples, samples under ``quiet``, of 16-bit PCM."""
-    with wave.open(io.BytesIO(content)) as w:
-        channels, rate = w.getnchannels(), w.getframerate()
-        data = np.frombuffer(w.readframes(w.getnframes()), "<i2").reshape(-1, channels) / 32768.0
-    size = max(1, rate * frame_ms // 1000)
-    at = np.arange(0, len(data), size)
-    if not len(at):
-        return pd.DataFrame({"channel": [], "frame_idx": [], "rms": [], "n": [], "n_quiet": []})
-    n = np.diff(np.append(at, len(data)))
-    rms = np.sqrt(np.add.reduceat(data**2, at) / n[:, None])
-    low = np.add.reduceat((np.abs(data) < quiet).astype(int), at)
-    index = np.arange(len(at))
-    return pd.DataFrame({"channel": np.repeat(np.arange(channels), len(at)), "frame_idx": np.tile(index, channels), "rms": rms.T.ravel(), "n": np.tile(n, channels), "n_quiet": low.T.ravel()})
-
-
-def audio_frames(spark: SparkSession, root: str, frame_ms: int = 30, quiet: float = 0.01) -> DataFrame:
-    """The frame table of PCM files."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", True).load(root).select("path", "content")
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                yield frames_of(content, frame_ms, quiet).assign(path=path)[["path", "channel", "frame_idx", "rms", "n", "n_quiet"]]
-
-    return files.mapInPandas(work, "path string, channel int, frame_idx int, rms double, n long, n_quiet long")
-
-
 def discover_samples(files: DataFrame, required: list[str]) -> DataFrame:
     """Folders that hold all required file names.  files: path."""
     named = files.select(F.regexp_replace("path", r"/[^/]*$", "").alias("sample_dir"), F.element_at(F.split("path", "/"), -1).alias("name"))
@@ -169,24 +138,17 @@ def import_corpus(files: DataFrame, durations: DataFrame, prefix: str, least_sec
 
 
 def explode_tasks(catalogue: DataFrame, keys: list[str]) -> DataFrame:
-    """Every object of a JSON text (column ``value``) that has all ``keys``, at any depth, as one row of text fields.
+    """Every object of a JSON text (column ``value``) that has all ``keys``, at any depth, as one row of text fields; a text that isn't JSON is an error.
 
-    A catalogue is a few small files; whether there is another level is asked for each.
+    Objects are found by their brackets, at all depths at once.
     """
-    level, parts = catalogue.select(F.parse_json("value").alias("v")), []
-    while not parts or not level.isEmpty():
-        parts.append(level)
-        level = deeper(level)
-    every = reduce(DataFrame.unionByName, parts)
+    whole = catalogue.where(F.parse_json("value").isNotNull())
+    spans = whole.select("value", F.explode(F.filter(brace_spans("value"), lambda s: ~s["odd"])).alias("s"))
+    every = spans.select(F.parse_json(piece(F.col("value"), F.col("s"))).alias("v"))
     fields = [F.try_variant_get("v", f"$.{k}", "string").alias(k) for k in keys]
     return every.select(*fields).where(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys)))
 
 
-def deeper(level: DataFrame) -> DataFrame:
-    """The members of objects and lists."""
-    return level.lateralJoin(level.sparkSession.tvf.variant_explode(F.col("v").outer())).select(F.col("value").alias("v"))
-
-
 def corpus_status(registry: DataFrame, manifest: DataFrame, data: DataFrame) -> DataFrame:
     """Per registered source: has data, has a manifest, hours."""
     m = manifest.groupBy("source").agg((F.sum("duration") / 3600).alias("hours"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnweave.sources.versions import KeyedTable
+
 
 def write_manifests(manifest: DataFrame, out: str, form: str = "parquet") -> None:
     """K1: train, eval and combined manifests of rows with a column split."""
@@ -13,9 +15,14 @@ def write_manifests(manifest: DataFrame, out: str, form: str = "parquet") -> Non
     manifest.write.mode("overwrite").format(form).save(f"{out}/combined")
 
 
-def save_docs(docs: DataFrame, out: str, by: str = "category") -> None:
-    """K2: documents in a folder for each category; only categories that are written are replaced."""
-    docs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(out)
+def save_docs(docs: DataFrame, out: str, key: tuple[str, ...] = ("category", "id")) -> None:
+    """K2: each document takes the place of the one with its key, or is added; others stay.  Readers (``load_docs``) see all of a save or nothing of it."""
+    KeyedTable(docs.sparkSession, out, list(key)).upsert(docs)
+
+
+def load_docs(spark: SparkSession, out: str, key: tuple[str, ...] = ("category", "id")) -> DataFrame:
+    """K2: the documents of the last whole save."""
+    return KeyedTable(spark, out, list(key)).read()
 
 
 def write_scores(scores: DataFrame, out: str) -> None:

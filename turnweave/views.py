@@ -32,6 +32,8 @@ def with_views(sql: str, *names: str) -> str:
     """The SQL with the stand-ins as common table expressions."""
     head = ", ".join(f"{n} AS ({SQL[n]})" for n in names)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head}, {body[15:]}"
     return f"WITH {head}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head} {body}"
 
 
