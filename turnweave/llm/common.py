@@ -28,6 +28,17 @@ def documents_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def quoted(name: str) -> str:
+    """A column's name as it is, with dots or other marks in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def kept_rows(docs: DataFrame, keep: Callable[[pa.Array], np.ndarray], limit: int = BATCH_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns whatever their names, for whose text ``keep`` (texts to truth values) is true."""
+    plain = docs.toDF(*("text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)))
+    return over_texts(plain, lambda batch: batch.filter(pa.array(keep(batch.column("text")))), plain.schema, limit).toDF(*docs.columns)
+
+
 def fold_of(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the text ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % n

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, documents_of, fold_of, over_texts
+from .common import Words, documents_of, fold_of, kept_rows, over_texts
 from .labelled import labelled_sample
 from .suffix_tree_lm import find
 
@@ -237,7 +237,7 @@ def drop_toxic(
 
     Null and empty texts and repeated rows are judged by their scores (see
     :func:`toxicity_scores`), null doc_ids as any other; without labels of both classes all rows
-    stay.
+    stay.  Extra columns are carried, whatever their names.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(build_index(docs, labels, folds, held, per_class, block, nearest))
-    return over_texts(docs, lambda batch: batch.filter(pa.array(score_batch(shipped.value, batch.column("text"))[0] < threshold)), docs.schema)
+    return kept_rows(docs, lambda texts: score_batch(shipped.value, texts)[0] < threshold)
