@@ -13,8 +13,10 @@ not with every other.  Buckets that still hold several components go through an
 let D(x) be the elements that x and the pivot don't share.  Then x and y differ in
 |D(x)| + |D(y)| - 2 |D(x) & D(y)| elements, and if x has no link to the pivot, a link from x to
 y needs common elements in D, so many that one is among the first few of D(x) and of D(y) in a
-common order.  Only classes that share such an element are compared, so copies that differ
-from each other by elements of their own are never paired, and no link is lost.
+common order, the rarest elements of the pivot's group first.  Only classes that share such an
+element are compared, so copies that differ from each other by elements of their own are never
+paired, those of a family by what it shares only where that is most of what they differ in, and
+no link is lost.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, discard, documents_of, filter_of, materialize, may_hold, mix, over_texts, pieces, same, shingles
+from .common import Words, discard, documents_of, filter_of, materialize, may_hold, mix, over_texts, pieces, quoted, same, shingles
 from .components import connected_components
 
 #: Registers of a sketch, base of their scale, rate of the exponentials.
@@ -178,60 +180,51 @@ def texts_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame, tag: str) ->
     return materialize(found.groupBy("doc_id", "text_hash", "class").agg(F.first("text").alias("text")).select("class", "text"), f"texts-{tag}")
 
 
-def usual_elements(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """a, usual: the elements that a tenth or more of a pivot's classes have in D, the rarest first; for pivots of 20 classes or more."""
+def unshared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """D(b) against pivot a, a row an element: pivot, class, part, outside, m (elements of the pivot), n (of the class), d (of D), element."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 4 << 20):
-            each = [np.setxor1d(a, b, True) for a, b in zip(*(sets_of(batch.column(c), size) for c in ("ta", "text")), strict=True)]
-            owner = np.repeat(batch.column("a").to_numpy(), [len(x) for x in each])
-            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(each).view(np.int64))], names=["a", "element"])
+            pivots, own = (sets_of(batch.column(c), size) for c in ("ta", "text"))
+            each = [np.setxor1d(a, b, True) for a, b in zip(pivots, own, strict=True)]
+            d = np.array([len(x) for x in each])
+            row = np.repeat(np.arange(len(d)), d)
+            sizes = (np.array([len(x) for x in sets])[row] for sets in (pivots, own))
+            named = batch.select(["a", "b", "part", "outside"]).take(pa.array(row)).columns
+            yield pa.RecordBatch.from_arrays([*named, *map(pa.array, (*sizes, d[row], np.concatenate(each).view(np.int64)))], names=["pivot", "class", "part", "outside", "m", "n", "d", "element"])
 
-    large = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
-    seen = with_texts(pairs.join(large, "a", "left_semi"), texts).select("a", "ta", "text").mapInArrow(work, "a long, element long")
-    counts = seen.groupBy("a", "element").agg(F.count(F.lit(1)).alias("times")).join(large, "a").where("10 * times >= n")
-    return counts.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("times", "element")))["element"].alias("usual"))
+    schema = "pivot long, class long, part struct<doc_id: long, class: long>, outside boolean, m long, n long, d long, element long"
+    return with_texts(pairs, texts).select("a", "b", "part", "outside", "ta", "text").mapInArrow(work, schema)
 
 
-def differences(pairs: DataFrame, texts: DataFrame, usual: DataFrame, size: int, percent: int) -> DataFrame:
-    """The first elements of D(b) against pivot a: pivot, class, part, n (elements of the class), d (of D), excess, place, element, seeks, met.
+def differences(seen: DataFrame, percent: int) -> DataFrame:
+    """The first elements of each D, of those that others have too: ``seen`` of :func:`unshared` with excess, place, seeks, met.
 
     With q = 100 + percent and r = 100 - percent, x and y are linked if and only if
     q (d(x) + d(y) - 2 common) <= r (n(x) + n(y)), that is, if D(x) and D(y) have
     (excess(x) + excess(y)) / 2q common elements or more, where excess = q d - r n.  Of two
-    linked classes the one of larger excess (at least r n(pivot), as it has no link to the
-    pivot) seeks, the other is met; ``seeks`` and ``met`` tell how far each must show its
-    elements, given that their sizes differ by no more than the similarity allows.  Any common
-    order is right; elements that the pivot lacks, which are mostly rare, come first, and the
-    ``usual`` ones of a pivot, which many of its classes have in D, last.
+    linked classes the one of larger excess (at least r m, as it has no link to the pivot)
+    seeks, the other is met; ``seeks`` and ``met`` tell how far each must show its elements,
+    given that their sizes differ by no more than the similarity allows.  Any common order is
+    right.  This one is by how many of the pivot's classes have an element in D, the rarest
+    first, so those of a class alone, which meet no other, take the first places, and what a
+    family of classes shares comes behind them.
     """
     q, r = 100 + percent, 100 - percent
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 4 << 20):
-            columns, usual = [], batch.column("usual").to_pylist()
-            for k, (pivot, own) in enumerate(zip(*(sets_of(batch.column(c), size) for c in ("ta", "text")), strict=True)):
-                order = np.concatenate([np.setdiff1d(own, pivot, True), np.setdiff1d(pivot, own, True)]).view(np.int64)
-                if last := usual[k]:
-                    order = np.concatenate([order[~np.isin(order, last)], np.array(last)[np.isin(last, order)]])
-                n, d = len(own), len(order)
-                excess, edge = q * d - r * n, r * len(pivot)
-                met = min(d, (2 * q * d - excess - max(excess, edge)) // (2 * q) + 1)
-                widest = r * n * 100 // percent  # r times the largest set that may be linked
-                seeks = min(d, min(q * d + r * n + widest, 2 * (r * n + widest)) // (2 * q) + 1) if excess > edge else 0
-                shown = max(met, seeks, 0)
-                place = np.arange(shown)
-                columns.append((np.full(shown, k), np.full(shown, n), np.full(shown, d), np.full(shown, excess), np.full(shown, excess > edge), place, order[:shown], place < seeks, place < met))
-            row, *rest = (np.concatenate(c) for c in zip(*columns, strict=True))
-            named = batch.select(["a", "b", "part", "outside"]).take(pa.array(row)).columns
-            yield pa.RecordBatch.from_arrays([*named, *map(pa.array, rest)], names=["pivot", "class", "part", "outside", "n", "d", "excess", "far", "place", "element", "seeks", "met"])
-
-    schema = "pivot long, class long, part struct<doc_id: long, class: long>, outside boolean, n long, d long, excess long, far boolean, place long, element long, seeks boolean, met boolean"
-    return with_texts(pairs.join(usual, "a", "left"), texts).select("a", "b", "part", "outside", "usual", "ta", "text").mapInArrow(work, schema)
-
-
-def across(shown: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) between components, from ``differences``."""
+    times = seen.groupBy("pivot", "element").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    own = Window.partitionBy("pivot", "class")
+    shared = seen.join(times, ["pivot", "element"])
+    place = F.col("d") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("times", "element")) - 1
+    n, d, excess, edge = F.col("n"), F.col("d"), q * F.col("d") - r * F.col("n"), r * F.col("m")
+    met = F.least(d, F.floor((2 * q * d - excess - F.greatest(excess, edge)) / (2 * q)) + 1)
+    widest = F.floor(r * n * 100 / percent)  # r times the largest set that may be linked
+    seeks = F.when(excess > edge, F.least(d, F.floor(F.least(q * d + r * n + widest, 2 * (r * n + widest)) / (2 * q)) + 1)).otherwise(0)
+    placed = shared.withColumn("place", place).withColumn("excess", excess)
+    return placed.withColumn("seeks", F.col("place") < seeks).withColumn("met", F.col("place") < met).where("seeks or met")
+
+
+def across(seen: DataFrame, shown: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) between components, from :func:`unshared` and :func:`differences`."""
     x, y = shown.where("seeks").alias("x"), shown.where("met").alias("y")
     common = (F.col("x.excess") + F.col("y.excess")) / (2 * (100 + percent))
     fits = (
@@ -242,7 +235,8 @@ def across(shown: DataFrame, percent: int) -> DataFrame:
         & (F.col("y.d") - F.col("y.place") >= common)
     )
     met = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.element") == F.col("y.element")) & fits).select("x.class", F.col("y.class").alias("other"))
-    linked = shown.where("outside and not far and place = 0").select("class", F.col("pivot").alias("other"))
+    near = (100 + percent) * F.col("d") - (100 - percent) * F.col("n") <= (100 - percent) * F.col("m")  # linked to the pivot
+    linked = seen.where(F.col("outside") & near).select("class", F.col("pivot").alias("other"))
     return met.union(linked).select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
 
 
@@ -286,10 +280,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     central = inside.where("part = main").join(degree, "class", "left").groupBy("main").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)), "class"))["class"].alias("a"))
     group = materialize(inside.join(central, "main").where("class <> a").select("a", F.col("class").alias("b"), "part", (F.col("part") != F.col("main")).alias("outside")), "groups")
     texts = texts_of(group, classes, docs, "groups")
-    usual = materialize(usual_elements(group, texts, size), "usual")
-    shown = materialize(differences(group, texts, usual, size, percent), "differences")
-    pairs = materialize(across(shown, percent), "across")
-    discard(shown)
+    seen = materialize(unshared(group, texts, size), "unshared")
+    shown = materialize(differences(seen, percent), "differences")
+    pairs = materialize(across(seen, shown, percent), "across")
+    discard(seen, shown)
     more = materialize(confirmed(pairs, texts, size, percent), "more-links")
     parts = components_of(links.union(more), node)
     named = materialize(classes.join(node, "class").join(parts, "node", "left").select("set1", "set2", F.coalesce("component.doc_id", "doc_id").alias("component_id")), "named")
@@ -315,7 +309,7 @@ def keep_representatives(docs: DataFrame, size: int = 5, percent: int = 80) -> D
     lost = near_duplicates(docs, size, percent).where(~F.col("kept")).select("doc_id", "text_hash").distinct()
     key = lambda of: (F.col(f"{of}.doc_id"), F.col(f"{of}.text_hash"))
     # the rows as one column, so no name of theirs meets ours
-    held = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    held = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"))
     text_hash = F.xxhash64(F.coalesce(F.col("row.text"), F.lit("")))
     held = held.withColumn("doc_id", F.col("row.doc_id").cast("long")).withColumn("text_hash", text_hash).alias("held")
     (a, b), (c, d) = key("held"), key("lost")
