@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents_of, materialize, same
+from .common import documents_of, materialize, quoted, same
 
 #: The white space of a line's key.
 SPACE = " \t\n\x0b\x0c\r"
@@ -37,7 +37,7 @@ def line_keep_runs(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep
     documents or more, lose their lines everywhere; with ``keep_first`` the first line by
     (doc_id, text hash, position) stays.  Returns doc_id, text_hash, n_lines, n_dropped,
     keep_runs array<struct<start, length>>, the kept lines as a run-length bitmap, and with
-    them text and row (a struct of the input's other columns, for callers that want them).
+    them text and row (a struct of the input's other columns, for callers that want them; null without any).
 
     Null or empty text: one empty line, kept.  Rows that repeat a document in full get the
     same runs and count once; rows with one doc_id and other texts are judged apart and count
@@ -67,7 +67,8 @@ def line_keep_runs(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep
         dropped = dropped.where(~same(here, F.col("origin")))
     lost = dropped.groupBy(F.col("doc_id").alias("lost_id"), F.col("text_hash").alias("lost_hash")).agg(F.sort_array(F.collect_set("pos")).alias("lost"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    others = F.struct(*(docs[c] for c in docs.columns if c not in ("doc_id", "text")), F.lit(0).alias("_"))
+    names = [quoted(c) for c in docs.columns if c not in ("doc_id", "text")]
+    others = F.struct(*map(F.col, names)) if names else F.lit(None)
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.size(lines_of(text)).cast("long").alias("n_lines"), text.alias("text"), others.alias("row"))
     joined = sized.join(lost, same(F.col("doc_id"), F.col("lost_id")) & (F.col("text_hash") == F.col("lost_hash")), "left")
     lost_or_none = F.coalesce("lost", F.array().cast("array<int>"))

@@ -24,6 +24,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from turnweave.sources.audio import open_file
+
 from .common import Words, documents_of, over_texts, shared_dir
 
 #: Fixed value: added to a turned checksum.
@@ -38,6 +41,8 @@ MASK = 0xA282EAD8
 NULL_ID = -(1 << 63)
 #: Words whose ids a task remembers, about 150 bytes each; bytes of text that it encodes at a time, and most bytes of text in a file.
 REMEMBERED, PIECE, FILE_BYTES = 400_000, 4 << 20, 128 << 20
+#: Bytes of a file whose wanted records a task reads together.
+READ_BYTES = 8 << 20
 #: The rules under which texts are encoded by words, as vocabulary files state them.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 PRE_TOKENIZER = {
@@ -228,22 +233,34 @@ def read_index(spark: SparkSession, out: str) -> DataFrame:
 
 
 def read_at(spark: SparkSession, out: str, wanted: DataFrame) -> DataFrame:
-    """file, offset, doc_id, ids of the records at ``wanted`` (file, offset; rows of the index, in any order).
+    """file, offset, doc_id, ids of the records at ``wanted`` (file, offset; rows of the index, in any order; repeated ones count once).
 
-    Only files that hold a wanted record are opened, and in them only those records are read;
-    a file has at most ``file_bytes`` of text.
+    Only files that hold a wanted record are opened, and in them only those records are read, by
+    seeking to their offsets.  A file with many wanted records is read by several tasks.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content, offsets in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                data = memoryview(content.as_buffer())
-                rows = [(path, *next(unframe(data, at))) for at in offsets]
+            for path, offsets in zip(batch.column("file").to_pylist(), batch.column("offsets").to_pylist(), strict=True):
+                with open_file(path) as f:
+                    rows = [(path, *record_at(f, at)) for at in offsets]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["file", "offset", "doc_id", "ids"])
 
-    of_file = wanted.groupBy("file").agg(F.sort_array(F.collect_set("offset")).alias("offsets"))
-    files = spark.read.format("binaryFile").load(f"{out}/data").select(F.col("path").alias("file"), "content")
-    return files.join(of_file, "file").select("file", "content", "offsets").mapInArrow(work, "file string, offset long, doc_id long, ids array<long>")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stretch = F.floor(F.col("offset") / READ_BYTES)
+    of_file = wanted.select("file", "offset").repartition(n, "file", stretch).groupBy("file", stretch).agg(F.sort_array(F.collect_set("offset")).alias("offsets"))
+    return of_file.select("file", "offsets").mapInArrow(work, "file string, offset long, doc_id long, ids array<long>")
+
+
+def record_at(f: BinaryIO, at: int) -> tuple[int, int | None, np.ndarray]:
+    """(offset, doc_id, ids) of the record at byte ``at`` of a file."""
+    f.seek(at)
+    head = f.read(12)
+    length, check = struct.unpack("<QI", head)
+    if masked(head[:8]) != check:
+        raise ValueError(f"damaged length at byte {at}")
+    _, doc_id, ids = next(unframe(memoryview(head + f.read(length + 4))))
+    return at, doc_id, ids
 
 
 def with_starts(index: DataFrame) -> DataFrame:
