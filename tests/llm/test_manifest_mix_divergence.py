@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from turnweave.llm import divergence, merkle, mixing
+from turnweave.llm import divergence, merkle, mixing, queries
 
 CLASHING = ["tree", "pos", "total", "digest", "block", "path", "root", "claim", "name", "rank", "size", "target", "upto", "u", "copy", "number", "base", "p", "_", "a.b"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHING)
@@ -203,3 +203,15 @@ def test_profile_of_large_counts(spark):
     for n, d in ((10**12, 3 * 10**12), (10**14, 10**14 + 7), (0, 11), (2 * 10**14, 2 * 10**14 + 5)):
         got = spark.range(1).select(divergence.profile(F.lit(n), F.lit(d), 5).alias("p")).first().p
         assert got == 1 + 10**9 * (n + 5) // d and math.isfinite(got)
+
+
+@pytest.mark.parametrize("name", ["op11_merkle_manifest", "op12_source_mix", "op13_source_divergence"])
+def test_queries_against_their_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    data = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{data}/documents.parquet')")
+    want = con.sql(queries.ORACLE_SQL[name])
+    got = queries.QUERIES[name](spark, data)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert Counter(tuple(r[c] for c in want.columns) for r in got.collect()) == Counter(want.fetchall())

@@ -242,7 +242,8 @@ def bpe_round_trip(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFr
     """Encode each text, then decode the ids: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
     With ``keep_ids`` also ids array<int> and decoded string.  Null or empty text: no tokens
-    and an empty text.  A row's result depends on its text alone; repeated rows agree.
+    and an empty text.  A row's result depends on its text alone; repeated rows agree, and a
+    null doc_id changes nothing.  An empty table gives no rows.
     ``path`` names a file that every executor has.
     """
 

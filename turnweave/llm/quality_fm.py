@@ -129,8 +129,9 @@ def quality_scores(
     """doc_id, held_out, score, predicted for every row of documents.
 
     ``per_class`` bounds the labelled rows that the machine is fitted on.  Null or empty texts
-    score by their statistics.  Repeated rows score alike.  Without labelled rows of both
-    classes every score is 0.5.
+    score by their statistics.  Repeated rows score alike, and a null doc_id, which isn't among
+    the labelled rows, as any other.  Without labelled rows of both classes every score is 0.5.
+    An empty table gives no rows.
     """
     machine = fit_machine(docs, labels, folds, held, per_class, rank, epochs, rate, decay)
     shipped = docs.sparkSession.sparkContext.broadcast(machine)

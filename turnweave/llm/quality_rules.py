@@ -153,7 +153,8 @@ def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
     base_failed: under 50 words, or over half of the words in 3-word windows that occur twice
     or more in the text.  kept: not base_failed and posterior >= threshold.  Null or empty
-    texts fail the base rules.  Every row is judged alone, so repeated rows agree.
+    texts fail the base rules.  Every row is judged alone, so repeated rows agree, and a null
+    doc_id changes nothing.  An empty table gives no rows.
     """
     stats = document_stats(docs)
     vote = F.concat(*(F.when(good, "g").when(bad, "b").otherwise("-") for good, bad in rules().values()))

@@ -250,7 +250,8 @@ def drop_repeats(docs: DataFrame, length: int = 200, wide: int = WIDE) -> DataFr
 
     Each byte covered by a string of ``length`` bytes that also starts anywhere else, in any
     document, goes; strings are judged on the input.  Null or empty texts have no bytes.
-    Repeated rows repeat each other's strings, so they lose all of them.
+    Repeated rows repeat each other's strings, so they lose all of them; rows with a null doc_id
+    count as any other.  An empty table gives no rows.
     """
     spans = repeated_spans(docs, length, wide).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "spans")
     rows = documents_of(docs).withColumn("text_hash", F.xxhash64("text"))

@@ -351,7 +351,8 @@ def suffix_tree_scores(
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.  Null or
     empty text: its end alone.  Repeated rows train each and score alike.  With no training
-    rows, N and V are 0 and every score 0.  Tokens and runs are known by 64-bit hashes.
+    rows, N and V are 0 and every score 0.  A null doc_id has the fold of the text ''.  An empty
+    table gives no rows.  Tokens and runs are known by 64-bit hashes.
     ``head_tokens`` and ``head`` only bound what is broadcast; they change no result.
     """
     tree = fit(docs, folds, held, min_context, min_pair, prior, cost)

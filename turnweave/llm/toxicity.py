@@ -198,8 +198,10 @@ def toxicity_scores(
 
     ``per_class`` bounds the labelled examples.  Texts without a word of any example, also null
     and empty ones, have no neighbours and score as the calibrated share of toxic labels.  Of
-    equal cosines the example that comes first in the index is nearer.  Repeated rows score
-    alike.  Without labels of both classes every score is 0.  An empty table gives one with no
+    equal cosines the example that comes first in the index is nearer.  A labelled row that is
+    an example finds itself as the nearest one, so its score says nothing of the method: only
+    held-out rows do.  The calibration leaves each example out of its own vote.  Repeated rows
+    score alike.  Without labels of both classes every score is 0.  An empty table gives one with no
     rows.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(build_index(docs, labels, folds, held, per_class, block, nearest))
