@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+import turnweave.file_queries  # noqa: F401  registers its queries too
 from turnweave.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"

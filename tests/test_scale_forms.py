@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnweave.functions import brackets
+from turnweave.functions import text as X
 from turnweave.functions.edits import distances
 from turnweave.functions.seeding import uniform
 from turnweave.operators import corpus, judged, ordering, sampling, scoring, stats
@@ -333,6 +334,12 @@ def test_style_pairs(spark):
 # smaller ones
 
 
+def test_styles_and_ages(spark):
+    df = spark.createDataFrame([({"voice": "v", "tone": "warm", "pace": "slow", "mood": "neutral", "a": "x", "b": "y"}, " Twenties "), ({}, "20"), (None, None)], "style map<string,string>, age string")
+    got = df.select(X.style_of_object(F.col("style")).alias("s"), X.normal_age(F.col("age")).alias("a")).collect()
+    assert [tuple(r) for r in got] == [("warm, slow, x", "twenties"), (None, None), (None, None)]
+
+
 def test_clear_bad_and_force(spark):
     df = spark.createDataFrame([(1, "fine", 3), (2, ' {"a"', 4), (3, None, 5), (4, "  ", 6)], "i int, transcription string, score int")
     assert rows(scoring.clear_bad(df), "i", "transcription", "score", "pending") == [(1, "fine", 3, False), (2, None, None, True), (3, None, 5, True), (4, None, None, True)]

@@ -98,3 +98,36 @@ def audio_frames(spark: SparkSession, root: str, frame_ms: int = 30, quiet: floa
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = files.mapInArrow(ranges, "path string, at long, moments long, first long, channels long, frame long").repartition(parts, "path", "first")
     return dealt.mapInArrow(read, "path string, channel int, frame_idx int, rms double, n long, n_quiet long")
+
+
+def write_audio(samples: DataFrame, out: str, rate: int) -> None:
+    """One mono file of 16-bit PCM for each name, <out>/<name>.wav, of samples (name, idx, value) in order of idx.
+
+    Files are written as their samples come by, sorted, so a name may have any number of them;
+    the header leaves the length open.  A task that is repeated writes its files anew.
+    """
+    head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 0xFFFFFFFF, b"WAVE", b"fmt ", 16, 1, 1, rate, 2 * rate, 2, 16, b"data", 0xFFFFFFFF)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, f = None, None
+        for batch in batches:
+            names, data = batch.column("name").to_pylist(), batch.column("value").to_numpy().astype("<i2")
+            bounds = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                if a == b:
+                    continue
+                if names[a] != name:
+                    if f is not None:
+                        f.close()
+                    name = names[a]
+                    store, path = pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", f"{out}/{name}.wav"))
+                    store.create_dir(path.rpartition("/")[0], recursive=True)
+                    f = store.open_output_stream(path)
+                    f.write(head)
+                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.string())], names=["name"])
+                f.write(data[a:b].tobytes())
+        if f is not None:
+            f.close()
+
+    rows = samples.select("name", "idx", "value").repartition("name").sortWithinPartitions("name", "idx")
+    rows.select("name", "value").mapInArrow(write, "name string").count()
