@@ -1,6 +1,8 @@
 """Cases that once went wrong: repeated words in benchmark items, families of near copies, reads by offset, odd column names."""
 
 import random
+import re
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 import pytest
@@ -10,6 +12,8 @@ import corpus_pipeline
 from turnweave.llm import common, contamination, near_dedup, records
 from turnweave.llm.queries import tokenizer_file
 
+A_Z = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
 
 @pytest.mark.parametrize(("times", "length"), [(1, 14), (4, 38), (8, 70), (9, 78), (12, 102), (16, 134)])
 def test_items_that_end_in_a_repeated_word(times, length):
@@ -23,6 +27,32 @@ def test_items_that_end_in_a_repeated_word(times, length):
     assert found == {k: [[k]] for k in range(len(texts))}
 
 
+def test_recall_over_a_whole_benchmark(spark):
+    """Every pair of a document and an item of the given tables whose best window reaches the similarity, by all windows."""
+    data, word = "/root/testdata/sf0.01", re.compile(r"[^\x20\x09-\x0D]+")
+    cut = lambda t: [tuple(w[i : i + 5]) for w in [word.findall((t or "").translate(A_Z))] for i in range(max(1, len(w) - 4))] if (t or "").strip() else []
+    docs, items = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "benchmark"))
+    held = {r.item_id: cut(r.text) for r in items.collect() if r.text}
+    with_shingle = defaultdict(set)
+    for i, s in held.items():
+        for x in s:
+            with_shingle[x].add(i)
+    wanted = {}
+    for r in docs.collect():
+        own = cut(r.text)
+        for i in {i for x in own for i in with_shingle.get(x, ())}:
+            item, width = Counter(held[i]), min(len(held[i]), len(own))
+            best = 0
+            for a in range(len(own) - width + 1):
+                both = (Counter(own[a : a + width]) & item).total()
+                best = max(best, both / (width + item.total() - both))
+            if best >= 0.8:
+                wanted[r.doc_id, i] = best
+    got = {(r.doc_id, r.item_id): r.similarity for r in contamination.find_contamination(docs, items).collect()}
+    assert got.keys() == wanted.keys() and len(wanted) > 20
+    assert all(got[k] == pytest.approx(v) for k, v in wanted.items())
+
+
 def test_fingerprints_are_those_of_occurrences():
     draw = random.Random(1)
     import numpy as np
