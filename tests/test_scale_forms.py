@@ -335,7 +335,7 @@ def test_style_pairs(spark):
 
 
 def test_styles_and_ages(spark):
-    df = spark.createDataFrame([({"voice": "v", "tone": "warm", "pace": "slow", "mood": "neutral", "a": "x", "b": "y"}, " Twenties "), ({}, "20"), (None, None)], "style map<string,string>, age string")
+    df = spark.sql("SELECT * FROM VALUES (map('voice', 'v', 'tone', 'warm', 'pace', 'slow', 'mood', 'neutral', 'a', 'x', 'b', 'y'), ' Twenties '), (map('voice', 'v'), '20'), (null, null) AS t(style, age)")
     got = df.select(X.style_of_object(F.col("style")).alias("s"), X.normal_age(F.col("age")).alias("a")).collect()
     assert [tuple(r) for r in got] == [("warm, slow, x", "twenties"), (None, None), (None, None)]
 
