@@ -11,6 +11,7 @@ from turnweave.functions.text import time_seconds
 #: The keys of a judge's object.
 EVENTS, TASK = "Turn-taking event and score", "Task-specific score"
 
+#: How a time, and the names of a start and an end, are written.
 TIME = r"""["']?[-+]?\d[\d.:eE+-]*["']?"""
 START, END = r"""["'](?:start_time|startTime|start)["']""", r"""["'](?:end_time|endTime|end)["']"""
 #: A list of two values that aren't lists.
