@@ -272,6 +272,15 @@ def test_loose_replies(spark):
     assert rows(events, "start", "end", "tt", "follow") == [(1.0, 2.0, 3.0, 4.0)] and rows(scores, "score") == [(5.0,)]
 
 
+def test_task_scores_are_read_once(spark):
+    e, t = f'"{judged.EVENTS}"', f'"{judged.TASK}"'
+    block = lambda score: f'```json\n{{{e}: [[[1, 2], 4, 5]]{score}}}\n```'
+    both, first, second, none = block(f", {t}: 1") + block(f", {t}: 2"), block(f", {t}: 1") + block(""), block(f', {t}: "x"') + block(f", {t}: 2"), block("") + block("")
+    assert [s for _, s in reply_events(spark, both, first, second, none)] == [2, 1, 2, None]
+    _, scores = judged.parse_judged(spark.createDataFrame([("s", 1, both)], "setup string, task_id int, reply string"))
+    assert scores._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 # edit distances
 
 

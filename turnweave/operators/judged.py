@@ -95,7 +95,9 @@ def parse_judged(replies: DataFrame, loose: bool = False) -> tuple[DataFrame, Da
     starts, ends = (F.regexp_extract_all("i.body", F.lit(PAIR), k) for k in (1, 2))
     pairs = rows.select("setup", "task_id", "block", "pos", F.explode(F.arrays_zip(starts.alias("s"), ends.alias("e"))).alias("x"), score(F.col("i.tt")).alias("tt"), score(F.col("i.follow")).alias("follow"))
     events = pairs.select("setup", "task_id", "block", "pos", time_seconds(F.col("x.s")).alias("start"), time_seconds(F.col("x.e")).alias("end"), "tt", "follow").where("start is not null and end is not null")
-    scores = read.withColumn("score", found).where("score is not null").groupBy("setup", "task_id").agg(F.max_by("score", "block").alias("score"))
+    # blocks without a score have no rank; a filter before the aggregate would be pushed below the brackets, with all that the score is made of
+    last = F.max_by("score", F.when(F.col("score").isNotNull(), F.col("block"))).alias("score")
+    scores = read.select("setup", "task_id", "block", found.alias("score")).groupBy("setup", "task_id").agg(last).where("score is not null")
     if loose:
         more, more_scores = scan_judged(whole.where(~named(F.col("reply")) & ~F.contains("reply", F.lit(TASK))))
         events, scores = events.unionByName(more.withColumn("block", F.lit(0))), scores.unionByName(more_scores)
