@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -135,3 +136,23 @@ def test_stages_with_odd_column_names(spark, tmp_path, names):
         kept = found.collect()
         assert all(r[n] == "x" for r in kept for n in names) and kept
     assert common.quoted("a.b`") == "`a.b```"
+
+
+def test_differences_are_ordered_without_a_join(spark):
+    rng, sets = np.random.default_rng(3), []
+    for k in range(40):
+        sets.append((7 if k % 2 else 8, k, {"doc_id": k % 5, "class": k % 5}, bool(k % 5), 30, 30, np.unique(rng.integers(0, 40, 20 + k)).astype(np.uint64)))
+    rows = [(p, k, part, out, m, n, len(e), e.tobytes()) for p, k, part, out, m, n, e in sets]
+    seen = spark.createDataFrame(rows, "pivot long, class long, part struct<doc_id: long, class: long>, outside boolean, m long, n long, d long, elements binary")
+    shown = near_dedup.differences(seen, 80)
+    assert "Join" not in shown._jdf.queryExecution().executedPlan().toString()
+    places = {}
+    for r in shown.collect():
+        assert r.excess == 180 * r.d - 20 * r.n
+        places.setdefault((r.pivot, r["class"]), {})[r.place] = r.element
+    counts = Counter((p, int(x)) for p, *_, e in sets for x in e)
+    for p, k, *_, e in sets:
+        order = sorted(map(int, e), key=lambda x: (int(8 * np.log2(counts[p, x])), x))
+        assert places.get((p, k), {}).items() <= dict(enumerate(order)).items()
+    assert all(k in places for k in ((p, k) for p, k, *_ in sets))
+    assert not shown.where(~F.col("seeks") & ~F.col("met")).count()

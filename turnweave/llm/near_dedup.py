@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, discard, documents_of, filter_of, materialize, may_hold, mix, over_texts, pieces, quoted, same, shingles
@@ -36,6 +36,8 @@ REGISTERS, BASE, RATE = 256, 1.1, 20.0
 #: Registers in a band, and bands.
 ROWS, BANDS = 6, 42
 LOG_BASE = np.log(BASE)
+#: The table of how many differences have an element has 2 to this power of bytes.
+CROWD_BITS = 24
 
 
 def sketch(elements: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
@@ -181,24 +183,45 @@ def texts_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame, tag: str) ->
 
 
 def unshared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """D(b) against pivot a, a row an element: pivot, class, part, outside, m (elements of the pivot), n (of the class), d (of D), element."""
+    """D(b) against pivot a, a row a class: pivot, class, part, outside, m (elements of the pivot), n (of the class), d (of D), elements (as bytes)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 4 << 20):
             pivots, own = (sets_of(batch.column(c), size) for c in ("ta", "text"))
             each = [np.setxor1d(a, b, True) for a, b in zip(pivots, own, strict=True)]
-            d = np.array([len(x) for x in each])
-            row = np.repeat(np.arange(len(d)), d)
-            sizes = (np.array([len(x) for x in sets])[row] for sets in (pivots, own))
-            named = batch.select(["a", "b", "part", "outside"]).take(pa.array(row)).columns
-            yield pa.RecordBatch.from_arrays([*named, *map(pa.array, (*sizes, d[row], np.concatenate(each).view(np.int64)))], names=["pivot", "class", "part", "outside", "m", "n", "d", "element"])
+            sizes = (pa.array([len(x) for x in sets], pa.int64()) for sets in (pivots, own, each))
+            held = pa.array([x.tobytes() for x in each], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.select(["a", "b", "part", "outside"]).columns, *sizes, held], names=["pivot", "class", "part", "outside", "m", "n", "d", "elements"])
 
-    schema = "pivot long, class long, part struct<doc_id: long, class: long>, outside boolean, m long, n long, d long, element long"
+    schema = "pivot long, class long, part struct<doc_id: long, class: long>, outside boolean, m long, n long, d long, elements binary"
     return with_texts(pairs, texts).select("a", "b", "part", "outside", "ta", "text").mapInArrow(work, schema)
 
 
+def elements_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(elements, row of each, place of each and its pivot in the table of :func:`crowds`) of a batch of :func:`unshared`."""
+    row = np.repeat(np.arange(batch.num_rows), batch.column("d").to_numpy())
+    elements = np.frombuffer(b"".join(batch.column("elements").to_pylist()), np.uint64)
+    return elements, row, (mix(mix(batch.column("pivot").to_numpy().view(np.uint64))[row] ^ elements) >> np.uint64(64 - CROWD_BITS)).astype(np.int64)
+
+
+def crowds(seen: DataFrame) -> np.ndarray:
+    """A byte for each place (2 ** CROWD_BITS at most): 1 + 8 log2 of how many elements of all D have it; 1 says that an element is in no other D of its pivot."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 4 << 20, "elements"):
+            place, c = np.unique(elements_of(batch)[2], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(c)], names=["place", "c"])
+
+    counts = seen.select("pivot", "d", "elements").mapInArrow(work, "place long, c long").groupBy("place").agg(F.sum("c").alias("c"))
+    level = F.least(F.lit(255), F.floor(8 * F.log2("c")) + 1).cast("long")
+    words = counts.withColumn("level", level).groupBy(F.shiftright("place", 3).alias("word")).agg(F.bit_or(F.expr("shiftleft(level, cast(8 * (place & 7) as int))")).alias("levels")).toArrow()
+    out = np.zeros(1 << (CROWD_BITS - 3), np.int64)
+    out[np.asarray(words["word"])] = np.asarray(words["levels"])
+    return out.view(np.uint8)
+
+
 def differences(seen: DataFrame, percent: int) -> DataFrame:
-    """The first elements of each D, of those that others have too: ``seen`` of :func:`unshared` with excess, place, seeks, met.
+    """The first elements of each D, of those that others may have too, a row an element: pivot, class, part, n, d, excess, element, place, seeks, met.
 
     With q = 100 + percent and r = 100 - percent, x and y are linked if and only if
     q (d(x) + d(y) - 2 common) <= r (n(x) + n(y)), that is, if D(x) and D(y) have
@@ -208,19 +231,32 @@ def differences(seen: DataFrame, percent: int) -> DataFrame:
     given that their sizes differ by no more than the similarity allows.  Any common order is
     right.  This one is by how many of the pivot's classes have an element in D, the rarest
     first, so those of a class alone, which meet no other, take the first places, and what a
-    family of classes shares comes behind them.
+    family of classes shares comes behind them.  The counts come from a table of fixed size, so
+    only what is shown is ever a row of its own; elements that share a place there are taken
+    for more frequent than they are, which changes the order and loses nothing.
     """
     q, r = 100 + percent, 100 - percent
-    times = seen.groupBy("pivot", "element").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    own = Window.partitionBy("pivot", "class")
-    shared = seen.join(times, ["pivot", "element"])
-    place = F.col("d") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("times", "element")) - 1
-    n, d, excess, edge = F.col("n"), F.col("d"), q * F.col("d") - r * F.col("n"), r * F.col("m")
-    met = F.least(d, F.floor((2 * q * d - excess - F.greatest(excess, edge)) / (2 * q)) + 1)
-    widest = F.floor(r * n * 100 / percent)  # r times the largest set that may be linked
-    seeks = F.when(excess > edge, F.least(d, F.floor(F.least(q * d + r * n + widest, 2 * (r * n + widest)) / (2 * q)) + 1)).otherwise(0)
-    placed = shared.withColumn("place", place).withColumn("excess", excess)
-    return placed.withColumn("seeks", F.col("place") < seeks).withColumn("met", F.col("place") < met).where("seeks or met")
+    shipped = seen.sparkSession.sparkContext.broadcast(crowds(seen))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, 4 << 20, "elements"):
+            elements, row, at = elements_of(batch)
+            level = shipped.value[at]
+            m, n, d = (batch.column(c).to_numpy() for c in ("m", "n", "d"))
+            excess, edge, widest = q * d - r * n, r * m, r * n * 100 // percent  # r times the largest set that may be linked
+            met = np.minimum(d, (2 * q * d - excess - np.maximum(excess, edge)) // (2 * q) + 1)
+            seeks = np.where(excess > edge, np.minimum(d, np.minimum(q * d + r * n + widest, 2 * (r * n + widest)) // (2 * q) + 1), 0)
+            order = np.lexsort((elements, level, row))
+            elements, level, row = elements[order], level[order], row[order]
+            place = np.arange(len(row)) - (np.cumsum(d) - d)[row]
+            kept = (level > 1) & (place < np.maximum(seeks, met)[row])
+            elements, row, place = elements[kept], row[kept], place[kept]
+            named = batch.select(["pivot", "class", "part", "n", "d"]).take(pa.array(row)).columns
+            columns = [excess[row], elements.view(np.int64), place, place < seeks[row], place < met[row]]
+            yield pa.RecordBatch.from_arrays([*named, *map(pa.array, columns)], names=["pivot", "class", "part", "n", "d", "excess", "element", "place", "seeks", "met"])
+
+    schema = "pivot long, class long, part struct<doc_id: long, class: long>, n long, d long, excess long, element long, place long, seeks boolean, met boolean"
+    return seen.select("pivot", "class", "part", "m", "n", "d", "elements").mapInArrow(work, schema)
 
 
 def across(seen: DataFrame, shown: DataFrame, percent: int) -> DataFrame:
