@@ -156,3 +156,11 @@ def test_differences_are_ordered_without_a_join(spark):
         assert places.get((p, k), {}).items() <= dict(enumerate(order)).items()
     assert all(k in places for k in ((p, k) for p, k, *_ in sets))
     assert not shown.where(~F.col("seeks") & ~F.col("met")).count()
+
+
+def test_tasks_give_free_memory_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    batch = pa.RecordBatch.from_arrays([pa.array(["word " * 100] * 50)], names=["text"])
+    assert sum(p.num_rows for p in common.pieces(iter([batch, batch]), 5000)) == 100 and calls == [1]
+    assert not list(common.pieces(iter([]), 5000)) and calls == [1, 1]

@@ -35,6 +35,8 @@ from .common import documents_of, over_texts
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Tokens that are hashed and decoded at a time.
 PART = 1 << 14
+#: Bytes of text that a task encodes at once; what that takes is about 30 times as much.
+BATCH = 4 << 20
 #: A space between white space, or behind it at the end (in RE2's terms, and of any white space that Unicode has).
 ODD_SPACE = r"[\s\pZ\x{0b}\x{1c}-\x{1f}\x{85}] (?:[\s\pZ\x{0b}\x{1c}-\x{1f}\x{85}]|$)"
 #: Letters that every version of Unicode has, and perhaps a stop or comma.
@@ -265,4 +267,4 @@ def bpe_round_trip(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFr
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=False))], names=names[: len(columns) + 1])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return over_texts(documents_of(docs), work, schema + ", ids array<int>, decoded string" * keep_ids)
+    return over_texts(documents_of(docs), work, schema + ", ids array<int>, decoded string" * keep_ids, BATCH)
