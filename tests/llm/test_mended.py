@@ -164,3 +164,14 @@ def test_tasks_give_free_memory_back(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(["word " * 100] * 50)], names=["text"])
     assert sum(p.num_rows for p in common.pieces(iter([batch, batch]), 5000)) == 100 and calls == [1]
     assert not list(common.pieces(iter([]), 5000)) and calls == [1, 1]
+
+
+def test_words_are_hashed_side_by_side(monkeypatch):
+    draw = random.Random(5)
+    words = ["".join(draw.choice("abXY é中😀.") for _ in range(draw.randint(0, 20))) for _ in range(3000)] + ["x" * k for k in range(70)]
+    for found in (pa.array(words), pa.array(words)[7:90], pa.array([], pa.string()), pa.array([""])):
+        assert common.xxh64(found).tolist() == [common.xxhash.xxh64_intdigest(w.encode()) for w in found.to_pylist()]
+    asked, library = [], common.xxhash.xxh64_intdigest
+    monkeypatch.setattr(common.xxhash, "xxh64_intdigest", lambda w: (asked.append(w), library(w))[1])
+    common.Words(pa.array(["some short words"] * 5)).unique_hashes()
+    assert not asked
