@@ -175,3 +175,16 @@ def test_words_are_hashed_side_by_side(monkeypatch):
     monkeypatch.setattr(common.xxhash, "xxh64_intdigest", lambda w: (asked.append(w), library(w))[1])
     common.Words(pa.array(["some short words"] * 5)).unique_hashes()
     assert not asked
+
+
+def test_texts_go_to_python_in_bounded_batches(spark):
+    """Long texts: 40 MB in 4,000 rows are one Arrow batch by Spark's count of rows."""
+    own = spark.newSession()
+    docs = own.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('some text ', 1000)").alias("text"))
+    held = lambda batch: pa.RecordBatch.from_arrays([pa.array([batch.column("text").buffers()[2].size]), pa.array([batch.num_rows])], names=["held", "n"])
+    found = common.over_texts(docs, held, "held long, n long").collect()
+    assert sum(r.n for r in found) == 4000 and max(r.held for r in found) < 2 * common.BATCH_BYTES
+    own = spark.newSession()
+    own.conf.set(common.ARROW_BYTES, "1000000")
+    common.bound_batches(own)
+    assert own.conf.get(common.ARROW_BYTES) == "1000000"

@@ -38,6 +38,8 @@ WIDTHS = (13, 13, 13, 13, 12)
 REPEATS = 1 << 17
 #: Bytes of items that are broadcast at once; a larger benchmark is handled in several passes.
 ITEM_BYTES = 2 << 20
+#: Bytes of text that a task looks through at once.
+BATCH = 2 << 20
 
 
 def rolled(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -234,7 +236,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 5, lea
     """
     spark, parts = docs.sparkSession, []
     for items in item_blocks(benchmark, size, least, radius):
-        parts.append(over_texts(documents_of(docs), searcher(spark.sparkContext.broadcast(items)), "doc_id long, item_id long, similarity double, first_word long, n_words long"))
+        parts.append(over_texts(documents_of(docs), searcher(spark.sparkContext.broadcast(items)), "doc_id long, item_id long, similarity double, first_word long, n_words long", BATCH))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -258,7 +260,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, leas
     """
     for items in item_blocks(benchmark, size, least, radius):
         shipped = docs.sparkSession.sparkContext.broadcast(items)
-        docs = kept_rows(docs, keeper(shipped))
+        docs = kept_rows(docs, keeper(shipped), BATCH)
     return docs
 
 

@@ -38,6 +38,8 @@ ROWS, BANDS = 6, 42
 LOG_BASE = np.log(BASE)
 #: The table of how many differences have an element has 2 to this power of bytes.
 CROWD_BITS = 24
+#: Bytes of text that a task sketches at once.
+BATCH = 4 << 20
 
 
 def sketch(elements: np.ndarray, owners: np.ndarray, n: int) -> np.ndarray:
@@ -100,7 +102,7 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes), *hashes, shown], names=["doc_id", "text_hash", "n_shingles", "set1", "set2", "registers"])
 
     rows = documents_of(docs).withColumn("text_hash", F.xxhash64("text"))
-    return over_texts(rows, work, "doc_id long, text_hash long, n_shingles long, set1 long, set2 long, registers binary")
+    return over_texts(rows, work, "doc_id long, text_hash long, n_shingles long, set1 long, set2 long, registers binary", BATCH)
 
 
 def bands(classes: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
