@@ -188,3 +188,28 @@ def test_texts_go_to_python_in_bounded_batches(spark):
     own.conf.set(common.ARROW_BYTES, "1000000")
     common.bound_batches(own)
     assert own.conf.get(common.ARROW_BYTES) == "1000000"
+
+
+def test_words_of_letters_are_learnt_without_marks():
+    """op8 learns new words of letters alone in one text, cut at the last token of each; ids are the library's."""
+    from tokenizers import Tokenizer
+
+    path, draw, texts = tokenizer_file("word_bpe_49k.json"), random.Random(8), []
+    library, own = Tokenizer.from_file(path), records.WordEncoder(path)
+
+    class Recorder:
+        def encode_batch_fast(self, some, **how):
+            texts.extend(some)
+            return library.encode_batch_fast(some, **how)
+
+    assert own.by_word
+    own.tokenizer = Recorder()
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZßàéïÑÖÿÀ"
+    whole = ["".join(draw.choice(letters) for _ in range(draw.randint(1, 25))) for _ in range(25_000)]
+    others = ["\x01", "a\x01b", "\x01\x01.", "x1", "don't", "'S", "</w>", "a</w>", "\u0301e", "º", "×a", "\u00a0", "日本", "<|endoftext|>", "\x01<|endoftext|>"]
+    rows = [" ".join(draw.choice(whole if draw.random() < 0.9 else others) + draw.choice(["", ".", ",", "$$$"]) for _ in range(draw.randint(0, 60))) for _ in range(2000)]
+    ids, starts = own.encode(pa.array(rows))
+    assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:], strict=False)] == [e.ids for e in library.encode_batch(rows, add_special_tokens=False)]
+    of_letters = set(whole)
+    seen = {w: t for t in texts for w in t.split() if w in of_letters}
+    assert len(seen) > 15_000 and not any("\x01" in t or "<|" in t for t in seen.values())

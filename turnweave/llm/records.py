@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -54,6 +55,8 @@ PRE_TOKENIZER = {
 }
 SPACE = " \t\n\x0b\x0c\r"
 STOPPED = r"[A-Za-zÀ-ÖØ-öø-ÿ][.,]$"
+#: Words that are one piece, whatever the case; and what stands between other words, a piece of one token that nothing else gives.
+LETTERS, MARK = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+$", "\x01"
 
 
 def masked(data: bytes) -> int:
@@ -91,6 +94,8 @@ class WordEncoder:
     words.  In the same way a stop or comma behind a letter always begins a piece, and doesn't
     change the letter.  Only letters of ``STOPPED`` (ASCII and Latin-1), which stay single
     letters when lower-cased, are parted from it, so that most words are known without it too.
+    A word of such letters alone is one piece, and the last token of a piece is of a kind of its
+    own, so new ones are encoded in one text with nothing but white space between them.
     Files with other rules, or with added tokens that hold white space or reach into it, are
     encoded text by text.
     """
@@ -107,10 +112,15 @@ class WordEncoder:
             spec = json.load(f)
         added = spec["added_tokens"]
         plain = all(t["special"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] or set(t["content"]) & set(SPACE)) for t in added)
-        self.by_word = plain and bool(added) and (spec["normalizer"], spec["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER)
-        self.marks = [t["content"] for t in added]
+        suffix, mark = spec["model"].get("end_of_word_suffix"), self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.by_word = plain and bool(suffix) and len(mark) == 1 and (spec["normalizer"], spec["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER)
+        self.marks = [MARK, *(t["content"] for t in added)]
         if self.by_word:
-            self.between, self.between_id = added[0]["content"], added[0]["id"]
+            vocabulary = self.tokenizer.get_vocab(True)
+            self.mark_id, self.last = mark[0], np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+            letters = [c for c in map(chr, range(256)) if re.match(LETTERS, c)]
+            self.by_word = self.last[self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids].sum() == len(letters)
         self.forget()
 
     def forget(self) -> None:
@@ -118,25 +128,36 @@ class WordEncoder:
         self.starts, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def learn(self, words: list[str]) -> None:
-        """Encode new words: all in one text, with an added token between them."""
+        """Encode new words: those of letters alone in texts of many, others with ``MARK`` between them, those that hold a mark each by itself."""
         if not words:
             return
         odd: list[str] = []
         if any(map("\n".join(words).__contains__, self.marks)):
             odd = [w for w in words if any(m in w for m in self.marks)]
-        plain = [w for w in words if w not in set(odd)] if odd else words
-        flat, sizes = [], []
-        for at in range(0, len(plain), 10_000):
-            some = plain[at : at + 10_000]
-            (found,) = self.tokenizer.encode_batch_fast([self.between.join(some)], add_special_tokens=False)
-            ids = np.array(found.ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.between_id)
-            sizes.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
-            flat.append(ids[ids != self.between_id])
+            words = [w for w in words if w not in set(odd)]
+        flat, sizes, order = [], [], []
+        letters = pc.match_substring_regex(pa.array(words, pa.string()), LETTERS).to_numpy(zero_copy_only=False).astype(bool).tolist()
+        for whole in (True, False):
+            group = [w for w, x in zip(words, letters, strict=True) if x == whole]
+            for at in range(0, len(group), 10_000):
+                some = group[at : at + 10_000]
+                (found,) = self.tokenizer.encode_batch_fast([("\n" if whole else f"\n{MARK}\n").join(some)], add_special_tokens=False)
+                ids = np.array(found.ids, np.uint32)
+                if whole:
+                    ends = np.flatnonzero(self.last[ids]) + 1
+                    kept = ids
+                else:
+                    marks = np.flatnonzero(ids == self.mark_id)
+                    ends = np.append(marks - np.arange(len(marks)), len(ids) - len(marks))
+                    kept = ids[ids != self.mark_id]
+                sizes.append(np.diff(ends, prepend=0))
+                flat.append(kept)
+            order += group
         for found in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False):
             flat.append(np.array(found.ids, np.uint32))
             sizes.append(np.array([len(found.ids)]))
-        self.slot |= zip(plain + odd, range(len(self.slot), len(self.slot) + len(words)), strict=True)
+        order += odd
+        self.slot |= zip(order, range(len(self.slot), len(self.slot) + len(order)), strict=True)
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes))])
         self.flat = np.concatenate([self.flat, *flat])
 
