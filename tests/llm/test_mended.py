@@ -1,5 +1,6 @@
 """Cases that once went wrong: repeated words in benchmark items, families of near copies, reads by offset, odd column names."""
 
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -10,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from turnweave.llm import common, contamination, near_dedup, records
+from turnweave.functions import shared
+from turnweave.llm import common, contamination, near_dedup, records, suffix_tree_lm
 from turnweave.llm.queries import tokenizer_file
 
 A_Z = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -213,3 +215,36 @@ def test_words_of_letters_are_learnt_without_marks():
     of_letters = set(whole)
     seen = {w: t for t in texts for w in t.split() if w in of_letters}
     assert len(seen) > 15_000 and not any("\x01" in t or "<|" in t for t in seen.values())
+
+
+def test_suffix_tree_scores_with_little_disk(spark, monkeypatch):
+    """With a head that lacks nearly all, in shares and rounds: the scores of a whole head, and no table on the way larger than the texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = sum(len((r.text or "").encode()) for r in docs.collect())
+    small = {"min_context": 3, "min_pair": 2, "cost": 0.2}
+    whole = {r.doc_id: r.score for r in suffix_tree_lm.suffix_tree_scores(docs, **small).collect()}
+    sizes = {}
+
+    def measured(df, tag, **options):
+        out = materialize(df, tag, **options)
+        files = [os.path.join(d, f) for d, _, names in os.walk(out.written_at.removeprefix("file://")) for f in names if f.endswith(".parquet")]
+        sizes[tag] = max(sizes.get(tag, 0), sum(map(os.path.getsize, files)) - 4096 * len(files))
+        return out
+
+    materialize = suffix_tree_lm.materialize
+    monkeypatch.setattr(suffix_tree_lm, "materialize", measured)
+    for name, value in {"SHARES": 6, "PLACE_BITS": 6, "CLASSES": 3, "CLASS": 1 << 9, "HEAD": 1 << 10, "ROUNDS": 3}.items():
+        monkeypatch.setattr(suffix_tree_lm, name, value, raising=False)
+    got = {r.doc_id: r.score for r in suffix_tree_lm.suffix_tree_scores(docs, **small, head_tokens=50, head=8).collect()}
+    assert got == {i: pytest.approx(score) for i, score in whole.items()}
+    assert max(sizes.values()) < texts, (sizes, texts)
+
+
+def test_released_shuffle_files_go(spark):
+    folders = [str(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    there = lambda: {f for top in folders for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+    before = there()
+    table = shared.materialize(spark.range(10_000).groupBy((F.col("id") % 7).alias("k")).count(), "released", release=True)
+    assert not there() - before
+    assert spark.conf.get(shared.RELEASE) == "false"
+    assert {r.k: r["count"] for r in table.collect()} == {k: 1429 if k < 4 else 1428 for k in range(7)}
